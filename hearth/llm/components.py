@@ -20,14 +20,15 @@ def _star(pairs: DataFrame, least: DataFrame) -> DataFrame:
 def large_star(edges: DataFrame) -> DataFrame:
     """Links each greater neighbour of a node to the least node around it."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    # written first: both sides of the join are then plain shuffles, of which Spark splits skewed ones
+    least = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "components-least")
     return _star(both.where("v > u"), least)
 
 
 def small_star(edges: DataFrame) -> DataFrame:
     """Links each lesser neighbour of a node, and the node, to the least of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = materialise(down.groupBy("u").agg(F.min("v").alias("m")), "components-least")
     return _star(down, least).unionByName(least.select("u", F.col("m").alias("v")))
 
 

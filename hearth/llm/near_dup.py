@@ -211,7 +211,8 @@ class Finder:
         rows = nodes.select("id", F.explode("keys").alias("key"))
         # the centre of a bucket: the least by a hash that is the same in all buckets
         centres = rows.groupBy("key").agg(F.count("*").alias("members"), F.min(F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("id"))).alias("c"))
-        shared = centres.where("members > 1").select("key", "members", F.col("c.id").alias("centre"))
+        # written first: both sides of the join are then plain shuffles, of which Spark splits skewed ones
+        shared = materialise(centres.where("members > 1").select("key", "members", F.col("c.id").alias("centre")), "near-dup-buckets")
         members = materialise(rows.join(shared, "key"), "near-dup-members")
         stars = members.where("id <> centre").select(F.col("centre").alias("u"), F.col("id").alias("v")).distinct()
         links = materialise(self.confirm(stars), "near-dup-links")
@@ -219,13 +220,13 @@ class Finder:
         component = connected_components(links)
         large = members.where("members > 2").select("key", "id", "centre").join(component.withColumnRenamed("node", "id"), "id", "left")
         large = materialise(large.select("key", "id", "centre", F.coalesce("component", "id").alias("component")), "near-dup-large")
-        mixed = large.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-        large = large.join(mixed, "key", "left_semi")
         # the most frequent component of a bucket isn't compared within itself nor taken as the left side
         sizes = large.groupBy("key", "component").agg(F.count("*").alias("n"))
-        main = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("m")).select("key", F.col("m.component").alias("main"))
-        left = large.join(main, "key").where("component <> main and id <> centre").select("key", F.col("id").alias("u"), F.col("component").alias("cu"), "main")
-        right = large.where("id <> centre").select("key", F.col("id").alias("v"), F.col("component").alias("cv"))
+        mixed = sizes.groupBy("key").agg(F.count("*").alias("components"), F.max(F.struct("n", "component")).alias("m")).where("components > 1")
+        mixed = materialise(mixed.select("key", F.col("m.component").alias("main")), "near-dup-mixed")
+        large = materialise(large.join(mixed, "key").where("id <> centre"), "near-dup-open")
+        left = large.where("component <> main").select("key", F.col("id").alias("u"), F.col("component").alias("cu"), "main")
+        right = large.select("key", F.col("id").alias("v"), F.col("component").alias("cv"))
         apart = (F.col("cu") != F.col("cv")) & ((F.col("cv") == F.col("main")) | (F.col("u") < F.col("v")))
         rest = left.join(right, "key").where(apart).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         more = materialise(self.confirm(rest), "near-dup-more")

@@ -8,8 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, lm_score, near_dup, piece_codec, quality, secrets
+from . import chat, decontaminate, langid, line_dedup, lm_score, near_dup, piece_codec, quality, secrets, warc_fixity
 from .common import crc_mod
+from .oracles import SQL
 
 #: Where the public tokenizers' files are; HEARTH_TOKENIZERS names another folder.
 TOKENIZERS = os.environ.get("HEARTH_TOKENIZERS", "/opt/tokenizers")
@@ -44,6 +45,18 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = F.lit("</s>[INST] ok [/INST]")
+    more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
+    found = chat.format_chats(turns.unionByName(more)).withColumn("back", chat.parse(F.col("formatted")))
+    loss = F.array_join(F.transform(F.filter("back", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
+    text = F.array_join(F.transform("back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return found.select(
+        "conv_id", F.size("back").cast("long").alias("n_turns"), F.sha2(text, 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), "round_trip"
+    )
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"), RANKS)
     part = lambda x: F.concat_ws(":", x["kind"], x["begin"], x["end"])
@@ -58,6 +71,13 @@ def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.find(table(spark, sf_dir, "documents"), size=2, percent=80)
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = line_dedup.apply(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    size = F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["begin"])
+    spans = F.array_join(F.transform("removed", lambda x: F.concat_ws(":", x["begin"], x["end"])), ",")
+    return cut.select("doc_id", F.size("removed").cast("long").alias("n_removed"), size.alias("removed_chars"), spans.alias("removed_spans"), "text")
+
+
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = lm_score.fit(docs.where(crc_mod("doc_id", 7) != 2), PIECES)
@@ -65,9 +85,26 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(crc_mod("doc_id", 7) == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+#: Records of an archive, on average.
+ARCHIVE_RECORDS = 512
+
+
+def damaged_copy(pages: DataFrame) -> DataFrame:
+    """A replica with known damage: some bodies altered, some records missing, some extra."""
+    of = F.col("page_id") % 101
+    kept = pages.where(of.isNull() | (of != 11)).withColumn("html", F.when(of == 7, F.concat("html", F.lit("."))).otherwise(F.col("html")))
+    return kept.unionByName(pages.where(of == 13).withColumn("url", F.concat("url", F.lit("#copy"))))
+
+
+def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    archives = max(1, -(-pages.count() // ARCHIVE_RECORDS))
+    return warc_fixity.audit(warc_fixity.build(pages, archives), warc_fixity.build(damaged_copy(pages), archives))
+
+
+__all__ = ["QUERIES", "SQL"]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_language_id, op2_decontaminate, op3_sentencepiece, op4_quality_rules, op6_secrets, op7_minhash_dedup, op9_lm_score)
+    for f in (op1_language_id, op2_decontaminate, op3_sentencepiece, op4_quality_rules, op5_chat_format, op6_secrets, op7_minhash_dedup, op8_line_dedup, op9_lm_score, op10_warc_fixity)
 }
-
-SQL: dict[str, str] = {}
