@@ -29,8 +29,9 @@ def pairs(listings: DataFrame, max_distance: int = MAX_DISTANCE, gap: float = MA
     Within a block, two hashes at most ``max_distance`` bits apart agree in one of
     ``max_distance + 1`` bands of bits, so the join is on block and band, never on all pairs.
     """
-    bands, width = max_distance + 1, -(-64 // (max_distance + 1))
-    parts = F.array(*(F.struct(F.lit(k).alias("band"), F.shiftrightunsigned("hash", k * width).bitwiseAND(F.lit((1 << min(width, 64 - k * width)) - 1)).alias("bits")) for k in range(bands)))
+    bands = max_distance + 1
+    edges = [64 * k // bands for k in range(bands + 1)]
+    parts = F.array(*(F.struct(F.lit(k).alias("band"), F.shiftrightunsigned("hash", a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("bits")) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))))
     rows = listings.where("place <> '' and hash is not null").select("id", "source", "place", "price", "hash", F.explode(parts).alias("p")).select("id", "source", "place", "price", "hash", "p.*")
     a, b = (rows.select(*(F.col(c).alias(f"{c}_{x}") for c in ("id", "source", "price", "hash")), "place", "band", "bits") for x in "ab")
     joined = a.join(b, ["place", "band", "bits"]).where((F.col("id_a") < F.col("id_b")) & (F.col("source_a") != F.col("source_b")))

@@ -3,8 +3,8 @@
 Candidates of a batch are judged in their order against the store as it was when the batch
 began.  A candidate is skipped if an added one of the batch before it has its url or its
 hash; otherwise a known url updates, a hash seen at another source within the horizon
-links, and the rest is added.  Only added ones block, so the order matters within groups
-that urls and hashes connect; such groups are replayed each on its own.
+links, and the rest is added.  Only added ones block, so the order matters among those of a
+batch that share urls or hashes; they are replayed, batch by batch.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from datetime import datetime
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .search import timestamp
@@ -34,26 +34,8 @@ def stored_matches(candidates: DataFrame, properties: DataFrame, as_of: datetime
     return candidates.join(by_url, "url", "left").join(canonical, ["batch", "seq"], "left")
 
 
-def groups(candidates: DataFrame, rounds: int = 20) -> DataFrame:
-    """(batch, seq, grp): candidates that a chain of equal urls and hashes connects within a batch.
-
-    Batches are result pages of a source, so chains are short; labels spread until they rest.
-    """
-    now = candidates.select("batch", "seq", "url", "dedup_hash", F.col("seq").alias("grp"))
-    for _ in range(rounds):
-        by_url = now.groupBy("batch", "url").agg(F.min("grp").alias("u"))
-        by_hash = now.groupBy("batch", "dedup_hash").agg(F.min("grp").alias("h"))
-        spread = now.join(by_url, ["batch", "url"]).join(by_hash, ["batch", "dedup_hash"])
-        spread = spread.withColumn("new", F.least("grp", "u", "h")).persist()
-        moved = spread.where("new < grp").take(1)
-        now = spread.select("batch", "seq", "url", "dedup_hash", F.col("new").alias("grp"))
-        if not moved:
-            return now.select("batch", "seq", "grp")
-    raise RuntimeError("groups of candidates did not settle")
-
-
 def _replay(rows: pd.DataFrame) -> pd.DataFrame:
-    """Outcomes of one group, in the order of its candidates."""
+    """Outcomes of the candidates of one batch that share urls or hashes, in their order."""
     urls, hashes, outcomes = set(), set(), []
     rows = rows.sort_values("seq")
     for url, key, known, canonical in zip(rows["url"], rows["dedup_hash"], rows["url_id"].notna(), rows["canonical_id"].notna(), strict=True):
@@ -73,15 +55,14 @@ def _replay(rows: pd.DataFrame) -> pd.DataFrame:
 def resolve(candidates: DataFrame, properties: DataFrame, as_of: datetime) -> DataFrame:
     """Candidates (batch, seq, url, source, dedup_hash, ...) with their outcome, url_id and canonical_id.
 
-    Groups of one candidate, nearly all, need no replay and stay with column functions.
+    A batch is one result page.  Candidates that share neither url nor hash with another of
+    their batch, nearly all, need no replay and stay with column functions.
     """
     matched = stored_matches(candidates, properties, as_of)
-    labelled = matched.join(groups(candidates), ["batch", "seq"])
-    sizes = labelled.groupBy("batch", "grp").agg(F.count("*").alias("members"))
-    labelled = labelled.join(sizes, ["batch", "grp"])
-    alone = labelled.where("members = 1").select("batch", "seq", outcome_alone(F.col("url_id"), F.col("canonical_id")).alias("outcome"))
-    several = labelled.where("members > 1").select("batch", "grp", "seq", "url", "dedup_hash", "url_id", "canonical_id")
-    replayed = several.groupBy("batch", "grp").applyInPandas(_replay, "batch long, seq long, outcome string")
+    shared = F.greatest(*(F.count("*").over(Window.partitionBy("batch", c)) for c in ("url", "dedup_hash")))
+    marked = matched.select("batch", "seq", "url", "dedup_hash", "url_id", "canonical_id", shared.alias("members"))
+    alone = marked.where("members = 1").select("batch", "seq", outcome_alone(F.col("url_id"), F.col("canonical_id")).alias("outcome"))
+    replayed = marked.where("members > 1").drop("members").groupBy("batch").applyInPandas(_replay, "batch long, seq long, outcome string")
     return matched.join(alone.unionByName(replayed), ["batch", "seq"])
 
 
