@@ -36,6 +36,6 @@ def write_csv(rows: DataFrame, columns: dict[str, str], path: str, order: list[C
             if part.num_rows and not begun:
                 begun = True
                 yield pa.RecordBatch.from_arrays([pa.array([head], pa.string())], ["value"])
-            yield part
+            yield pa.RecordBatch.from_arrays([part.column(0)], ["value"])
 
     lines.mapInArrow(with_header, "value string").write.mode("overwrite").option("lineSep", "\r\n").text(path)

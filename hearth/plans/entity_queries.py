@@ -150,18 +150,18 @@ f AS (SELECT a.id AS id_a, b.id AS id_b, CAST(len(list_filter(list_zip(a.bits, b
   FROM s a JOIN s b ON a.place = b.place AND a.id < b.id AND a.source <> b.source AND (greatest(a.price, b.price) - least(a.price, b.price)) / CAST(least(a.price, b.price) AS DOUBLE) <= 0.3)"""
 
 
-@query(f"WITH {_PAIRS} SELECT id_a, id_b, dist FROM f WHERE dist <= 14")
+@query(f"WITH {_PAIRS} SELECT id_a, id_b, dist FROM f WHERE dist <= 18")
 def photo_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return photos.pairs(_shots(spark, sf_dir), max_distance=14)
+    return photos.pairs(_shots(spark, sf_dir), max_distance=18)
 
 
 @query(
-    f"""WITH {_PAIRS}, y AS (SELECT * FROM f WHERE dist <= 14), d AS (SELECT id FROM (SELECT id_a AS id FROM y UNION ALL SELECT id_b FROM y) GROUP BY id HAVING count(*) = 1)
+    f"""WITH {_PAIRS}, y AS (SELECT * FROM f WHERE dist <= 18), d AS (SELECT id FROM (SELECT id_a AS id FROM y UNION ALL SELECT id_b FROM y) GROUP BY id HAVING count(*) = 1)
 SELECT id_a AS property_id, 'u' || id_b AS url, s.source FROM y JOIN s ON s.id = id_b WHERE id_a IN (SELECT id FROM d) AND id_b IN (SELECT id FROM d) AND id_b % 10 <> 0"""
 )
 def photo_new_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     shots = _shots(spark, sf_dir)
-    found = photos.pairs(shots, max_distance=14)
+    found = photos.pairs(shots, max_distance=18)
     stored = found.where("id_b % 10 = 0").select(F.col("id_a").alias("property_id"), F.concat(F.lit("u"), F.col("id_b").cast("string")).alias("url"))
     return photos.new_links(found, shots, stored).select("property_id", "url", "source")
 
