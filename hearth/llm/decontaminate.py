@@ -19,7 +19,6 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -118,12 +117,12 @@ def scanners(benchmark: DataFrame, item_id: str, text: str, window: int, max_byt
 def scan(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, max_bytes: int = 1 << 20) -> DataFrame:
     """One row for each row of ``docs``: id, n_words, n_hit, items (sorted), spans (begin, end), contaminated."""
     automata = scanners(benchmark, item_id, item_text, window, max_bytes)
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("id"), F.col(text).alias("text"))
     kind = docs.schema[doc_id].dataType.simpleString()
     schema = f"row long, id {kind}, n_words long, hit array<long>, items array<string>, spans array<struct<begin:long,end:long>>"
-    if len(automata) > 1:  # the parts are put together by row, so rows must come alike each time
+    if len(automata) > 1:  # the parts are put together by row, so numbers must be the same each time
         rows = materialise(rows, "decontaminate")
-    parts = [rows.mapInArrow(_scan(share(docs.sparkSession.sparkContext, a), doc_id), schema) for a in automata]
+    parts = [rows.mapInArrow(_scan(share(docs.sparkSession.sparkContext, a)), schema) for a in automata]
     found = parts[0]
     if len(parts) > 1:
         for part in parts[1:]:
@@ -138,20 +137,18 @@ def scan(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: st
 _SPANS = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
 
 
-def _scan(shared, doc_id: str):
+def _scan(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = shared.value
-        row = TaskContext.get().partitionId() << 36
         for batch in slices(batches):
             out = []
             for text in texts(batch):
-                row += 1
                 n, hit, items = scanner.scan(text)
                 spans = [{"begin": a, "end": b} for a, b in spans_of(text.decode(), hit)] if hit else []
-                out.append((row, n, hit, items, spans))
-            rows, n, hits, items, spans = zip(*out, strict=True)
+                out.append((n, hit, items, spans))
+            n, hits, items, spans = zip(*out, strict=True)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rows, pa.int64()), batch.column(0), pa.array(n, pa.int64()), pa.array(hits, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string())), pa.array(spans, _SPANS)], ["row", "id", "n_words", "hit", "items", "spans"]
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(hits, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string())), pa.array(spans, _SPANS)], ["row", "id", "n_words", "hit", "items", "spans"]
             )
 
     return run
