@@ -55,6 +55,11 @@ def fill_coordinates(rows: DataFrame, gazetteer: DataFrame, limit: int = 300) ->
     return joined.withColumns({"lng": F.when(due, F.col("__lng")).otherwise(F.col("lng")), "lat": F.when(due, F.col("__lat")).otherwise(F.col("lat"))}).select(*rows.columns)
 
 
+def missing_count(rows: DataFrame) -> DataFrame:
+    """How many rows with a place have no coordinates; before and after a fill, the difference is what it did."""
+    return rows.agg(F.count_if(F.col("lat").isNull() & F.col("location_string").isNotNull()).alias("missing"))
+
+
 def centroid(rows: DataFrame, default_lat: float = 41.15, default_lng: float = -8.61) -> DataFrame:
     """The mean coordinates of rows that have them, else the default centre."""
     shown = rows.where(F.col("lat").isNotNull() & F.col("lng").isNotNull())

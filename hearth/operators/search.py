@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import datetime
 from functools import reduce
 from operator import and_
@@ -38,6 +38,10 @@ class SearchRequest:
     page: int = 1
     page_size: int = 12
 
+    def changed(self, **values) -> SearchRequest:
+        """The request with other values; a change of anything but the page goes back to page 1."""
+        return replace(self, **values) if "page" in values else replace(self, page=1, **values)
+
 
 @dataclass(frozen=True)
 class Page:
@@ -148,6 +152,20 @@ def search(properties: DataFrame, tracked: DataFrame, price_history: DataFrame,
     return Page(full.orderBy(*ordering(r.sort_by, r.sort_order)), rows.count(), page, size)
 
 
+#: Columns that leave under another name.
+RENAMED = {"location_string": "location", "source_property_id": "external_id"}
+
+
+def view(properties: DataFrame) -> DataFrame:
+    """Properties as they leave the store: all columns but the hash, some renamed."""
+    return properties.select(*(F.col(c).alias(RENAMED.get(c, c)) for c in properties.columns if c != "dedup_hash"))
+
+
+def by_id(rows: DataFrame, value: int, key: str = "id") -> DataFrame:
+    """No row or one; the predicate reaches the scan."""
+    return rows.where(F.col(key) == value).limit(1)
+
+
 def listing_page(tracked: DataFrame, properties: DataFrame, comms: DataFrame, status: str | None = None, page: int = 1, size: int = 20) -> Page:
     """Tracked listings, the last updated first, with their property and a count and last time of contacts."""
     rows = tracked.where(F.col("status") == status) if status else tracked

@@ -195,3 +195,36 @@ def run_report_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {RUNS} SELECT source, count(*) AS runs, count(*) FILTER (has_errors) AS failed, count(*) FILTER (run_end_time IS NULL) AS unfinished FROM r GROUP BY source")
 def run_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs(spark, sf_dir).groupBy("source").agg(F.count("*").alias("runs"), F.count_if("has_errors").alias("failed"), F.count_if(F.col("run_end_time").isNull()).alias("unfinished"))
+
+
+@query(f"WITH {LISTINGS} SELECT id, price > 0 AS priced, created_at > {_AT} - INTERVAL 24 HOUR AS is_new FROM p WHERE id = 7 OR id = 4")
+def lookup_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.display import is_new
+    from ..operators.search import by_id, timestamp
+
+    rows = listings(spark, sf_dir)
+    found = by_id(rows, 7).unionByName(by_id(rows, 4))
+    return found.select("id", (F.col("price") > 0).alias("priced"), is_new(F.col("created_at"), timestamp(AS_OF)).alias("is_new"))
+
+
+@query(f"WITH {PLACED} SELECT id AS external_id, location_string AS location FROM q")
+def listing_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.search import view
+
+    rows = placed(spark, sf_dir).select(F.col("id").alias("source_property_id"), "location_string", F.lit("x").alias("dedup_hash"))
+    return view(rows)
+
+
+@query(f"WITH {LISTINGS}, {TRACKED} SELECT id FROM p WHERE id IN (SELECT property_id FROM t WHERE status = 'Waiting' OR status = 'Contacted')")
+def membership_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = tracked(spark, sf_dir).where(F.col("status").isin("Waiting", "Contacted")).select(F.col("property_id").alias("id"))
+    return listings(spark, sf_dir).join(ids, "id", "left_semi").select("id")
+
+
+@query("SELECT doc_id AS id FROM labels UNION SELECT doc_id FROM documents WHERE doc_id % 3 = 0")
+def queue_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.triage import queue_append as append
+    from .tables import table
+
+    queue = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")).distinct()
+    return append(queue, table(spark, sf_dir, "documents").where("doc_id % 3 = 0").select(F.col("doc_id").alias("id")))
