@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .quality import RULES
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 OP2 = rf"""
@@ -24,6 +26,36 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN p USING (doc_id) LEFT JOIN q USING (doc_id)
 """
 
+_RULES = ", ".join(f"('{rule}', {i}, CAST({c} AS DOUBLE))" for rule, (_, _, grid) in RULES.items() for i, c in enumerate(grid))
+_VALUES = " UNION ALL ".join(f"SELECT doc_id, lang, '{rule}' AS rule, {above} / CAST(greatest({below}, 1) AS DOUBLE) AS v FROM f WHERE NOT base_failed" for rule, (above, below, _) in RULES.items())
+
+OP4 = rf"""
+WITH t AS (SELECT doc_id, lang, coalesce(text, '') AS text FROM documents),
+s AS (
+  SELECT doc_id, lang, text, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM t),
+g AS (SELECT doc_id, k, array_to_string(w[k:k + 2], ' ') AS gram FROM s, unnest(range(1, len(w) - 1)) AS u(k) WHERE len(w) >= 3),
+r AS (
+  SELECT doc_id, count(DISTINCT k + j) AS n_repeat_words FROM (SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM g), unnest([0, 1, 2]) AS u(j) WHERE n > 1 GROUP BY doc_id),
+c AS (
+  SELECT doc_id, lang, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+    len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, len(lines) AS n_lines FROM s LEFT JOIN r USING (doc_id)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c),
+v AS ({_VALUES}),
+grid(rule, i, cutoff) AS (VALUES {_RULES}),
+good AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING max(quality) = 1),
+n AS (SELECT lang, count(*) AS n FROM f JOIN good USING (doc_id) WHERE NOT base_failed GROUP BY lang HAVING count(*) >= 875 ORDER BY n DESC, lang LIMIT 200),
+k AS (SELECT v.lang, grid.rule, i, cutoff, n, count(*) FILTER (v > cutoff) AS k FROM v JOIN good USING (doc_id) JOIN n ON n.lang IS NOT DISTINCT FROM v.lang JOIN grid ON grid.rule = v.rule GROUP BY ALL),
+tested AS (
+  SELECT *, k < 0.005 * n AND (SELECT sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(0.005) + (n - j) * ln(1 - 0.005))) FROM unnest(range(0, k + 1)) AS u(j)) <= 0.05 / (4 * (SELECT count(*) FROM n)) AS passed FROM k),
+chosen AS (
+  SELECT lang, rule, min(cutoff) AS cutoff FROM tested a WHERE NOT EXISTS (SELECT 1 FROM tested b WHERE b.lang IS NOT DISTINCT FROM a.lang AND b.rule = a.rule AND b.i <= a.i AND NOT b.passed) GROUP BY lang, rule),
+bad AS (SELECT DISTINCT doc_id FROM v JOIN chosen ON chosen.rule = v.rule AND chosen.lang IS NOT DISTINCT FROM v.lang WHERE v > cutoff)
+SELECT f.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+  CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND bad.doc_id IS NULL AS kept
+FROM f LEFT JOIN bad ON bad.doc_id = f.doc_id
+"""
+
 #: Escapes in a text: one backslash for each mark or escaped mark (chat.ESCAPE).
 _ESCAPES = r"""len(regexp_extract_all(text, '[\[<]\\*(?:INST\]|/INST\]|s>|/s>|<SYS>>|</SYS>>|ROLE=[0-9A-F]*\]|/ROLE\])'))"""
 
@@ -96,4 +128,4 @@ FROM (SELECT archive, root FROM roots WHERE side = 'a') x FULL JOIN (SELECT arch
 LEFT JOIN n USING (archive) LEFT JOIN e USING (archive)
 """
 
-SQL: dict[str, str] = {"op2_decontaminate": OP2, "op5_chat_format": OP5, "op8_line_dedup": OP8, "op10_warc_fixity": OP10}
+SQL: dict[str, str] = {"op2_decontaminate": OP2, "op4_quality_rules": OP4, "op5_chat_format": OP5, "op8_line_dedup": OP8, "op10_warc_fixity": OP10}
