@@ -31,11 +31,12 @@ def counts_by_window(stream: DataFrame, time: str, window: str, *keys: str, dela
     return stream.withWatermark(time, delay).groupBy(span.alias("span"), *keys).count()
 
 
-def merge_batches(stream: DataFrame, properties: VersionedTable, clock: Callable[[int], datetime], checkpoint: str) -> StreamingQuery:
+def merge_batches(stream: DataFrame, properties: VersionedTable, clock: Callable[[int], datetime], checkpoint: str, base: int = 0) -> StreamingQuery:
     """Resolve each micro-batch against the stored listings and write their next version.
 
-    A batch that is run again after a failure finds its version written and is left out,
-    as versions follow the batches' numbers.
+    base: the table's version before the stream's first batch.  Versions follow the batches'
+    numbers from there, so a batch that runs again after a failure finds its version written
+    and is left out.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
@@ -48,7 +49,6 @@ def merge_batches(stream: DataFrame, properties: VersionedTable, clock: Callable
         properties.write(insert(updated, outcomes.where("outcome = 'Added'"), now, top + 1))
         outcomes.unpersist()
 
-    base = properties.version()
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
