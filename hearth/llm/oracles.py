@@ -73,6 +73,23 @@ SELECT conv_id, count(*) AS n_turns,
 FROM c GROUP BY conv_id
 """
 
+#: A word never holds a space, so two words joined by one are one shingle.
+OP7 = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, g FROM (
+    SELECT doc_id, w[k] || ' ' || w[k + 1] AS g FROM d, unnest(range(1, len(w))) AS t(k) WHERE len(w) >= 2 UNION ALL SELECT doc_id, w[1] FROM d WHERE len(w) = 1)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT u, v FROM p JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * c >= 80 * (x.n + y.n - c)),
+e AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
+reach(a, b) AS (SELECT u, v FROM e UNION SELECT a, e.v FROM reach JOIN e ON reach.b = e.u),
+c AS (SELECT a AS doc_id, min(b) AS least FROM reach GROUP BY a)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(doc_id, coalesce(least, doc_id)) AS component_id, doc_id = least(doc_id, coalesce(least, doc_id)) AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
+
 OP8 = rf"""
 WITH l AS (
   SELECT doc_id, k, lines[k] AS line,
@@ -128,4 +145,4 @@ FROM (SELECT archive, root FROM roots WHERE side = 'a') x FULL JOIN (SELECT arch
 LEFT JOIN n USING (archive) LEFT JOIN e USING (archive)
 """
 
-SQL: dict[str, str] = {"op2_decontaminate": OP2, "op4_quality_rules": OP4, "op5_chat_format": OP5, "op8_line_dedup": OP8, "op10_warc_fixity": OP10}
+SQL: dict[str, str] = {"op2_decontaminate": OP2, "op4_quality_rules": OP4, "op5_chat_format": OP5, "op7_minhash_dedup": OP7, "op8_line_dedup": OP8, "op10_warc_fixity": OP10}
