@@ -5,9 +5,13 @@ functions.  Documents that agree on a band are candidates; their signatures, the
 full sets confirm a link; linked documents form components.
 
 Documents with equal sets are joined first and only one of them goes on.  In a bucket
-every member is first compared with one centre.  What that links is one component; only
-pairs of a bucket from different components are still compared, so a group of thousands
-of near copies gives a few pairs for each member and no link between components is lost.
+every member is compared with one centre, the document that shares most buckets with
+others.  Then members outside a bucket's main component are compared with all members of
+other components, inside the join and by sketches, one of which is exact from one side:
+the XOR of two sets' parity bits has no more ones than their symmetric difference has
+members.  Only pairs that may be links leave the join, each from the first band that it
+shares; pairs inside a component are never compared, and no link between components is
+lost.
 
 A pair of similarity s agrees on no band with probability (1 - s^rows)^bands: 3e-6 for
 0.8 with 32 bands of 5 rows.
@@ -28,15 +32,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialise, slices, texts
+from .common import broadcast_if_small, materialise, slices, small_batches, texts
 from .components import connected_components
 
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 #: Ids that a broadcast holds at most (8 MB of keys).
 MAX_IDS = 500_000
+#: Parity bits of a set: each tells whether an odd number of its shingles falls on it.
+PARITY_BITS = 2048
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -90,6 +96,11 @@ class Signer:
             out = _mix(out) * _STEP + h[j : len(h) - size + 1 + j]
         return np.unique(_mix(out + np.uint64(size)))
 
+    def parity(self, found: np.ndarray) -> np.ndarray:
+        """``PARITY_BITS`` bits as longs; those of two sets XOR to those of their symmetric difference."""
+        at = (_mix(found ^ _STEP) % np.uint64(PARITY_BITS)).astype(np.int64)
+        return np.packbits((np.bincount(at, minlength=PARITY_BITS) & 1).astype(np.uint8)).view(np.int64)
+
     def minima(self, sets: list[np.ndarray]) -> np.ndarray:
         """One row of minima for each of the sets, none of them empty."""
         x = np.concatenate(sets)
@@ -128,34 +139,41 @@ def _sign(size: int, bands: int, rows: int):
                     end += 1
                 minima = signer.minima([sets[i] for i in full[begin:end]])
                 # eight mixed bits of each minimum: two that differ agree once in 256 times
-                short = (_mix(minima) >> np.uint64(56)).astype(np.uint8)
-                for i, k, s in zip(full[begin:end], signer.keys(minima), short, strict=True):
-                    keys[i], signatures[i] = k, s.tobytes()
+                short = np.ascontiguousarray((_mix(minima) >> np.uint64(56)).astype(np.uint8))
+                for i, k, s in zip(full[begin:end], signer.keys(minima), short.view(np.int64), strict=True):
+                    keys[i], signatures[i] = k, s
                 begin = end
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(signatures, pa.binary())], ["id", "n", "digest", "keys", "signature"]
+                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(signatures, pa.list_(pa.int64())), pa.array([signer.parity(s) if len(s) else None for s in sets], pa.list_(pa.int64()))], ["id", "n", "digest", "keys", "signature", "parity"]
             )
 
     return run
 
 
 def sign(docs: DataFrame, doc_id: str, text: str, size: int, bands: int, rows: int) -> DataFrame:
-    """(id, n, digest, keys, signature) of each row; keys and signature are null for an empty set."""
+    """(id, n, digest, keys, signature, parity) of each row; the last three are null for an empty set."""
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).mapInArrow(_sign(size, bands, rows), f"id {kind}, n long, digest binary, keys array<long>, signature binary")
+    return docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).mapInArrow(_sign(size, bands, rows), f"id {kind}, n long, digest binary, keys array<long>, signature array<long>, parity array<long>")
 
 
-def _alike(least: int):
-    """Keeps pairs whose signatures agree in ``least`` places at least."""
+def places_apart(a: Column, b: Column, words: int) -> Column:
+    """In how many of 8 * ``words`` places two signatures differ: bytes of their XORs that aren't 0."""
+    low = F.lit(0x0101010101010101)
+    total = F.lit(0)
+    for i in range(words):
+        x = a[i].bitwiseXOR(b[i])
+        for step in (4, 2, 1):  # each byte's lowest bit becomes 1 if any of its bits is
+            x = x.bitwiseOR(F.shiftrightunsigned(x, step))
+        total = total + F.bit_count(x.bitwiseAND(low))
+    return total
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
-                keep = pa.array((a == b).sum(axis=1) >= least)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(keep)
 
-    return run
+def bits_apart(a: Column, b: Column) -> Column:
+    """A lower bound of the size of the symmetric difference of two sets, from their parity bits."""
+    total = F.lit(0)
+    for i in range(PARITY_BITS // 64):
+        total = total + F.bit_count(a[i].bitwiseXOR(b[i]))
+    return total
 
 
 def _similar(size: int, percent: int):
@@ -188,58 +206,89 @@ class Finder:
     def __init__(self, docs: DataFrame, size: int, percent: int, bands: int, rows: int):
         self.docs, self.size, self.percent = docs, size, percent
         places, s = bands * rows, percent / 100
-        # 5.5 standard deviations below what documents of just that similarity expect
-        self.least = max(1, math.floor(places * s - 5.5 * math.sqrt(places * s * (1 - s))))
+        if places % 8:
+            raise ValueError("bands * rows must be a multiple of 8")
+        self.words = places // 8
+        # 5.5 standard deviations beyond what documents of just that similarity expect
+        self.most_apart = min(places - 1, math.ceil(places * (1 - s) + 5.5 * math.sqrt(places * s * (1 - s))))
         self.signed = materialise(sign(docs, "id", "text", size, bands, rows), "near-dup-signed")
 
+    def may_link(self, nu: str, nv: str, pu: str, pv: str, su: str, sv: str) -> Column:
+        """Lengths and parity bits that don't rule a link out, and signatures that agree.
+
+        Of two sets with similarity s or more, the symmetric difference has at most
+        (1 - s) / (1 + s) of the sum of their sizes.
+        """
+        sized = 100 * F.least(nu, nv) >= self.percent * F.greatest(nu, nv)
+        near = (100 + self.percent) * bits_apart(F.col(pu), F.col(pv)) <= (100 - self.percent) * (F.col(nu) + F.col(nv))
+        return sized & near & (places_apart(F.col(su), F.col(sv), self.words) <= self.most_apart)
+
+    def stars(self, members: DataFrame) -> DataFrame:
+        """Distinct pairs (u, v) of a bucket's centre and its other members that may be linked."""
+        centres = materialise(members.groupBy("key").agg(F.min("rank").alias("c")).select("key", F.col("c.id").alias("centre")), "near-dup-centres")
+        pairs = members.join(centres, "key").where("id <> centre").select(F.col("centre").alias("u"), F.col("id").alias("v")).distinct()
+        for x in "uv":
+            pairs = pairs.join(self.signed.where("id is not null").select(F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "parity", "signature"))), x)
+        return pairs.where(self.may_link("n_u", "n_v", "parity_u", "parity_v", "signature_u", "signature_v")).select("u", "v")
+
     def confirm(self, pairs: DataFrame) -> DataFrame:
-        """Those of the distinct pairs (u, v) whose signatures, then sets agree."""
-        signature = self.signed.select("id", "signature")
-        pairs = pairs.join(signature.select(F.col("id").alias("u"), F.col("signature").alias("a")), "u")
-        pairs = pairs.join(signature.select(F.col("id").alias("v"), F.col("signature").alias("b")), "v")
-        pairs = materialise(pairs.select("u", "v", "a", "b").mapInArrow(_alike(self.least), "u long, v long"), "near-dup-alike")
+        """Those of the distinct pairs (u, v) whose full sets are similar."""
+        pairs = materialise(pairs, "near-dup-alike")
         nodes = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
         full = self.docs.join(broadcast_if_small(nodes, MAX_IDS), "id", "left_semi")
         pairs = pairs.join(full.select(F.col("id").alias("u"), F.col("text").alias("text_u")), "u")
         pairs = pairs.join(full.select(F.col("id").alias("v"), F.col("text").alias("text_v")), "v")
-        return pairs.select("u", "v", "text_u", "text_v").mapInArrow(_similar(self.size, self.percent), "u long, v long")
+        return materialise(pairs.select("u", "v", "text_u", "text_v").mapInArrow(_similar(self.size, self.percent), "u long, v long"), "near-dup-links")
 
-    def links(self) -> tuple[DataFrame, DataFrame]:
-        """(digest, node) of the groups of equal sets, and confirmed links (u, v) that join all components."""
-        groups = materialise(self.signed.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("node")), "near-dup-groups")
+    def buckets(self, groups: DataFrame) -> DataFrame:
+        """(key, band, members, id, rank) of the buckets with two members or more; rank orders documents alike in all of them."""
         nodes = self.signed.join(groups.select("digest", F.col("node").alias("id")), ["digest", "id"], "left_semi")
-        rows = nodes.select("id", F.explode("keys").alias("key"))
-        # the centre of a bucket: the least by a hash that is the same in all buckets
-        centres = rows.groupBy("key").agg(F.count("*").alias("members"), F.min(F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("id"))).alias("c"))
-        # written first: both sides of the join are then plain shuffles, of which Spark splits skewed ones
-        shared = materialise(centres.where("members > 1").select("key", "members", F.col("c.id").alias("centre")), "near-dup-buckets")
+        rows = nodes.select("id", F.posexplode("keys").alias("band", "key"))
+        # written first: both sides of the joins are then plain shuffles, of which Spark splits skewed ones
+        shared = materialise(rows.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "near-dup-buckets")
         members = materialise(rows.join(shared, "key"), "near-dup-members")
-        stars = members.where("id <> centre").select(F.col("centre").alias("u"), F.col("id").alias("v")).distinct()
-        links = materialise(self.confirm(stars), "near-dup-links")
-        # buckets of two are done; larger ones may hold links between members of different components
-        component = connected_components(links)
-        large = members.where("members > 2").select("key", "id", "centre").join(component.withColumnRenamed("node", "id"), "id", "left")
-        large = materialise(large.select("key", "id", "centre", F.coalesce("component", "id").alias("component")), "near-dup-large")
-        # the most frequent component of a bucket isn't compared within itself nor taken as the left side
-        sizes = large.groupBy("key", "component").agg(F.count("*").alias("n"))
+        degree = materialise(members.groupBy("id").agg(F.sum("members").alias("degree")), "near-dup-degrees")
+        ranked = members.join(degree, "id").select("key", "band", "members", "id", F.struct((-F.col("degree")).alias("d"), F.xxhash64("id").alias("h"), F.col("id").alias("id")).alias("rank"))
+        return materialise(ranked, "near-dup-ranked")
+
+    def still_open(self, members: DataFrame, component: DataFrame) -> DataFrame:
+        """Members of the buckets that hold several components, with theirs and the bucket's most frequent one (main)."""
+        labelled = members.where("members > 2").join(component.withColumnRenamed("node", "id"), "id", "left")
+        labelled = materialise(labelled.select("key", "band", "id", "rank", F.coalesce("component", "id").alias("component")), "near-dup-labelled")
+        sizes = labelled.groupBy("key", "component").agg(F.count("*").alias("n"))
         mixed = sizes.groupBy("key").agg(F.count("*").alias("components"), F.max(F.struct("n", "component")).alias("m")).where("components > 1")
         mixed = materialise(mixed.select("key", F.col("m.component").alias("main")), "near-dup-mixed")
-        large = materialise(large.join(mixed, "key").where("id <> centre"), "near-dup-open")
-        left = large.where("component <> main").select("key", F.col("id").alias("u"), F.col("component").alias("cu"), "main")
-        right = large.select("key", F.col("id").alias("v"), F.col("component").alias("cv"))
-        apart = (F.col("cu") != F.col("cv")) & ((F.col("cv") == F.col("main")) | (F.col("u") < F.col("v")))
-        rest = left.join(right, "key").where(apart).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        more = materialise(self.confirm(rest), "near-dup-more")
+        return materialise(labelled.join(mixed, "key"), "near-dup-open")
+
+    def links(self) -> tuple[DataFrame, DataFrame]:
+        """(digest, node) of the groups of equal sets, and (node, component) of the linked nodes."""
+        groups = materialise(self.signed.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("node")), "near-dup-groups")
+        members = self.buckets(groups)
+        links = self.confirm(self.stars(members))
+        component = connected_components(links)
+        more = self.confirm(self.across(self.still_open(members, component)))
         if more.take(1):
-            links = links.unionByName(more)
-            component = connected_components(links)
+            component = connected_components(links.unionByName(more))
         return groups, component
 
+    def across(self, rest: DataFrame) -> DataFrame:
+        """Distinct pairs (u, v) of a bucket from different components that may be linked, each from the first band that it shares."""
+        known = self.signed.where("id is not null").select("id", "n", "parity", "signature", "keys")
+        # keys hold their band, so equal ones are of equal bands; those of earlier bands tell whether a pair came before
+        full = rest.join(known, "id").select("key", "id", "component", "main", "n", "parity", "signature", F.slice("keys", F.lit(1), F.col("band")).alias("before"))
+        full = materialise(full, "near-dup-rest")
+        left, right = (full.select("key", *(F.col(c).alias(f"{c}_{x}") for c in full.columns if c != "key")) for x in "uv")
+        left, right = left.where("component_u <> main_u"), right.withColumnRenamed("key", "k")
+        apart = (F.col("component_u") != F.col("component_v")) & ((F.col("component_v") == F.col("main_v")) | (F.col("id_u") < F.col("id_v")))
+        alike = self.may_link("n_u", "n_v", "parity_u", "parity_v", "signature_u", "signature_v")
+        pairs = left.join(right, (F.col("key") == F.col("k")) & apart & alike & ~F.arrays_overlap("before_u", "before_v"))
+        return pairs.select(F.least("id_u", "id_v").alias("u"), F.greatest("id_u", "id_v").alias("v")).distinct()
+
 
 def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, bands: int = 32, rows: int = 5) -> DataFrame:
     """One row for each row of ``docs``: its id, n_shingles, component_id (the least id of its component), kept."""
     kind = docs.schema[doc_id].dataType.simpleString()
-    plain = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    plain = small_batches(docs).select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     repeated = bool(plain.groupBy("id").count().where("id is not null and count > 1").take(1))
     one = plain
     if repeated:
