@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, share, slices, texts
+from .common import materialise, share, slices, small_batches, texts
 
 #: Bytes outside words become spaces, A-Z become a-z.
 _NORMAL = bytes(b if b >= 128 or chr(b).isdigit() or chr(b).islower() else b + 32 if chr(b).isupper() else 32 for b in range(256))
@@ -117,6 +117,7 @@ def scanners(benchmark: DataFrame, item_id: str, text: str, window: int, max_byt
 def scan(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, max_bytes: int = 1 << 20) -> DataFrame:
     """One row for each row of ``docs``: id, n_words, n_hit, items (sorted), spans (begin, end), contaminated."""
     automata = scanners(benchmark, item_id, item_text, window, max_bytes)
+    docs = small_batches(docs)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("id"), F.col(text).alias("text"))
     kind = docs.schema[doc_id].dataType.simpleString()
     schema = f"row long, id {kind}, n_words long, hit array<long>, items array<string>, spans array<struct<begin:long,end:long>>"
@@ -157,6 +158,7 @@ def _scan(shared):
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, max_bytes: int = 1 << 20) -> DataFrame:
     """The rows of ``docs``, with all their columns, in which no window occurs."""
     automata = scanners(benchmark, item_id, item_text, window, max_bytes)
+    docs = small_batches(docs)
     for k, a in enumerate(automata):
         docs = docs.mapInArrow(_clean(share(docs.sparkSession.sparkContext, a), text), docs.schema)
         if k < len(automata) - 1:  # one automaton at a time in a worker's memory

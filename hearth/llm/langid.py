@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, share, slices
+from .common import materialise, share, slices, small_batches
 from .lattice import Vocabulary, expected_uses, prior, score_words
 from .vocabulary import read_model
 
@@ -65,7 +65,7 @@ def fit(
     docs_per_lang: the bound of the sample.  A language with more rows gives that many in
     expectation, chosen by a hash of the text; one with fewer gives all.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     model = read_model(vocabulary_path)
     vocabulary = Vocabulary.of(model)
     labelled = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, slices
+from .common import materialise, slices, small_batches
 
 _SPANS = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
 
@@ -60,7 +60,7 @@ def _units(min_words: int):
 def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 10) -> DataFrame:
     """(id, hash, spans) of the documents that lose lines; hash is xxhash64 of the text, spans (begin, end) are sorted."""
     kind = docs.schema[doc_id].dataType.simpleString()
-    rows = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"))
+    rows = small_batches(docs).where(F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"))
     units = materialise(rows.mapInArrow(_units(min_words), f"id {kind}, hash long, position int, begin long, end long, digest binary"), "line-dedup-units")
     place = F.struct(F.col("id").isNull().alias("unnamed"), F.col("id").alias("id"), F.col("hash").alias("hash"), F.col("position").alias("position"))
     first = units.groupBy("digest").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, share, slices, texts
+from .common import materialise, share, slices, small_batches, texts
 from .lattice import Vocabulary, expected_uses, prior, score_words
 from .vocabulary import read_model
 
@@ -64,7 +64,7 @@ def fit(docs: DataFrame, vocabulary_path: str, text: str = "text", prior_uses: f
     prior_uses: how many uses the vocabulary's own scores stand for.
     frequent_words: the bound of the table that each task holds in memory.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     file = read_model(vocabulary_path)
     vocabulary = Vocabulary.of(file)
     own = prior(file, vocabulary.size)

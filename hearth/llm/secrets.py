@@ -22,7 +22,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import share, slices, texts
+from .common import share, slices, small_batches, texts
 
 #: The kinds of spans in their order (fixed values).
 KINDS = ("assign", "access", "hex", "random")
@@ -103,6 +103,7 @@ class Scanner:
 
 
 def _scanner(docs: DataFrame, ranks_path: str, min_chars: int, max_ratio: float):
+    small_batches(docs)
     with open(ranks_path, "rb") as f:  # a vocabulary file, about 1 MB
         return share(docs.sparkSession.sparkContext, Scanner(f.read(), min_chars, max_ratio))
 
