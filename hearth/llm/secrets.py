@@ -15,7 +15,9 @@ from __future__ import annotations
 
 import base64
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import tiktoken
@@ -87,10 +89,12 @@ class Scanner:
         """All spans as (start, kind, end), sorted, in code points."""
         out = self.base(text)
         if b"t" * self.min_chars in text.translate(_TOKEN_RUN):
-            taken = list(out)
+            taken = sorted(out)
+            starts, reach = [s for s, _, _ in taken], [0, *accumulate((e for _, _, e in taken), max)]
             for m in _CANDIDATE.finditer(text):
                 a, b = m.span()
-                if b - a >= self.min_chars and not any(a < e and s < b for s, _, e in taken) and self.is_random(m[0]):
+                # of the base spans that begin before b, the one that reaches farthest tells whether any overlaps
+                if b - a >= self.min_chars and reach[bisect_left(starts, b)] <= a and self.is_random(m[0]):
                     out.append((a, 3, b))
         if out and not text.isascii():
             points: dict[int, int] = {}

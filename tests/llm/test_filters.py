@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
 from collections import Counter
 
@@ -103,6 +104,25 @@ CASES = [
 ]
 
 
+def test_random_spans_leave_out_what_base_spans_cover():
+    with open(RANKS, "rb") as f:
+        scanner = secrets.Scanner(f.read(), 8, 2.2)
+    rng = random.Random(3)
+    parts = ["0a" * 12, "token=abcdef1", "AKIA" + "B2" * 9, "x9Qz7Kp2Vw", "q8Z=token=w7Xk2Jv9", " ", "=", "/", "\n", "word", "é"]
+    for _ in range(300):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(12))).encode()
+        base = scanner.base(text)
+        expected = [m.span() for m in secrets._CANDIDATE.finditer(text) if m.end() - m.start() >= 8 and not any(m.start() < e and s < m.end() for s, _, e in base) and scanner.is_random(m[0])]
+        found = [(len(text.decode()[:a].encode()), len(text.decode()[:b].encode())) for a, k, b in scanner.scan(text) if k == 3]
+        assert found == expected
+
+
+def test_very_many_spans_in_one_text():
+    with open(RANKS, "rb") as f:
+        scanner = secrets.Scanner(f.read(), 20, 2.2)
+    assert len(scanner.scan(b"0123456789abcdef01234567 " * 100_000)) == 100_000
+
+
 def test_base_spans_equal_brute_force(spark, sf_dir):
     docs = frame(spark, [*enumerate(CASES), (100, None)], ", spans int, kind string", (1, "k"))
     for r in secrets.scan(docs, RANKS).collect():
