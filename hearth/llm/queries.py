@@ -61,7 +61,7 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"), RANKS)
     part = lambda x: F.concat_ws(":", x["kind"], x["begin"], x["end"])
     of = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long")
-    base = F.array_join(F.transform(F.filter("spans", lambda x: x["kind"] != "random"), part), ",")
+    base = F.array_join(F.transform(F.filter("spans", lambda x: ~x["kind"].isin("random", "part")), part), ",")
     return found.select(
         "doc_id", of("assign").alias("n_assign"), of("access").alias("n_access"), of("hex").alias("n_hex"), F.sha2(base, 256).alias("base_sha256"), F.array_join(F.transform("spans", part), ",").alias("spans")
     )

@@ -6,6 +6,11 @@ letter and a digit that gets fewer than ``max_ratio`` characters a token looks r
 Known digests (hexadecimal of usual lengths), UUIDs and identifiers (parts of only
 letters or only digits between separators) are left out, as is what a base span covers.
 
+A whole run that no base span touches has the kind ``random``.  Readable names in a run
+would hide its random part, so a run that passes as a whole is tested again by its worst
+stretches between separators, and so is what base spans leave of a run that they touch;
+these spans have the kind ``part``.
+
 Defined results: a null or empty text has no spans.  Offsets are code points, the end is
 exclusive.  Repeated rows each get a row; other columns are ignored by ``scan`` and kept
 by ``redact``.
@@ -15,9 +20,8 @@ from __future__ import annotations
 
 import base64
 import re
-from bisect import bisect_left
+from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import accumulate
 
 import pyarrow as pa
 import tiktoken
@@ -27,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import share, slices, small_batches, texts
 
 #: The kinds of spans in their order (fixed values).
-KINDS = ("assign", "access", "hex", "random")
+KINDS = ("assign", "access", "hex", "random", "part")
 #: Base forms (fixed patterns); on bytes, so only ASCII letters have two cases.
 ASSIGN = re.compile(rb"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
@@ -37,6 +41,8 @@ _KEYS = (b"passw", b"secret", b"token", b"api")
 _CANDIDATE = re.compile(rb"[A-Za-z0-9+/=_-]+")
 _IDENTIFIER = re.compile(rb"(?:[A-Za-z]+|[0-9]+)(?:[-_/=+]+(?:[A-Za-z]+|[0-9]+))*[-_/=+]*")
 _UUID = re.compile(rb"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
+#: What a run is cut into: UUIDs, separators, and what is between those.
+_ATOM = re.compile(rb"(?<![A-Za-z0-9])" + _UUID.pattern + rb"(?![A-Za-z0-9])|[A-Za-z0-9]+|[+/=_-]+")
 _HEXADECIMAL = re.compile(rb"[0-9a-f]+|[0-9A-F]+")
 #: Lengths of usual digests in hexadecimal: MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512 (fixed values).
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
@@ -47,6 +53,27 @@ _HEX_RUN = bytes(104 if chr(b) in "0123456789abcdef" else 32 for b in range(256)
 _TOKEN_RUN = bytes(116 if _CANDIDATE.fullmatch(bytes([b])) else 32 for b in range(256))
 
 
+def _mixed(found: bytes) -> bool:
+    """Whether there are letters and digits, and not as parts of an identifier."""
+    return not _IDENTIFIER.fullmatch(found) and bool(re.search(rb"[0-9]", found)) and bool(re.search(rb"[A-Za-z]", found))
+
+
+def _known(found: bytes) -> bool:
+    """Whether it is a UUID or a usual digest."""
+    return bool(_UUID.fullmatch(found)) or len(found) in DIGEST_LENGTHS and bool(_HEXADECIMAL.fullmatch(found))
+
+
+def _joined(spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """(start, end) of what spans cover, in order and disjoint."""
+    out: list[tuple[int, int]] = []
+    for s, _, e in sorted(spans):
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
 class Scanner:
     """Finds the spans of one text; holds one tokenizer of fixed size."""
 
@@ -60,11 +87,14 @@ class Scanner:
     def __setstate__(self, state):
         self.__init__(*state)
 
-    def chars_per_token(self, text: str) -> float:
+    def tokens(self, text: str) -> int:
         if self._encoding is None:
             merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, self.ranks.splitlines())}
             self._encoding = tiktoken.Encoding("ranks", pat_str=PIECES, mergeable_ranks=merges, special_tokens={})
-        return len(text) / max(1, len(self._encoding.encode_ordinary(text)))
+        return len(self._encoding.encode_ordinary(text))
+
+    def chars_per_token(self, text: str) -> float:
+        return len(text) / max(1, self.tokens(text))
 
     def base(self, text: bytes) -> list[tuple[int, int, int]]:
         """(start, kind, end) in bytes.  A failing match of a form is consumed all the same."""
@@ -79,23 +109,76 @@ class Scanner:
         return out
 
     def is_random(self, found: bytes) -> bool:
-        if _IDENTIFIER.fullmatch(found) or not re.search(rb"[0-9]", found) or not re.search(rb"[A-Za-z]", found):
-            return False
-        if _UUID.fullmatch(found) or len(found) in DIGEST_LENGTHS and _HEXADECIMAL.fullmatch(found):
-            return False
-        return self.chars_per_token(found.decode()) < self.max_ratio
+        return _mixed(found) and not _known(found) and self.chars_per_token(found.decode()) < self.max_ratio
+
+    def parts(self, run: bytes) -> list[tuple[int, int]]:
+        """The random stretches (begin, end) of a run, each from separator to separator.
+
+        An atom scores the characters that its tokens would hold at ``max_ratio``, less those
+        that they hold.  Stretches are the disjoint ones of highest score (Ruzzo and Tompa, in
+        linear time), so atoms that are random by themselves always lie in one.  UUIDs and
+        known digests end a stretch.
+        """
+        if len(run) < self.min_chars or not _mixed(run):
+            return []
+        out: list[tuple[int, int]] = []
+        open_: list[tuple[float, float, int, int, int]] = []  # score before and after, begin, end, the last stretch before with a lower score before
+
+        def close() -> None:
+            for _, _, a, b, _ in open_:
+                b = a + len(run[a:b].rstrip(b"+/=_-"))
+                a = b - len(run[a:b].lstrip(b"+/=_-"))
+                if b - a >= self.min_chars and self.is_random(run[a:b]):
+                    out.append((a, b))
+            open_.clear()
+
+        total = 0.0
+        for m in _ATOM.finditer(run):
+            if _known(m[0]):
+                close()
+                continue
+            before = total
+            total += self.max_ratio * self.tokens(m[0].decode()) - len(m[0])
+            if total <= before:
+                continue
+            begin = m.start()
+            while True:
+                j = len(open_) - 1
+                while j >= 0 and open_[j][0] >= before:
+                    j = open_[j][4]
+                if j < 0 or open_[j][1] >= total:
+                    break
+                before, begin = open_[j][0], open_[j][2]
+                del open_[j:]
+            if j < 0:
+                close()
+            open_.append((before, total, begin, m.end(), j))
+        close()
+        return out
+
+    def _parts_of(self, text: bytes, a: int, b: int) -> list[tuple[int, int, int]]:
+        return [(a + s, 4, a + e) for s, e in self.parts(text[a:b])] if b > a else []
 
     def scan(self, text: bytes) -> list[tuple[int, int, int]]:
         """All spans as (start, kind, end), sorted, in code points."""
         out = self.base(text)
         if b"t" * self.min_chars in text.translate(_TOKEN_RUN):
-            taken = sorted(out)
-            starts, reach = [s for s, _, _ in taken], [0, *accumulate((e for _, _, e in taken), max)]
+            taken = _joined(out)
+            ends = [e for _, e in taken]
             for m in _CANDIDATE.finditer(text):
                 a, b = m.span()
-                # of the base spans that begin before b, the one that reaches farthest tells whether any overlaps
-                if b - a >= self.min_chars and reach[bisect_left(starts, b)] <= a and self.is_random(m[0]):
+                if b - a < self.min_chars:
+                    continue
+                k = bisect_right(ends, a)
+                touched = k < len(taken) and taken[k][0] < b
+                if not touched and self.is_random(m[0]):
                     out.append((a, 3, b))
+                    continue
+                while k < len(taken) and taken[k][0] < b:
+                    out += self._parts_of(text, a, taken[k][0])
+                    a = taken[k][1]
+                    k += 1
+                out += self._parts_of(text, a, b)
         if out and not text.isascii():
             points: dict[int, int] = {}
             before = at = 0

@@ -141,6 +141,33 @@ def test_random_strings_are_found_and_identifiers_are_not(spark):
     assert found == {0: ["random"], 1: [], 2: ["hex"], 3: [], 4: [], 5: ["hex"]}
 
 
+def test_random_parts_of_longer_runs_are_found(spark):
+    rng = random.Random(7)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    texts, wanted = [], []
+    for i in range(200):
+        secret = "".join(rng.choices(alphabet, k=18)) + "a7"
+        before, after = [("production_database_credentials=", ""), ("/user/account/settings/verification/", "/overview/details"), ("AKIA" + "Q2" * 8 + "/", ""), ("é AKIA" + "Q2" * 8 + "=", "_" + "0a" * 12)][i % 4]
+        texts.append(before + secret + after)
+        wanted.append((len(before), len(before) + 20))
+    docs = frame(spark, list(enumerate(texts)))
+    for r in secrets.scan(docs, RANKS).collect():
+        a, b = wanted[r["doc_id"]]
+        assert any(s["kind"] in ("random", "part") and s["begin"] <= a and s["end"] >= b for s in r["spans"]), texts[r["doc_id"]]
+    for r in secrets.redact(docs, RANKS).collect():
+        a, b = wanted[r["doc_id"]]
+        assert texts[r["doc_id"]][a:b] not in r["text"]
+    names = "/user/account/settings/verification/notification/overview/details/information/"
+    plain = [names + "v1/123e4567-e89b-12d3-a456-426614174000", names + "v1/" + "D41D8CD98F00B204E9800998ECF8427E", "AKIA" + "Q2" * 8 + "/user/account/settings/version2/verification"]
+    assert [[s["kind"] for s in r["spans"]] for r in secrets.scan(frame(spark, list(enumerate(plain))), RANKS).orderBy("doc_id").collect()] == [[], [], ["access"]]
+
+
+def test_a_very_long_run_takes_linear_time():
+    with open(RANKS, "rb") as f:
+        scanner = secrets.Scanner(f.read(), 20, 2.2)
+    assert scanner.scan(b"verification/x1/" * 60_000) == [] and len(scanner.scan(b"verification/settings/x9Qz7LmP2vKt8RwY4bNc6HjD/" * 20_000)) in (1, 20_000)
+
+
 def test_redaction(spark):
     docs = frame(spark, [(1, "é token=\"abcdef123\" end"), (2, "clean"), (3, None), (3, None)], ", n_chars long, spans string", (99, "s"))
     rows = {r["doc_id"]: r for r in secrets.redact(docs, RANKS, length="n_chars").collect()}
