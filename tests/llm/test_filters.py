@@ -45,6 +45,26 @@ def test_long_items_match_by_window(spark):
     assert {r["doc_id"]: r["n_hit"] for r in decontaminate.scan(docs, items).collect()} == {1: 11, 2: 0}
 
 
+def test_several_blocks_give_what_one_gives(spark):
+    # item 1 has two rows with different texts, as question and answer; hits of different items overlap or follow each other
+    rows = [("1", "red orange yellow"), ("1", "green blue violet"), ("2", "yellow green"), ("3", "blue violet black"), ("4", "white grey")]
+    rows += [(str(i), f"filler{i} text{i}") for i in range(5, 60)] + rows[:2]
+    items = spark.createDataFrame(rows, "item_id string, text string")
+    texts = ["É red, orange; yellow. green blue violet - white grey", "red orange yellow x green blue violet", "blue violet black white grey", "nothing", "", None, "red orange yellow x green blue violet"]
+    docs = frame(spark, [*enumerate(texts)])
+    key = lambda d: sorted(str(r) for r in d.collect())
+    one = decontaminate.scan(docs, items)
+    assert [r["items"] for r in one.where("doc_id = 1").collect()] == [["1"]] and [len(r["spans"]) for r in one.where("doc_id = 0").collect()] == [1]
+    for max_bytes in (500, 150):
+        assert key(decontaminate.scan(docs, items, max_bytes=max_bytes)) == key(one)
+    assert key(decontaminate.remove_contaminated(docs, items, max_bytes=100)) == key(decontaminate.remove_contaminated(docs, items)) == key(docs.where("doc_id in (3, 4, 5)"))
+
+
+def test_only_workers_build_automata(spark):
+    scanner = decontaminate.Scanner([("1", b"a b c")], 10)
+    assert scanner.patterns is None and scanner.scan(b"x a b c")[1:] == ([1, 2, 3], ["1"])
+
+
 def test_op2_equals_sql(spark, sf_dir):
     from hearth.llm.oracles import SQL
 
