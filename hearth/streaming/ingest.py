@@ -20,8 +20,15 @@ def landed(spark: SparkSession, path: str, schema: T.StructType, glob: str | Non
     return (reader.option("pathGlobFilter", glob) if glob else reader).parquet(path)
 
 
-def without_repeats(stream: DataFrame, key: str, time: str, delay: str = "1 hour") -> DataFrame:
-    """Repeats of a key within the delay are dropped; the state is bounded by it."""
+def without_repeats(stream: DataFrame, key: str, time: str, delay: str | None = "1 hour") -> DataFrame:
+    """Repeats of a key within the delay are dropped; the state is bounded by it.
+
+    Rows older than those of earlier batches by more than the delay are dropped as late.
+    With ``delay=None`` no row is late and each key stays once, whatever the order of the
+    rows; the state holds every key, so this is for bounded streams.
+    """
+    if delay is None:
+        return stream.dropDuplicates([key])
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
 
 

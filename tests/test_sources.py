@@ -5,11 +5,13 @@ from __future__ import annotations
 import json
 from datetime import datetime
 from decimal import Decimal
+from functools import partial
 
 from pyspark.sql import functions as F
 
 from hearth import schema
 from hearth.operators.merge import VersionedTable
+from hearth.plans import extension_queries
 from hearth.sources import common, html_cards, json_api, json_in_html
 from hearth.streaming.ingest import landed, merge_batches
 
@@ -98,6 +100,15 @@ def test_detail_precedence(spark):
     assert [r["url"] for r in common.needs_detail(preview, stored).collect()] == ["w"]
 
 
+def test_stream_counts_events_of_mixed_times(spark, tmp_path, monkeypatch):
+    # the latest file comes first, one file is a batch
+    monkeypatch.setattr(extension_queries, "landed", partial(landed, files_per_batch=1))
+    for k, day in enumerate((30, 1, 15, 2)):
+        rows = [(100 * k + i, datetime(2024, 1, day, i)) for i in range(10)] + [(3, datetime(2024, 1, day))]
+        spark.createDataFrame(rows, "event_id long, ts timestamp").coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    assert [r["n"] for r in extension_queries.stream_without_repeats(spark, str(tmp_path)).collect()] == [40]
+
+
 def test_stream_merges_pages(spark, tmp_path):
     now = datetime(2024, 1, 1)
     page = lambda i, price: json.dumps({"elementList": [{"propertyCode": str(i), "price": price, "province": "Porto", "municipality": f"m{i}"}]})
