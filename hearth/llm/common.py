@@ -47,6 +47,15 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if len(df.select(F.lit(1)).take(max_rows + 1)) <= max_rows else df
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that no column of ``df`` has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    name = f"__{name}"
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of a column as text, modulo ``n`` (null stays null)."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(n)

@@ -90,23 +90,36 @@ SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(doc_id, coale
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
 """
 
+#: Words with the white space behind them make up a line; a word that ends in one of .!? or a line ends a unit.
 OP8 = rf"""
 WITH l AS (
-  SELECT doc_id, k, lines[k] AS line,
-    list_filter(regexp_split_to_array(translate(lines[k], '{UPPER}', '{LOWER}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
-  FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL), unnest(range(1, len(lines) + 1)) AS t(k)),
-r AS (
-  SELECT *, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k) - length(line) - 1 AS b,
-    len(w) >= 10 AND row_number() OVER (PARTITION BY array_to_string(w, ' ') ORDER BY doc_id, k) > 1 AS gone
-  FROM l),
+  SELECT doc_id, ln, lines[ln] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL), unnest(range(1, len(lines) + 1)) AS t(ln)),
+p AS (
+  SELECT doc_id, ln, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+[\x20\x09-\x0D]*') AS w, length(regexp_extract(line, '^[\x20\x09-\x0D]*')) AS lead,
+    sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY ln) - length(line) - 1 AS b FROM l),
+x AS (
+  SELECT doc_id, ln, j, w[j] AS piece, b + lead + coalesce(sum(length(w[j])) OVER (PARTITION BY doc_id, ln ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b,
+    CASE WHEN j = 1 OR regexp_matches(w[j - 1], '[.!?][\x20\x09-\x0D]*$') THEN 1 ELSE 0 END AS starts
+  FROM p, unnest(range(1, len(w) + 1)) AS t(j)),
+y AS (SELECT *, sum(starts) OVER (PARTITION BY doc_id ORDER BY ln, j) AS u FROM x),
+units AS (
+  SELECT doc_id, u, min(ln) AS ln, min(b) AS b, string_agg(piece, '' ORDER BY j) AS body, count(*) AS n,
+    string_agg(regexp_replace(translate(piece, '{UPPER}', '{LOWER}'), '[\x20\x09-\x0D]+$', ''), ' ' ORDER BY j) AS words FROM y GROUP BY doc_id, u),
+c AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY u) AS upto FROM units),
+r AS (SELECT a.doc_id, a.u AS first, z.u AS last FROM c a JOIN c z ON z.doc_id = a.doc_id AND z.upto >= a.upto - a.n + 25 AND z.upto - z.n < a.upto - a.n + 25),
+g AS (SELECT r.doc_id, first, last, string_agg(words, ' ' ORDER BY u) AS passage FROM r JOIN c ON c.doc_id = r.doc_id AND c.u BETWEEN first AND last GROUP BY ALL),
+o AS (SELECT doc_id, first, last, row_number() OVER (PARTITION BY passage ORDER BY doc_id, first) AS k FROM g),
+gone AS (SELECT DISTINCT c.doc_id, c.u FROM o JOIN c ON c.doc_id = o.doc_id AND c.u BETWEEN first AND last WHERE k > 1),
+m AS (SELECT units.*, gone.u IS NOT NULL AS out FROM units LEFT JOIN gone USING (doc_id, u)),
 t AS (
-  SELECT doc_id, count(*) FILTER (gone) AS n, sum(length(line)) FILTER (gone) AS chars,
-    string_agg(CAST(b AS BIGINT) || ':' || CAST(b + length(line) AS BIGINT), ',' ORDER BY k) FILTER (gone) AS spans,
-    string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone) AS kept
-  FROM r GROUP BY doc_id)
+  SELECT doc_id, count(*) AS n, sum(length(body)) AS chars, string_agg(CAST(b AS BIGINT) || ':' || CAST(b + length(body) AS BIGINT), ',' ORDER BY u) AS spans FROM m WHERE out GROUP BY doc_id),
+k AS (SELECT doc_id, ln, coalesce(string_agg(body, '' ORDER BY u) FILTER (NOT out), '') AS body, bool_and(out) AS out FROM m GROUP BY doc_id, ln),
+s AS (
+  SELECT p.doc_id, string_agg(CASE WHEN k.ln IS NULL THEN line ELSE substr(line, 1, lead) || k.body END, chr(10) ORDER BY p.ln) AS kept
+  FROM p LEFT JOIN k ON k.doc_id = p.doc_id AND k.ln = p.ln WHERE NOT coalesce(k.out, false) GROUP BY p.doc_id)
 SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, CAST(coalesce(chars, 0) AS BIGINT) AS removed_chars, coalesce(spans, '') AS removed_spans,
   CASE WHEN text IS NOT NULL THEN coalesce(kept, '') END AS text
-FROM documents LEFT JOIN t USING (doc_id)
+FROM documents LEFT JOIN t USING (doc_id) LEFT JOIN s USING (doc_id)
 """
 
 _LEVEL = "SELECT side, archive, node // 8 AS node, sha256(string_agg(hash, '' ORDER BY node)) AS hash FROM {0} GROUP BY side, archive, node // 8"

@@ -195,16 +195,68 @@ def test_redaction(spark):
     assert secrets.redact(docs.where("false"), RANKS).collect() == []
 
 
-def test_line_dedup_edge_cases(spark):
+def test_passage_dedup_edge_cases(spark):
     line = "one two three four five six seven eight nine ten"
-    rows = [(2, f"{line}\nkeep é\n{line.upper()}  "), (1, f"first\n{line}"), (3, None), (4, ""), (5, "short"), (6, "short"), (None, line), (7, line), (7, line)]
-    docs = frame(spark, rows, ", removed int, hash long", (1, 2))
-    out = line_dedup.apply(docs)
-    assert out.columns == ["doc_id", "text", "hash", "removed"]
+    rows = [(2, f"{line}\nkeep é\n {line.upper()}  "), (1, f"first\n{line}"), (3, None), (4, ""), (5, "short"), (6, "short"), (None, line), (7, line), (7, line), (8, " \n\n\t")]
+    docs = frame(spark, rows, ", removed int, hash long, __id int, __ID_ int, __hash int, __runs int", (1, 2, 3, 4, 5, 6))
+    out = line_dedup.apply(docs, min_words=10)
+    assert out.columns == ["doc_id", "text", "hash", "__id", "__ID_", "__hash", "__runs", "removed"]
     texts = sorted((str(r["doc_id"]), str(r["text"]), [(s["begin"], s["end"]) for s in r["removed"]]) for r in out.collect())
     n = len(line)
-    assert texts == sorted([("2", "keep é", [(0, n), (n + 8, 2 * n + 10)]), ("1", f"first\n{line}", []), ("3", "None", []), ("4", "", []), ("5", "short", []), ("6", "short", []), ("None", "", [(0, n)]), ("7", "", [(0, n)]), ("7", "", [(0, n)])])
+    assert texts == sorted([("2", "keep é", [(0, n), (n + 9, 2 * n + 11)]), ("1", f"first\n{line}", []), ("3", "None", []), ("4", "", []), ("5", "short", []), ("6", "short", []), ("None", "", [(0, n)]), ("7", "", [(0, n)]), ("7", "", [(0, n)]), ("8", " \n\n\t", [])])
     assert line_dedup.apply(docs.where("false")).collect() == []
+    named = spark.createDataFrame([("b", f"x! {line}"), ("a", line)], "doc_id string, text string")
+    assert {r["doc_id"]: r["text"] for r in line_dedup.apply(named, min_words=10).collect()} == {"a": line, "b": "x! "}
+
+
+def test_passages_inside_and_across_lines(spark):
+    sentences = [f"This is sentence number {i} of that long passage." for i in range(8)]  # 9 words each
+    common = "A generic short line that many documents have here."
+    rows = [(1, f"Begin. {' '.join(sentences)} End of one."), (2, f"{common}\nOther start here! {' '.join(sentences[:4])}\n{' '.join(sentences[4:])} Another end."), (3, f"{common}\nnothing else is alike"), (4, f"half a cut {' '.join(sentences)[25:]} Last.")]
+    found = {r["doc_id"]: r for r in line_dedup.apply(frame(spark, rows)).collect()}
+    assert found[1]["removed"] == [] and found[3]["removed"] == []
+    assert found[2]["text"] == f"{common}\nOther start here! \nAnother end." and len(found[2]["removed"]) == 8
+    assert [found[2]["text"] != "" and rows[1][1][s["begin"] : s["end"]].strip() for s in found[2]["removed"]] == sentences
+    # a passage cut inside its first unit goes from its first whole unit on
+    assert found[4]["text"].startswith("half a cut") and found[4]["text"].endswith(" Last.") and len(found[4]["removed"]) == 7
+
+
+def brute_dedup(docs, min_words):
+    """The kept text of each document, comparing every passage with all that stand before it."""
+    before, out = set(), {}
+    for i in sorted(docs):
+        units = [(k, m.group()) for k, line in enumerate(docs[i].split("\n")) for m in re.finditer(r"\S.*?(?:[.!?](?=\s)\s+|$)", line)]
+        words = [u.lower().split() for _, u in units]
+        gone = set()
+        for a in range(len(units)):
+            b = a
+            while b < len(units) and sum(map(len, words[a:b])) < min_words:
+                b += 1
+            passage = tuple(w for x in words[a:b] for w in x)
+            if len(passage) >= min_words:
+                if passage in before:
+                    gone.update(range(a, b))
+                before.add(passage)
+        lines = []
+        for k, line in enumerate(docs[i].split("\n")):
+            mine = [j for j, (x, _) in enumerate(units) if x == k]
+            if not mine or set(mine) - gone:
+                lines.append("".join(units[j][1] for j in mine if j not in gone) if mine else line)
+        out[i] = "\n".join(lines)
+    return out
+
+
+def test_passages_equal_brute_force(spark):
+    r = random.Random(11)
+    rows = []
+    for i in range(120):
+        parts = [" ".join(r.choice("abcdeF") for _ in range(r.randrange(1, 4))) + r.choice([". ", "! ", "\n", ".\n", " ", "?\n\n"]) for _ in range(r.randrange(15))]
+        rows.append((i, "".join(parts)))
+    rows.append((500, "a b. " * 20_000 + "end"))
+    expected = brute_dedup(dict(rows[:-1]), 6)
+    found = {x["doc_id"]: x["text"] for x in line_dedup.apply(frame(spark, rows), min_words=6).collect()}
+    assert {i: found[i] for i in expected} == expected
+    assert found[500].count("a b. ") <= 3 and found[500].endswith("end")
 
 
 def test_op8_equals_sql(spark, sf_dir):
