@@ -90,10 +90,17 @@ def first_of_srcset(text: Column) -> Column:
 def json_list(text: Column) -> Column:
     """A JSON list of strings; null, blank, bad JSON and lists with other values give an empty list."""
     strings = F.from_json(text, "array<string>")
-    plain = text.rlike(r'^\s*\[\s*("([^"\\]|\\.)*"\s*(,\s*"([^"\\]|\\.)*"\s*)*)?\]\s*$')
+    # possessive: the engine takes long lists in a loop and never goes back
+    one = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"\s*+'
+    plain = text.rlike(rf"^\s*+\[\s*+(?:{one}(?:,\s*+{one})*+)?\]\s*+$")
     return F.coalesce(F.when(plain, strings), F.array().cast("array<string>"))
 
 
+def json_text(strings: Column) -> Column:
+    """A list of strings as JSON; null counts as empty."""
+    return F.to_json(F.coalesce(strings, F.array().cast("array<string>")))
+
+
 def photo_count(text: Column) -> Column:
     return F.size(json_list(text))
 

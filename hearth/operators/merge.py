@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..storage import materialise
 from .search import timestamp
 
 #: Columns that an update overwrites even with nulls.
@@ -56,11 +57,11 @@ def price_changes(outcomes: DataFrame, as_of: datetime) -> DataFrame:
 
 
 def with_ids(rows: DataFrame, start: int, order: list[Column]) -> DataFrame:
-    """New rows numbered from ``start``, without one task that holds them all.
+    """New rows numbered from ``start + 1``, without one task that holds them all.
 
-    Rows are sorted in ranges; each range's offset is the sum of the counts before it.
+    Rows are sorted in ranges, which are written; each range's offset is the sum of the counts before it.
     """
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).persist()
+    ranged = materialise(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()), "new-ids")
     counts = ranged.groupBy("__part").count()
     before = F.coalesce(F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = counts.select("__part", before.alias("__offset"))  # one row for each partition
@@ -75,16 +76,31 @@ def insert(properties: DataFrame, added: DataFrame, as_of: datetime, next_id: in
 
 
 def upsert_links(links: DataFrame, linked: DataFrame, as_of: datetime) -> DataFrame:
-    """Child links keyed by (property_id, url): price and last sight of a known one, a new row else."""
+    """Child links keyed by (property_id, url): price and last sight of a known one, a new row else.
+
+    An ``id`` of the links stays; new rows have none yet.
+    """
     now = timestamp(as_of)
     new = linked.groupBy(F.col("canonical_id").alias("property_id"), "url").agg(F.max_by(F.struct("source", "price"), F.struct("batch", "seq")).alias("n"))
     rows = links.join(new, ["property_id", "url"], "full_outer")
     hit = F.col("n").isNotNull()
     return rows.select(
-        "property_id", "url", F.coalesce(F.col("source"), F.col("n.source")).alias("source"), F.when(hit, F.col("n.price")).otherwise(F.col("price")).alias("price"), F.coalesce("first_seen_at", now).alias("first_seen_at"), F.when(hit, now).otherwise(F.col("last_seen_at")).alias("last_seen_at")
+        *(["id"] if "id" in links.columns else []), "property_id", "url", F.coalesce(F.col("source"), F.col("n.source")).alias("source"), F.when(hit, F.col("n.price")).otherwise(F.col("price")).alias("price"), F.coalesce("first_seen_at", now).alias("first_seen_at"), F.when(hit, now).otherwise(F.col("last_seen_at")).alias("last_seen_at")
     )
 
 
+def add_rows(stored: DataFrame, new: DataFrame, order: list[Column]) -> DataFrame:
+    """Stored rows and new ones, these numbered behind the greatest id."""
+    top = stored.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    return stored.unionByName(with_ids(new, top, order).select(*stored.columns))
+
+
+def merge_links(links: DataFrame, linked: DataFrame, as_of: datetime) -> DataFrame:
+    """Stored links (with ids) after an upsert, new ones numbered by property and url."""
+    rows = upsert_links(links, linked, as_of)
+    return add_rows(rows.where("id is not null").select(*links.columns), rows.where("id is null").drop("id"), [F.asc("property_id"), F.asc("url")])
+
+
 def delete_cascade(parents: DataFrame, gone: DataFrame, children: dict[str, tuple[DataFrame, str]], key: str = "id") -> tuple[DataFrame, dict[str, DataFrame]]:
     """Parents without those in ``gone``, and each child table (name -> rows, foreign key) without theirs."""
     ids = gone.select(key).distinct()

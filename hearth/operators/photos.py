@@ -39,6 +39,11 @@ def pairs(listings: DataFrame, max_distance: int = MAX_DISTANCE, gap: float = MA
     return joined.where(F.col("dist") <= max_distance).groupBy("id_a", "id_b").agg(F.min("dist").alias("dist"))
 
 
+def ranked(found: DataFrame) -> DataFrame:
+    """Pairs by their distance, then by their ids."""
+    return found.orderBy("dist", "id_a", "id_b")
+
+
 def unambiguous(found: DataFrame) -> DataFrame:
     """Pairs whose both ends occur in no other pair."""
     ends = found.select(F.explode(F.array("id_a", "id_b")).alias("id")).groupBy("id").agg(F.count("*").alias("degree")).where("degree = 1").select("id")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 from datetime import datetime
-from functools import reduce
+from functools import cached_property, reduce
 from operator import and_
 
 from pyspark.sql import Column, DataFrame
@@ -43,15 +43,20 @@ class SearchRequest:
         return replace(self, **values) if "page" in values else replace(self, page=1, **values)
 
 
-@dataclass(frozen=True)
+@dataclass
 class Page:
     """One page and what it is a page of."""
 
     items: DataFrame
-    total: int
+    rows: DataFrame
     page: int
     page_size: int
 
+    @cached_property
+    def total(self) -> int:
+        """All rows, counted when somebody asks."""
+        return self.rows.count()
+
     @property
     def total_pages(self) -> int:
         return -(-self.total // self.page_size) if self.page_size else 0
@@ -136,8 +141,7 @@ def with_children(parents: DataFrame, price_history: DataFrame, links: DataFrame
     Each child table is gathered by parent before its join, so rows never multiply.
     """
     history = price_history.groupBy("property_id").agg(F.array_sort(F.collect_list(F.struct("changed_at", "id", "old_price", "new_price"))).alias("price_history"))
-    linked = links.groupBy("property_id").agg(F.array_sort(F.collect_list(F.struct("source", "url", "price", "last_seen_at"))).alias("linked_sources"))
-    rows = parents.join(history.withColumnRenamed("property_id", "id"), "id", "left").join(linked.withColumnRenamed("property_id", "id"), "id", "left")
+    rows = parents.join(history.withColumnRenamed("property_id", "id"), "id", "left").join(linked_sources(links).withColumnRenamed("property_id", "id"), "id", "left")
     last = F.element_at("price_history", -1)
     return rows.withColumns({"previous_price": last["old_price"], "price_changed_at": last["changed_at"]})
 
@@ -149,7 +153,7 @@ def search(properties: DataFrame, tracked: DataFrame, price_history: DataFrame,
     items = page_of(rows, ordering(r.sort_by, r.sort_order), page, size)
     ids = F.broadcast(items.select(F.col("id").alias("property_id")))  # a page's ids
     full = with_children(items, price_history.join(ids, "property_id", "left_semi"), links.join(ids, "property_id", "left_semi"))
-    return Page(full.orderBy(*ordering(r.sort_by, r.sort_order)), rows.count(), page, size)
+    return Page(full.orderBy(*ordering(r.sort_by, r.sort_order)), rows, page, size)
 
 
 #: Columns that leave under another name.
@@ -166,12 +170,25 @@ def by_id(rows: DataFrame, value: int, key: str = "id") -> DataFrame:
     return rows.where(F.col(key) == value).limit(1)
 
 
-def listing_page(tracked: DataFrame, properties: DataFrame, comms: DataFrame, status: str | None = None, page: int = 1, size: int = 20) -> Page:
-    """Tracked listings, the last updated first, with their property and a count and last time of contacts."""
+def linked_sources(links: DataFrame) -> DataFrame:
+    """(property_id, linked_sources): each property's links by source, in one row."""
+    return links.groupBy("property_id").agg(F.array_sort(F.collect_list(F.struct("source", "url", "price", "last_seen_at"))).alias("linked_sources"))
+
+
+def contacts_of(comms: DataFrame, listing: int) -> DataFrame:
+    """The contacts of one tracked listing, the latest first."""
+    return comms.where(F.col("my_listing_id") == listing).orderBy(F.desc("created_at"), F.desc("id"))
+
+
+def listing_page(tracked: DataFrame, properties: DataFrame, comms: DataFrame, links: DataFrame | None = None, status: str | None = None, page: int = 1, size: int = 20) -> Page:
+    """Tracked listings, the last updated first, with their property, its links, and a count and last time of contacts."""
     rows = tracked.where(F.col("status") == status) if status else tracked
     items = page_of(rows, [F.desc("last_updated"), F.asc("id")], page, size, 20)
     ids = F.broadcast(items.select(F.col("id").alias("my_listing_id")))  # a page's ids
     contacts = comms.join(ids, "my_listing_id", "left_semi").groupBy("my_listing_id").agg(F.count("*").alias("comm_history_count"), F.max("created_at").alias("last_contacted_at"))
     home = properties.select(F.col("id").alias("property_id"), *(F.col(c).alias(f"property_{c}") for c in properties.columns if c not in ("id", "property_id")))
     full = items.join(home, "property_id", "left").join(contacts.withColumnRenamed("my_listing_id", "id"), "id", "left").fillna(0, ["comm_history_count"])
-    return Page(full.orderBy(F.desc("last_updated"), F.asc("id")), rows.count(), max(1, page), size if size >= 1 else 20)
+    if links is not None:
+        homes = F.broadcast(items.select("property_id"))
+        full = full.join(linked_sources(links.join(homes, "property_id", "left_semi")), "property_id", "left")
+    return Page(full.orderBy(F.desc("last_updated"), F.asc("id")), rows, max(1, page), size if size >= 1 else 20)

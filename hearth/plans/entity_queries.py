@@ -56,13 +56,22 @@ _MATCHED = f"""{_CANDIDATES}, m AS (
   FROM k LEFT JOIN s u ON u.url = k.url)"""
 
 
-@query()
+#: A replay in turn: what the batch has added so far goes from one candidate to the next.
+_OUTCOMES = _MATCHED + """, n AS (
+  SELECT *, row_number() OVER (PARTITION BY batch ORDER BY seq) AS pos, CASE WHEN url_id IS NOT NULL THEN 'Updated' WHEN canonical_id IS NOT NULL THEN 'Linked' ELSE 'Added' END AS alone FROM m),
+o AS (
+  SELECT batch, seq, source, pos, alone AS outcome, CASE WHEN alone = 'Added' THEN [url] ELSE [] END AS urls, CASE WHEN alone = 'Added' THEN [dedup_hash] ELSE [] END AS hashes FROM n WHERE pos = 1
+  UNION ALL
+  SELECT batch, seq, source, pos, outcome, CASE WHEN outcome = 'Added' THEN list_append(urls, url) ELSE urls END, CASE WHEN outcome = 'Added' THEN list_append(hashes, dedup_hash) ELSE hashes END
+  FROM (SELECT n.*, o.urls, o.hashes, CASE WHEN list_contains(o.urls, n.url) OR list_contains(o.hashes, n.dedup_hash) THEN 'Skipped' ELSE alone END AS outcome FROM o JOIN n ON n.batch = o.batch AND n.pos = o.pos + 1))"""
+
+
+@query(f"WITH RECURSIVE {_OUTCOMES} SELECT batch, seq, outcome FROM o")
 def dedup_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy outcomes: a sequential replay in the tests is their oracle."""
     return resolve(_candidates(spark, sf_dir), _stored(spark, sf_dir), AS_OF).select("batch", "seq", "outcome")
 
 
-@query()
+@query(f"WITH RECURSIVE {_OUTCOMES} SELECT source, {', '.join(f"count(*) FILTER (outcome = '{x}') AS {x.lower()}" for x in ('Added', 'Updated', 'Linked', 'Skipped'))} FROM o GROUP BY source")
 def dedup_outcome_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tally(resolve(_candidates(spark, sf_dir), _stored(spark, sf_dir), AS_OF), "source")
 
@@ -121,18 +130,18 @@ def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {PLACED}, z AS (SELECT DISTINCT location_string FROM q WHERE id % 3 = 0 ORDER BY 1 LIMIT 10)
+    f"""WITH {PLACED}, z AS (SELECT DISTINCT location_string FROM q WHERE id % 3 = 0 ORDER BY 1 LIMIT 300)
 SELECT id, CASE WHEN id % 3 <> 0 THEN 1.5 WHEN z.location_string IS NOT NULL THEN CAST(length(q.location_string) AS DOUBLE) END AS lat FROM q LEFT JOIN z USING (location_string)"""
 )
 def geocode_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = placed(spark, sf_dir).withColumns({"lat": F.when(F.col("id") % 3 != 0, F.lit(1.5)), "lng": F.lit(None).cast("double")})
     gazetteer = rows.select("location_string").distinct().select("location_string", F.length("location_string").cast("double").alias("lat"), F.lit(0.0).alias("lng"))
-    return fill_coordinates(rows, gazetteer, 10).select("id", "lat")
+    return fill_coordinates(rows, gazetteer).select("id", "lat")
 
 
-@query("SELECT round(avg(embedding[1]), 6) AS lat, round(avg(embedding[2]), 6) AS lng FROM embeddings WHERE label % 2 = 0")
+@query("SELECT round(avg(embedding[1]), 6) AS lat, round(avg(embedding[2]), 6) AS lng FROM embeddings")
 def map_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings").where("label % 2 = 0").select(F.col("embedding")[0].cast("double").alias("lat"), F.col("embedding")[1].cast("double").alias("lng"))
+    rows = table(spark, sf_dir, "embeddings").select(F.col("embedding")[0].cast("double").alias("lat"), F.col("embedding")[1].cast("double").alias("lng"))
     return centroid(rows).select(F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"))
 
 
@@ -155,6 +164,11 @@ def photo_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return photos.pairs(_shots(spark, sf_dir), max_distance=18)
 
 
+@query(f"WITH {_PAIRS}, y AS (SELECT *, row_number() OVER (ORDER BY dist, id_a, id_b) AS place FROM f WHERE dist <= 18) SELECT id_a, id_b, dist FROM y WHERE place <= 50")
+def photo_pairs_by_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return photos.ranked(photos.pairs(_shots(spark, sf_dir), max_distance=18)).limit(50)
+
+
 @query(
     f"""WITH {_PAIRS}, y AS (SELECT * FROM f WHERE dist <= 18), d AS (SELECT id FROM (SELECT id_a AS id FROM y UNION ALL SELECT id_b FROM y) GROUP BY id HAVING count(*) = 1)
 SELECT id_a AS property_id, 'u' || id_b AS url, s.source FROM y JOIN s ON s.id = id_b WHERE id_a IN (SELECT id FROM d) AND id_b IN (SELECT id FROM d) AND id_b % 10 <> 0"""

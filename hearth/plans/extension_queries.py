@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.history import as_of
 from ..sources.html_cards import text
 from ..sources.json_in_html import script
+from ..storage import new_path
 from ..streaming.ingest import counts_by_window, landed, run_to_table, without_repeats
 from .registry import query
 from .tables import HISTORY, LISTINGS, listings, number, price_history, sql_stamp, stamp, table
@@ -140,17 +139,10 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
 
 
-def _work(spark: SparkSession) -> str:
-    import tempfile
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="hearth-stream-")
-    return f"{root.rstrip('/')}/hearth-stream/{uuid.uuid4().hex}"
-
-
 @query(f"SELECT event_type, {sql_stamp('time_bucket(INTERVAL 1 DAY, ts)')} AS begin, count(*) AS n FROM events GROUP BY ALL")
 def stream_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily counts through a stream, the complete result after all that has landed."""
-    work = _work(spark)
+    work = new_path(spark, "stream")
     counts = counts_by_window(_events_stream(spark, sf_dir), "ts", "1 day", "event_type")
     run_to_table(counts.select("event_type", F.col("span.start").alias("begin"), F.col("count").alias("n")), f"{work}/out", f"{work}/state")
     return spark.read.parquet(f"{work}/out").select("event_type", stamp("begin").alias("begin"), "n")
@@ -159,7 +151,7 @@ def stream_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT count(DISTINCT event_id) AS n FROM events")
 def stream_without_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event twice in a stream; repeats are dropped wherever in the table they come."""
-    work = _work(spark)
+    work = new_path(spark, "stream")
     twice = _events_stream(spark, sf_dir).select("event_id", "ts", F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"))
     run_to_table(without_repeats(twice, "event_id", "ts", None).select("event_id"), f"{work}/out", f"{work}/state", "append")
     return spark.read.parquet(f"{work}/out").agg(F.count("*").alias("n"))

@@ -2,20 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.parse import seconds_between, total_pages
 from ..operators import reports
-from ..operators.search import SearchRequest, listing_page, matching, ordering, page_of, ratio, search
+from ..operators.search import SearchRequest, contacts_of, listing_page, matching, ordering, page_of, ratio, search
 from ..schema import SOURCES, STATUSES
 from .registry import query
-from .tables import AS_OF, COMMS, EVENTS_AS_OF, HISTORY, LISTINGS, PLACED, RUNS, TRACKED, comms, listings, number, placed, price_history, runs, sql_stamp, stamp, tracked
+from .tables import AS_OF, COMMS, EVENTS_AS_OF, HISTORY, LISTINGS, PLACED, RUNS, TRACKED, comms, listings, number, placed, price_history, runs, sql_stamp, stamp, table, tracked
 
 _AT, _EVENTS_AT = f"TIMESTAMP '{AS_OF}'", f"TIMESTAMP '{EVENTS_AS_OF}'"
 _BUSY = f"SELECT property_id FROM t WHERE NOT (status = 'Rejected' AND date_added < {_AT} - INTERVAL 72 HOUR)"
 
 
+#: Line items of other suppliers stand for the same home at other sources.
+_LINKS_SQL = "SELECT DISTINCT l_orderkey AS property_id, 'S' || (l_suppkey % 4) AS source, 'https://s/' || l_partkey AS url FROM lineitem WHERE l_linenumber <= 2"
+
+
+def links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").where("l_linenumber <= 2")
+    source, url = F.concat(F.lit("S"), (F.col("l_suppkey") % 4).cast("string")), F.concat(F.lit("https://s/"), F.col("l_partkey").cast("string"))
+    nothing = {"price": F.lit(None).cast("decimal(10,2)"), "last_seen_at": F.lit(None).cast("timestamp_ntz")}
+    return rows.select(F.col("l_orderkey").alias("property_id"), source.alias("source"), url.alias("url")).distinct().withColumns(nothing)
+
+
 def _found(spark: SparkSession, sf_dir: str, **wanted) -> DataFrame:
     return matching(listings(spark, sf_dir), tracked(spark, sf_dir), SearchRequest(**wanted), AS_OF)
 
@@ -28,9 +39,8 @@ SELECT x.id, CAST(price AS DOUBLE) AS price, source, CAST(coalesce(n, 0) AS BIGI
 )
 def search_price_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: a price range, only what waits for a decision, dearest first, with its price changes."""
-    links = spark.createDataFrame([], "property_id long, source string, url string, price decimal(10,2), last_seen_at timestamp_ntz")
     request = SearchRequest(price_min=100000, price_max=300000, pending_only=True, sort_by="price")
-    page = search(listings(spark, sf_dir), tracked(spark, sf_dir), price_history(spark, sf_dir), links, request, AS_OF)
+    page = search(listings(spark, sf_dir), tracked(spark, sf_dir), price_history(spark, sf_dir), links(spark, sf_dir), request, AS_OF)
     return page.items.select("id", number("price").alias("price"), "source", F.greatest(F.size("price_history"), F.lit(0)).cast("long").alias("n_changes"), number("previous_price").alias("previous_price"))
 
 
@@ -90,16 +100,17 @@ def search_default_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {LISTINGS}, {HISTORY},
-g AS (SELECT property_id, count(*) AS n, string_agg(CAST(new_price * 100 AS BIGINT), ',' ORDER BY changed_at, h.id, old_price, new_price) AS prices FROM h GROUP BY property_id)
-SELECT p.id, CAST(coalesce(n, 0) AS BIGINT) AS n_changes, coalesce(prices, '') AS prices FROM p LEFT JOIN g ON p.id = g.property_id"""
+g AS (SELECT property_id, count(*) AS n, string_agg(CAST(new_price * 100 AS BIGINT), ',' ORDER BY changed_at, h.id, old_price, new_price) AS prices FROM h GROUP BY property_id),
+k AS (SELECT property_id, string_agg(source || '=' || url, ',' ORDER BY source, url) AS links FROM ({_LINKS_SQL}) GROUP BY property_id)
+SELECT p.id, CAST(coalesce(n, 0) AS BIGINT) AS n_changes, coalesce(prices, '') AS prices, coalesce(links, '') AS links FROM p LEFT JOIN g ON p.id = g.property_id LEFT JOIN k ON p.id = k.property_id"""
 )
 def search_with_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.search import with_children
 
-    links = spark.createDataFrame([], "property_id long, source string, url string, price decimal(10,2), last_seen_at timestamp_ntz")
-    rows = with_children(listings(spark, sf_dir).select("id"), price_history(spark, sf_dir), links)
+    rows = with_children(listings(spark, sf_dir).select("id"), price_history(spark, sf_dir), links(spark, sf_dir))
     prices = F.array_join(F.transform("price_history", lambda h: (h["new_price"] * 100).cast("long").cast("string")), ",")
-    return rows.select("id", F.greatest(F.size("price_history"), F.lit(0)).cast("long").alias("n_changes"), F.coalesce(prices, F.lit("")).alias("prices"))
+    linked = F.array_join(F.transform("linked_sources", lambda x: F.concat_ws("=", x["source"], x["url"])), ",")
+    return rows.select("id", F.greatest(F.size("price_history"), F.lit(0)).cast("long").alias("n_changes"), F.coalesce(prices, F.lit("")).alias("prices"), F.coalesce(linked, F.lit("")).alias("links"))
 
 
 @query(
@@ -118,13 +129,15 @@ def latest_price_change(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {TRACKED}, {COMMS}, {LISTINGS}, x AS (SELECT * FROM t WHERE status = 'Interested' ORDER BY last_updated DESC, id LIMIT 20),
-g AS (SELECT my_listing_id, count(*) AS n, max(created_at) AS last FROM c GROUP BY my_listing_id)
-SELECT x.id, status, CAST(coalesce(n, 0) AS BIGINT) AS comm_history_count, {sql_stamp('last')} AS last_contacted_at, CAST(p.price AS DOUBLE) AS property_price
-FROM x LEFT JOIN g ON x.id = g.my_listing_id LEFT JOIN p ON p.id = x.property_id"""
+g AS (SELECT my_listing_id, count(*) AS n, max(created_at) AS last FROM c GROUP BY my_listing_id),
+k AS (SELECT property_id, string_agg(source || '=' || url, ',' ORDER BY source, url) AS links FROM ({_LINKS_SQL}) GROUP BY property_id)
+SELECT x.id, status, coalesce(links, '') AS links, CAST(coalesce(n, 0) AS BIGINT) AS comm_history_count, {sql_stamp('last')} AS last_contacted_at, CAST(p.price AS DOUBLE) AS property_price
+FROM x LEFT JOIN g ON x.id = g.my_listing_id LEFT JOIN p ON p.id = x.property_id LEFT JOIN k ON k.property_id = x.property_id"""
 )
 def listing_page_by_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    page = listing_page(tracked(spark, sf_dir), listings(spark, sf_dir), comms(spark, sf_dir), "Interested", 1, 0)
-    return page.items.select("id", "status", F.col("comm_history_count").cast("long").alias("comm_history_count"), stamp("last_contacted_at").alias("last_contacted_at"), number("property_price").alias("property_price"))
+    page = listing_page(tracked(spark, sf_dir), listings(spark, sf_dir), comms(spark, sf_dir), links(spark, sf_dir), "Interested", 1, 0)
+    linked = F.array_join(F.transform("linked_sources", lambda x: F.concat_ws("=", x["source"], x["url"])), ",")
+    return page.items.select("id", "status", F.coalesce(linked, F.lit("")).alias("links"), F.col("comm_history_count").cast("long").alias("comm_history_count"), stamp("last_contacted_at").alias("last_contacted_at"), number("property_price").alias("property_price"))
 
 
 @query(
@@ -135,6 +148,13 @@ def contact_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comms(spark, sf_dir).join(ids, "my_listing_id", "left_semi").groupBy(F.col("my_listing_id").alias("id")).agg(F.count("*").alias("n"), stamp(F.max("created_at")).alias("last"))
 
 
+@query(f"WITH {COMMS} SELECT id, channel, {sql_stamp('created_at')} AS created_at, CAST(row_number() OVER (ORDER BY created_at DESC, id DESC) AS INTEGER) AS place FROM c WHERE my_listing_id = 35")
+def contacts_by_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One listing's contacts, the latest first."""
+    latest = contacts_of(comms(spark, sf_dir), 35)
+    return latest.select("id", "channel", stamp("created_at").alias("created_at"), F.row_number().over(Window.orderBy(F.desc("created_at"), F.desc("id"))).alias("place"))
+
+
 @query(f"WITH {COMMS} SELECT count(*) AS contacts FROM c WHERE created_at > {_EVENTS_AT} - INTERVAL 24 HOUR AND direction = 'Outbound'")
 def contacts_last_24h(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.contacts_made(comms(spark, sf_dir), EVENTS_AS_OF)

@@ -50,10 +50,10 @@ LISTINGS = """p AS (
 
 
 def places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(custkey, location_string): nations and regions are a few dozen rows."""
-    nation = table(spark, sf_dir, "nation").join(F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    """(custkey, location_string); Spark broadcasts nations and regions by their size."""
+    nation = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     named = nation.select("n_nationkey", F.concat_ws(", ", "r_name", "n_name").alias("location_string"))
-    return table(spark, sf_dir, "customer").join(F.broadcast(named), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("custkey"), "location_string")
+    return table(spark, sf_dir, "customer").join(named, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("custkey"), "location_string")
 
 
 PLACES = """l AS (

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import display, extract, normalize, parse
-from ..functions.clean import clean_description
+from ..functions.clean import CALL_TO_ACTION, clean_description
 from ..operators.geo import in_districts, parish_dimension, repair, resolve_municipality
 from ..operators.maintenance import enrichment_queue, reprocess
 from ..operators.merge import apply_facts
@@ -100,11 +100,7 @@ def _boiler(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.concat(text, F.lit("\n"), F.col("text")).alias("raw"))
 
 
-_CTA_SQL = "(?i)" + "|".join(
-    ("(?:" + p.replace(r"\W*", r"[^\pL\pN_]*").replace(r"\w*", r"[\pL\pN_]*").replace(r"\b[^\n]*", r"(?:$|[^\pL\pN_][^\n]*)") + ")") for p in (
-        r"^\W*(agende|marque)\s+(j[áa]\s+)?a\s+sua\s+visita\W*$", r"^\W*contacte(-nos)?\b[^\n]*$", r"^\W*entre em contacto\b[^\n]*$", r"^\W*n[ãa]o hesite em (contact|apresent)\w*[^\n]*$", r"^\W*venha conhecer\W*.{0,30}$", r"^\W*ref\.?\s*:\s*\S+\.?\W*$",
-    )
-)
+_CTA_SQL = "(?i)" + "|".join(f"(?:{p})" for p in CALL_TO_ACTION).replace(r"\W*", r"[^\pL\pN_]*").replace(r"\w*", r"[\pL\pN_]*").replace(r"\b[^\n]*", r"(?:$|[^\pL\pN_][^\n]*)")
 
 
 @query(
@@ -173,30 +169,42 @@ _PARISH_KEYS = (
 _KEY_SQL = "trim(regexp_replace(regexp_replace(regexp_replace(lower(strip_accents({0})), '[^a-z0-9]+', ' ', 'g'), '\\b(de|do|da|dos|das)\\b', ' ', 'g'), '\\s+', ' ', 'g'))"
 
 
-@query(
-    f"""WITH k(key, municipality) AS (VALUES {', '.join(f"('{a}', '{b}')" for a, b in _PARISH_KEYS)}), x AS (SELECT unnest({list(_PLACES)}) AS place),
-v AS (SELECT place, min(municipality) AS lo, max(municipality) AS hi FROM (SELECT place, unnest(list_append(regexp_split_to_array(place, ',| e | - '), place)) AS part FROM x) JOIN k ON key = {_KEY_SQL.format('part')} GROUP BY place)
-SELECT x.place, coalesce(k.municipality, CASE WHEN lo = hi THEN lo END) AS municipality FROM x LEFT JOIN k ON k.key = {_KEY_SQL.format('x.place')} LEFT JOIN v ON v.place = x.place"""
-)
+_DIM_SQL = f"k(key, municipality) AS (VALUES {', '.join(f"('{a}', '{b}')" for a, b in _PARISH_KEYS)}), y AS (SELECT doc_id AS id, {list(_PLACES)}[doc_id % {len(_PLACES)} + 1] AS place FROM documents), x AS (SELECT DISTINCT place FROM y)"
+_RESOLVED_SQL = f"""{_DIM_SQL},
+v AS (SELECT place, min(municipality) AS lo, max(municipality) AS hi FROM (SELECT place, unnest(list_append(regexp_split_to_array(place, ',| e | - '), place)) AS part FROM x) JOIN k ON key = {_KEY_SQL.format('part')} GROUP BY place),
+w AS (SELECT x.place, coalesce(k.municipality, CASE WHEN lo = hi THEN lo END) AS municipality FROM x LEFT JOIN k ON k.key = {_KEY_SQL.format('x.place')} LEFT JOIN v ON v.place = x.place)"""
+
+
+def _parishes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A place for each document, and the dimension."""
+    place = F.element_at(F.array(*(F.lit(p) for p in _PLACES)), (F.col("doc_id") % len(_PLACES) + 1).cast("int"))
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), place.alias("place"))
+    return rows, parish_dimension(spark.createDataFrame(list(PARISHES), "municipality string, parish string"))
+
+
+@query(f"WITH {_RESOLVED_SQL} SELECT place, municipality FROM w")
 def resolve_municipality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dimension = parish_dimension(spark.createDataFrame(list(PARISHES), "municipality string, parish string"))
-    return resolve_municipality(spark.createDataFrame([(p,) for p in _PLACES], "place string"), dimension)
+    return resolve_municipality(*_parishes(spark, sf_dir))
 
 
 @query(
-    """SELECT * FROM (VALUES ('a', 'Felgueiras', 'Pombeiro de Ribavizela'), ('b', 'Felgueiras', 'own'), ('c', 'Madalena', NULL), ('d', 'Amarante', NULL), ('e', NULL, NULL)) t(id, concelho, freguesia)"""
+    f"""WITH {_RESOLVED_SQL} SELECT id, CASE WHEN id % 7 = 0 THEN NULL ELSE coalesce(municipality, place) END AS concelho, CASE WHEN id % 7 <> 0 AND municipality <> place THEN CASE WHEN id % 3 = 0 THEN 'own' ELSE place END WHEN id % 3 = 0 THEN 'own' END AS freguesia FROM y JOIN w USING (place)"""
 )
 def repair_municipality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dimension = parish_dimension(spark.createDataFrame(list(PARISHES), "municipality string, parish string"))
-    rows = [("a", "Pombeiro de Ribavizela", None), ("b", "Caramos", "own"), ("c", "Madalena", None), ("d", "Amarante", None), ("e", None, None)]
-    return repair(spark.createDataFrame(rows, "id string, concelho string, freguesia string"), dimension)
+    """A parish in the place of a municipality moves, unless a parish is there."""
+    rows, dimension = _parishes(spark, sf_dir)
+    rows = rows.select("id", F.when(F.col("id") % 7 != 0, F.col("place")).alias("concelho"), F.when(F.col("id") % 3 == 0, "own").alias("freguesia"))
+    return repair(rows, dimension)
 
 
-@query("SELECT event_id AS id, json_extract_string(props, '$.k') AS k, CASE WHEN event_id % 4 = 0 THEN 2 ELSE 0 END AS n FROM events")
+@query("SELECT event_id AS id, json_extract_string(props, '$.k') AS k, CASE WHEN event_id % 200 = 4 THEN 400 WHEN event_id % 5 = 0 THEN 2 ELSE 0 END AS n, CASE WHEN event_id % 200 = 4 THEN 400 ELSE 0 END AS back FROM events")
 def json_list_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("event_id")
-    text = F.when(key % 4 == 0, '["a", "b,\\"c"]').when(key % 4 == 1, "[1,2]").when(key % 4 == 2, "{oops")
-    return table(spark, sf_dir, "events").select(key.alias("id"), F.get_json_object("props", "$.k").alias("k"), parse.photo_count(text).alias("n"))
+    # as many urls as a large gallery has, each of 200 characters
+    urls = F.transform(F.sequence(F.lit(1), F.lit(400)), lambda i: F.rpad(F.concat(F.lit("https://x/"), i.cast("string"), F.lit("/\"q\\")), 200, "p"))
+    text = F.when(key % 5 == 0, '["a", "b,\\"c"]').when(key % 5 == 1, "[1,2]").when(key % 5 == 2, "{oops").when(key % 200 == 4, parse.json_text(urls))
+    back = F.when((key % 200 == 4) & (parse.json_list(text) == urls), parse.photo_count(text)).otherwise(0)
+    return table(spark, sf_dir, "events").select(key.alias("id"), F.get_json_object("props", "$.k").alias("k"), parse.photo_count(text).alias("n"), back.alias("back"))
 
 
 def _facts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -10,9 +10,14 @@ from pyspark.sql import functions as F
 from ..functions.clean import clean_description
 from ..functions.extract import extract_all, flag_or_fact
 from ..functions.normalize import dedup_hash
+from ..operators.geo import in_districts, in_range
 from ..schema import CANDIDATE
 
 
+#: What of the settings each source's candidates are held to (fixed values).
+GUARDS = {"Idealista": ("price", "beds"), "CustoJusto": ("price", "beds"), "CasaSapo": ("price", "beds"), "Santander": ("price", "district"), "CaixaImobiliario": ("district",), "ImoVirtual": ("district",)}
+
+
 class SourceParser(Protocol):
     """Landed payloads (batch, seq, payload) to candidates (batch, seq and ``CANDIDATE`` with its hash)."""
 
@@ -57,6 +62,19 @@ def finish(rows: DataFrame, source: str, text: Column | None = None, flags: dict
     return rows.select("batch", "seq", *[f.name for f in CANDIDATE.fields], key.alias("dedup_hash"))
 
 
+def guarded(rows: DataFrame, settings: dict) -> DataFrame:
+    """Candidates within the settings' bounds (price_min, price_max, rooms_min, rooms_max, districts), as far as they hold for the source.
+
+    A price or a number of rooms that isn't known passes.
+    """
+    held = lambda kind: F.col("source").isin(*(s for s, kinds in GUARDS.items() if kind in kinds))
+    nothing = F.lit(None).cast("int")
+    price = in_range(F.col("price"), nothing, price_min=settings.get("price_min"), price_max=settings.get("price_max"))
+    beds = in_range(nothing, F.col("beds"), rooms_min=settings.get("rooms_min"), rooms_max=settings.get("rooms_max"))
+    place = in_districts(F.col("location_string"), settings.get("districts") or [])
+    return rows.where((~held("price") | price) & (~held("beds") | beds) & (~held("district") | F.coalesce(place, F.lit(False))))
+
+
 def numbered(rows: DataFrame) -> DataFrame:
     """``seq`` within a page from its position; pages are small."""
     return rows.withColumn("seq", F.col("position").cast("long")).drop("position")

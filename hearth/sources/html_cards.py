@@ -15,6 +15,7 @@ from ..operators.geo import in_districts
 from .common import filled, finish, numbered
 
 _Q = r"""["']"""
+# Class names of the elements and the patterns of the cards' texts below are as they are on the wire (fixed values).
 
 
 def marker(name: str, tag: str = "div") -> str:
@@ -23,7 +24,11 @@ def marker(name: str, tag: str = "div") -> str:
 
 def cut(html: Column, name: str) -> Column:
     """What follows each marker, up to the next one."""
-    return F.slice(F.split(html, marker(name)), 2, 1_000_000)
+    return behind_first(F.split(html, marker(name)))
+
+
+def behind_first(parts: Column) -> Column:
+    return F.slice(parts, F.lit(2), F.size(parts))
 
 
 def inner(fragment: Column, name: str, tag: str = "div") -> Column:
@@ -43,7 +48,7 @@ def attribute(fragment: Column, tag: str, name: str) -> Column:
 def photo_urls(media: Column) -> Column:
     """The first entry of each slide's source set, eager or lazy, else its image; distinct, in order."""
     slides = F.split(media, marker("swiper-slide"))
-    slides = F.when(F.size(slides) > 1, F.slice(slides, 2, 1_000_000)).otherwise(slides)
+    slides = F.when(F.size(slides) > 1, behind_first(slides)).otherwise(slides)
     one = lambda s: F.coalesce(first_of_srcset(attribute(s, "source", "srcset")), first_of_srcset(attribute(s, "source", "data-srcset")), attribute(s, "img", "data-src"))
     return F.array_distinct(F.filter(F.transform(slides, one), lambda u: u.isNotNull()))
 

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.merge import VersionedTable, insert, update_by_url
+from ..operators.merge import VersionedTable, add_rows, insert, merge_links, price_changes, update_by_url
 from ..operators.resolve import resolve
+from ..storage import materialise
 
 
 def landed(spark: SparkSession, path: str, schema: T.StructType, glob: str | None = None, files_per_batch: int = 100) -> DataFrame:
@@ -38,23 +39,31 @@ def counts_by_window(stream: DataFrame, time: str, window: str, *keys: str, dela
     return stream.withWatermark(time, delay).groupBy(span.alias("span"), *keys).count()
 
 
-def merge_batches(stream: DataFrame, properties: VersionedTable, clock: Callable[[int], datetime], checkpoint: str, base: int = 0) -> StreamingQuery:
-    """Resolve each micro-batch against the stored listings and write their next version.
+def merge_batches(
+    stream: DataFrame, properties: VersionedTable, links: VersionedTable, history: VersionedTable, clock: Callable[[int], datetime], checkpoint: str, base: int = 0
+) -> StreamingQuery:
+    """Resolve each micro-batch against the stored listings and write the next version of listings, links and price changes.
 
+    A micro-batch counts as one batch: what it adds is seen by the next one, and a repeat of
+    it within the micro-batch is skipped.  To commit page by page, let one page land at a time.
     base: the table's version before the stream's first batch.  Versions follow the batches'
-    numbers from there, so a batch that runs again after a failure finds its version written
-    and is left out.
+    numbers from there, so a batch that runs again after a failure leaves out the tables whose
+    version is written; listings come last, so until then all is found as it was.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
         if properties.version() > number + base:
             return
         stored, now = properties.read(), clock(number)
-        outcomes = resolve(batch, stored, now).persist()
+        rows = batch.withColumns({"seq": F.shiftleft("batch", 32) + F.col("seq"), "batch": F.lit(number).cast("long")})
+        outcomes = materialise(resolve(rows, stored, now), "stream-outcomes")
+        if links.version() <= number + base:
+            links.write(merge_links(links.read(), outcomes.where("outcome = 'Linked'"), now))
+        if history.version() <= number + base:
+            history.write(add_rows(history.read(), price_changes(outcomes, now), [F.asc("batch"), F.asc("seq")]))
         updated = update_by_url(stored, outcomes.where("outcome = 'Updated'"), now)
         top = stored.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
         properties.write(insert(updated, outcomes.where("outcome = 'Added'"), now, top + 1))
-        outcomes.unpersist()
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

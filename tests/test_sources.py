@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import glob
 import json
+import os
+import shutil
 from datetime import datetime
 from decimal import Decimal
 from functools import partial
@@ -10,9 +13,10 @@ from functools import partial
 from pyspark.sql import functions as F
 
 from hearth import schema
+from hearth.functions import parse
 from hearth.operators.merge import VersionedTable
 from hearth.plans import extension_queries
-from hearth.sources import common, html_cards, json_api, json_in_html
+from hearth.sources import common, html_cards, json_api, json_in_html, manual
 from hearth.streaming.ingest import landed, merge_batches
 
 
@@ -115,8 +119,53 @@ def test_stream_merges_pages(spark, tmp_path):
     for k, payload in enumerate((page(1, 10.0), page(1, 12.0), page(2, 90000.0))):
         json_api.parse(spark.createDataFrame([(k, payload)], "batch long, payload string")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     rows = spark.read.parquet(f"{tmp_path}/in")
-    table = VersionedTable(spark, f"{tmp_path}/store", schema.PROPERTY)
-    query = merge_batches(landed(spark, f"{tmp_path}/in", rows.schema, files_per_batch=1), table, lambda n: now, f"{tmp_path}/state")
+    table, links, history = (VersionedTable(spark, f"{tmp_path}/{name}", kind) for name, kind in (("store", schema.PROPERTY), ("links", schema.PROPERTY_SOURCE), ("history", schema.PRICE_HISTORY)))
+    query = merge_batches(landed(spark, f"{tmp_path}/in", rows.schema, files_per_batch=1), table, links, history, lambda n: now, f"{tmp_path}/state")
     query.awaitTermination()
     assert sorted((r["id"], r["source_property_id"], float(r["price"])) for r in table.read().collect()) in ([(1, "1", 12.0), (2, "2", 90000.0)], [(1, "1", 10.0), (2, "2", 90000.0)], [(1, "2", 90000.0), (2, "1", 12.0)], [(1, "2", 90000.0), (2, "1", 10.0)])
-    assert table.version() == 3
+    assert table.version() == 3 and links.version() == 3 and [(r["id"], {float(r["old_price"]), float(r["new_price"])}) for r in history.read().collect()] == [(1, {10.0, 12.0})]
+
+
+def test_stream_restarts_between_its_tables(spark, tmp_path):
+    """A run that ended after some of a batch's tables were written: the others follow, nothing comes twice."""
+    now = datetime(2024, 1, 1)
+    entry = lambda k, url, source, price: (0, k, url, source, price, "Porto", 2, None, None, "", None)
+    kind = "batch long, seq long, url string, source string, price decimal(10,2), location_string string, beds int, baths int, size_m2 decimal(8,2), description string, photos array<string>"
+
+    def land(*entries):
+        manual.parse(spark.createDataFrame([entry(k, u, s, Decimal(p)) for k, (u, s, p) in enumerate(entries)], kind)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+
+    def tables(name):
+        return [VersionedTable(spark, f"{tmp_path}/{name}/{t}", k) for t, k in (("store", schema.PROPERTY), ("links", schema.PROPERTY_SOURCE), ("history", schema.PRICE_HISTORY))]
+
+    def merge(name):
+        merge_batches(landed(spark, f"{tmp_path}/in", manual.parse(spark.createDataFrame([], kind)).schema, files_per_batch=1), *tables(name), lambda n: now, f"{tmp_path}/{name}/state").awaitTermination()
+        return [sorted(str(r) for r in t.read().collect()) for t in tables(name)]
+
+    land(("u1", "a", "100000"), ("u2", "a", "200000"), ("u2", "a", "210000"))
+    land(("u1", "a", "110000"), ("v2", "b", "200000"), ("v3", "b", "300000"), ("v4", "a", "300000"))
+    whole = merge("whole")
+    assert [len(t) for t in whole] == [3, 1, 1]  # u1, u2, v3; v2 linked to u2; u1 has a new price; v4 is skipped
+    # the second run loses its last commit and its version of the listings
+    assert merge("again") == whole
+    os.remove(f"{tmp_path}/again/state/commits/1")
+    shutil.rmtree(f"{tmp_path}/again/store/v2")
+    for crc in glob.glob(f"{tmp_path}/again/state/commits/.1.crc"):
+        os.remove(crc)
+    assert merge("again") == whole
+
+
+def test_very_long_json_lists(spark):
+    urls = [f'https://x/{i}/"q\\' + "p" * 200 for i in range(400)]
+    rows = [(json.dumps(urls), 400), (json.dumps(["x" * 1_000_000]), 1), ('["' + "x" * 1_000_000, 0), ("[" + '"a",' * 100_000, 0), ('["a" , "b"]', 2), (" [ ] ", 0), ('["a",1]', 0), ("", 0), (None, 0), ('[null]', 0), ('["\\u00e9"]', 1)]
+    found = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "i long, t string").select("i", parse.json_list(F.col("t")).alias("l")).orderBy("i").collect()
+    assert [len(r["l"]) for r in found] == [n for _, n in rows] and found[0]["l"] == urls and found[10]["l"] == ["é"]
+    back = spark.createDataFrame([(urls,), (None,)], "l array<string>").select(parse.json_text(F.col("l")).alias("t")).collect()
+    assert json.loads(back[0]["t"]) == urls and back[1]["t"] == "[]"
+
+
+def test_guards_by_source(spark):
+    rows = spark.createDataFrame([(s, p, b, place) for s in schema.SOURCES for p, b, place in ((None, None, "Porto"), (Decimal(9), 2, "Porto"), (Decimal(5), 2, "Porto"), (Decimal(9), 9, "Porto"), (Decimal(9), 2, "Lisboa"))], "source string, price decimal(10,2), beds int, location_string string")
+    kept = common.guarded(rows, {"price_min": 8, "rooms_max": 4, "districts": ["PORTO"]}).groupBy("source").count().collect()
+    assert {r["source"]: r["count"] for r in kept} == {"Idealista": 3, "CustoJusto": 3, "CasaSapo": 3, "Santander": 3, "CaixaImobiliario": 4, "ImoVirtual": 4}
+    assert common.guarded(rows, {}).count() == rows.count()
