@@ -2,41 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute
 from pyspark import SparkContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import clear, materialise, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares, as named in ``spark.checkpoint.dir``.
-
-    Only a local session without that setting gets a temporary folder.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="hearth-shared-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
-
-    Cuts the lineage so that the rows are computed once and a lost executor costs
-    no recomputation.  Files stay until the folder's own clean-up.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/hearth/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["BATCH_ROWS", "broadcast_if_small", "clear", "crc_mod", "fresh", "lower_ascii", "materialise", "share", "shared_dir", "slices", "small_batches", "texts"]
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
@@ -48,10 +24,9 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
 
 
 def fresh(df: DataFrame, name: str) -> str:
-    """A column name like ``name`` that no column of ``df`` has, whatever its case."""
-    taken = {c.lower() for c in df.columns}
+    """A column name like ``name`` with which no column of ``df`` begins, whatever its case."""
     name = f"__{name}"
-    while name.lower() in taken:
+    while any(c.lower().startswith(name.lower()) for c in df.columns):
         name += "_"
     return name
 
@@ -70,8 +45,13 @@ BATCH_ROWS = 1000
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """``df``; from now on its session hands at most ``BATCH_ROWS`` rows at a time to Python."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """``df``; its session hands at most ``BATCH_ROWS`` rows at a time to Python, or fewer if it did so before.
+
+    The setting counts when a job begins, long after this call, so it stays.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
     return df
 
 

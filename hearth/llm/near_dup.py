@@ -19,7 +19,8 @@ A pair of similarity s agrees on no band with probability (1 - s^rows)^bands: 3e
 Defined results: words are runs without ASCII white space, A-Z in lower case.  A text of
 fewer words than a shingle is one shingle; one without words has an empty set and is
 linked with nothing.  Rows that share an id are one document, of which the greatest text
-counts.  Rows without an id are linked with nothing and kept.  Other columns are ignored
+counts; ids may be of any kind that has an order.  Rows without an id are linked with
+nothing and kept.  Other columns are ignored
 by ``find`` and kept by ``keep_one``.
 """
 
@@ -34,7 +35,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..operators.merge import with_ids
 from .common import broadcast_if_small, materialise, slices, small_batches, texts
 from .components import connected_components
 
@@ -287,8 +290,23 @@ class Finder:
 
 def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, bands: int = 32, rows: int = 5) -> DataFrame:
     """One row for each row of ``docs``: its id, n_shingles, component_id (the least id of its component), kept."""
-    kind = docs.schema[doc_id].dataType.simpleString()
-    plain = small_batches(docs).select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    kind = docs.schema[doc_id].dataType
+    if isinstance(kind, T.IntegralType):
+        found = _find(docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")), size, percent, bands, rows)
+        return found.select(F.col("id").cast(kind).alias(doc_id), "n_shingles", F.col("component_id").cast(kind).alias("component_id"), "kept")
+    # ids of any other kind: their places in their own order, so that the least one is the least place
+    names = docs.select(F.col(doc_id).alias("name")).where("name is not null").distinct()
+    names = materialise(with_ids(names, 0, [F.asc("name")]).select("name", F.col("id").cast("long").alias("id")), "near-dup-names")
+    placed = materialise(docs.select(F.col(doc_id).alias("name"), F.col(text).alias("text")).join(names, "name", "left").select("id", "text"), "near-dup-placed")
+    found = _find(placed, size, percent, bands, rows)
+    own, first = (names.select(F.col("id").alias(c), F.col("name").alias(f"name_{c}")) for c in ("id", "component_id"))
+    found = found.join(own, "id", "left").join(first, "component_id", "left")
+    return found.select(F.col("name_id").alias(doc_id), "n_shingles", F.col("name_component_id").alias("component_id"), "kept")
+
+
+def _find(docs: DataFrame, size: int, percent: int, bands: int, rows: int) -> DataFrame:
+    """``find`` for (id, text) with ids that are longs."""
+    plain = small_batches(docs)
     repeated = bool(plain.groupBy("id").count().where("id is not null and count > 1").take(1))
     one = plain
     if repeated:
@@ -302,7 +320,7 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
     if repeated:
         found = plain.where("id is not null").select("id").join(found, "id").unionByName(found.where("id is null"))
     kept = F.col("id").isNull() | (F.col("id") == F.col("component_id"))
-    return found.select(F.col("id").cast(kind).alias(doc_id), "n_shingles", F.col("component_id").cast(kind).alias("component_id"), kept.alias("kept"))
+    return found.select("id", "n_shingles", "component_id", kept.alias("kept"))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:

@@ -44,7 +44,7 @@ f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 v AS ({_VALUES}),
 grid(rule, i, cutoff) AS (VALUES {_RULES}),
 good AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING max(quality) = 1),
-n AS (SELECT lang, count(*) AS n FROM f JOIN good USING (doc_id) WHERE NOT base_failed GROUP BY lang HAVING count(*) >= 875 ORDER BY n DESC, lang LIMIT 200),
+n AS (SELECT lang, count(*) AS n FROM f JOIN good USING (doc_id) WHERE NOT base_failed GROUP BY lang HAVING count(*) >= 875),
 k AS (SELECT v.lang, grid.rule, i, cutoff, n, count(*) FILTER (v > cutoff) AS k FROM v JOIN good USING (doc_id) JOIN n ON n.lang IS NOT DISTINCT FROM v.lang JOIN grid ON grid.rule = v.rule GROUP BY ALL),
 tested AS (
   SELECT *, k < 0.005 * n AND (SELECT sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(0.005) + (n - j) * ln(1 - 0.005))) FROM unnest(range(0, k + 1)) AS u(j)) <= 0.05 / (4 * (SELECT count(*) FROM n)) AS passed FROM k),

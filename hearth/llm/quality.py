@@ -18,14 +18,13 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, slices, small_batches, texts
+from .common import broadcast_if_small, fresh, materialise, slices, small_batches, texts
 
 SYMBOLS = b"#*$%&|<>"
 _SPACES = b"\t\n\x0b\x0c\r "
@@ -60,30 +59,33 @@ def counts_of(text: bytes) -> tuple[int, ...]:
     return len(words), points, len(text) - len(text.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeat_words(words), len(lines)
 
 
-def _with_counts(column: str, kept: list[str]):
+def _with_counts(column: str, kept: list[str], at: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, column):
             counts = zip(*map(counts_of, texts(batch, column)), strict=True)
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), *(pa.array(x, pa.int64()) for x in counts)], [*kept, *(f"__{c}" for c in COUNTS)])
+            found = pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in counts], COUNTS)
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), found], [*kept, at])
 
     return run
 
 
-def count(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (default: all) of each row and its counts, as ``__n_words`` and so on."""
+def count(docs: DataFrame, at: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` (default: all) of each row, and its counts as the fields of a new column ``at``."""
     keep = docs.columns if keep is None else keep
     kept = [f for f in docs.schema.fields if f.name in keep]
-    schema = T.StructType([*kept, *(T.StructField(f"__{c}", T.LongType()) for c in COUNTS)])
-    return small_batches(docs).select(*dict.fromkeys([*keep, text])).mapInArrow(_with_counts(text, [f.name for f in kept]), schema)
+    counts = T.StructType([T.StructField(c, T.LongType()) for c in COUNTS])
+    schema = T.StructType([*kept, T.StructField(at, counts)])
+    return small_batches(docs).select(*dict.fromkeys([*keep, text])).mapInArrow(_with_counts(text, [f.name for f in kept], at), schema)
 
 
-def base_failed(min_words: int = 50, max_repeat_percent: int = 50) -> Column:
-    return (F.col("__n_words") < min_words) | (100 * F.col("__n_repeat_words") > max_repeat_percent * F.col("__n_words"))
+def base_failed(at: str, min_words: int = 50, max_repeat_percent: int = 50) -> Column:
+    counts = F.col(at)
+    return (counts["n_words"] < min_words) | (100 * counts["n_repeat_words"] > max_repeat_percent * counts["n_words"])
 
 
-def ratio(rule: str) -> Column:
+def ratio(rule: str, at: str) -> Column:
     above, below, _ = RULES[rule]
-    return F.col(f"__{above}") / F.greatest(F.col(f"__{below}"), F.lit(1))
+    return F.col(at)[above] / F.greatest(F.col(at)[below], F.lit(1))
 
 
 def at_most(k: int, n: int, p: float) -> float:
@@ -104,52 +106,56 @@ def certify(n: int, rejected: list[int], share: float, level: float) -> int:
     return len(rejected)
 
 
-@dataclass
-class Cutoffs:
-    """stratum -> rule -> cutoff; at most ``max_strata`` strata."""
+def _certified(n_strata: int, alpha: float, delta: float):
+    share, level = alpha / len(RULES), delta / (max(1, n_strata) * len(RULES))
 
-    by_stratum: dict[str | None, dict[str, float]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: dict[str, list] = {rule: [] for rule in RULES}
+            for r in batch.to_pylist():
+                for rule, (_, _, grid) in RULES.items():
+                    passed = certify(r["n"], r[rule], share, level)
+                    found[rule].append(grid[passed - 1] if passed else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.float64()) for x in found.values())], ["stratum", *RULES])
 
-    def rejects(self, stratum: Column) -> Column:
-        """Whether any certified rule discards a row (columns of ``count``)."""
-        out = F.lit(False)
-        for name, rules in self.by_stratum.items():
-            if rules:
-                over = [ratio(rule) > cutoff for rule, cutoff in rules.items()]
-                hit = over[0]
-                for x in over[1:]:
-                    hit = hit | x
-                out = out | (stratum.eqNullSafe(F.lit(name)) & hit)
-        return out
+    return run
 
 
-def calibrate(counted: DataFrame, labels: DataFrame, doc_id: str = "doc_id", stratum: str = "lang", label: str = "quality", alpha: float = 0.02, delta: float = 0.05, max_strata: int = 200) -> Cutoffs:
-    """Cutoffs from the good labels among the counted rows that pass the base rules.
+def calibrate(counted: DataFrame, at: str, labels: DataFrame, doc_id: str = "doc_id", stratum: str = "lang", label: str = "quality", alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
+    """(stratum, a cutoff or null for each rule) from the good labels among the counted rows that pass the base rules.
 
-    Only strata with enough good labels for one certificate are tested; how many that
-    are follows from the number of labels alone, so the correction stays valid.
+    Only strata with enough good labels for one certificate are tested; how many those are
+    follows from the number of labels alone, so the correction stays valid.
     """
-    good = labels.groupBy(F.col(doc_id).alias("__id")).agg(F.max(label).alias("__good")).where("__good = 1").select("__id")
-    rows = counted.where(~base_failed()).select(F.col(doc_id).alias("__id"), F.col(stratum).alias("stratum"), *(ratio(r).alias(r) for r in RULES))
-    tallies = [F.count_if(F.col(r) > c).alias(f"{r}_{i}") for r, (_, _, grid) in RULES.items() for i, c in enumerate(grid)]
-    share = alpha / len(RULES)
-    least = math.ceil(math.log(delta / len(RULES)) / math.log1p(-share))
-    found = rows.join(good, "__id").groupBy("stratum").agg(F.count("*").alias("n"), *tallies).where(F.col("n") >= least)
-    found = found.orderBy(F.desc("n"), "stratum").limit(max_strata).collect()
-    out: dict[str | None, dict[str, float]] = {}
-    for r in found:
-        level = delta / (len(found) * len(RULES))
-        passed = {rule: certify(r["n"], [r[f"{rule}_{i}"] for i in range(len(grid))], share, level) for rule, (_, _, grid) in RULES.items()}
-        out[r["stratum"]] = {rule: RULES[rule][2][k - 1] for rule, k in passed.items() if k}
-    return Cutoffs(out)
+    good = labels.groupBy(F.col(doc_id).alias("id")).agg(F.max(label).alias("good")).where("good = 1").select("id")
+    rows = counted.where(~base_failed(at)).select(F.col(doc_id).alias("id"), F.col(stratum).alias("stratum"), *(ratio(r, at).alias(r) for r in RULES))
+    tallies = [F.array(*(F.count_if(F.col(r) > c) for c in grid)).alias(r) for r, (_, _, grid) in RULES.items()]
+    least = math.ceil(math.log(delta / len(RULES)) / math.log1p(-alpha / len(RULES)))
+    found = materialise(rows.join(good, "id").groupBy("stratum").agg(F.count("*").alias("n"), *tallies).where(F.col("n") >= least), "quality-tallies")
+    kind = counted.schema[stratum].dataType.simpleString()
+    return found.mapInArrow(_certified(found.count(), alpha, delta), ", ".join([f"stratum {kind}", *(f"{r} double" for r in RULES)]))
+
+
+#: Strata whose cutoffs a broadcast holds at most (a few MB).
+MAX_STRATA = 50_000
+
+
+def with_verdict(counted: DataFrame, at: str, cutoffs: DataFrame, stratum: str, verdict: str) -> DataFrame:
+    """``counted`` with a column ``verdict``: whether neither the base rules nor a certified cutoff rejects a row."""
+    over = materialise(cutoffs.select(F.col("stratum").alias(f"{at}_of"), F.struct(*RULES).alias(f"{at}_cut")), "quality-cutoffs")
+    joined = counted.join(broadcast_if_small(over, MAX_STRATA), F.col(stratum).eqNullSafe(F.col(f"{at}_of")), "left")
+    hit = F.lit(False)
+    for rule in RULES:
+        hit = hit | F.coalesce(ratio(rule, at) > F.col(f"{at}_cut")[rule], F.lit(False))
+    return joined.withColumn(verdict, ~base_failed(at) & ~hit).select(*counted.columns, verdict)
 
 
 def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", stratum: str = "lang", **limits) -> DataFrame:
     """One row for each row of ``docs``: id, stratum, the counts, base_failed and kept."""
-    counted = materialise(count(docs, text, [doc_id, stratum]), "quality")
-    cutoffs = calibrate(counted, labels, doc_id, stratum, **limits)
-    kept = ~base_failed() & ~cutoffs.rejects(F.col(stratum))
-    return counted.select(doc_id, *([stratum] if stratum != doc_id else []), *(F.col(f"__{c}").alias(c) for c in COUNTS), base_failed().alias("base_failed"), kept.alias("kept"))
+    at = fresh(docs, "counts")
+    counted = materialise(count(docs, at, text, [doc_id, stratum]), "quality")
+    judged = with_verdict(counted, at, calibrate(counted, at, labels, doc_id, stratum, **limits), stratum, f"{at}_kept")
+    return judged.select(doc_id, *([stratum] if stratum != doc_id else []), *(F.col(at)[c].alias(c) for c in COUNTS), base_failed(at).alias("base_failed"), F.col(f"{at}_kept").alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", stratum: str = "lang", **limits) -> DataFrame:
@@ -157,6 +163,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
 
     Counts twice, once for the cutoffs and once beside the rows, so texts are never shuffled.
     """
-    cutoffs = calibrate(count(docs, text, [doc_id, stratum]), labels, doc_id, stratum, **limits)
-    kept = ~base_failed() & ~cutoffs.rejects(F.col(stratum))
-    return count(docs, text).where(kept).select(*docs.columns)
+    at = fresh(docs, "counts")
+    cutoffs = calibrate(count(docs, at, text, [doc_id, stratum]), at, labels, doc_id, stratum, **limits)
+    return with_verdict(count(docs, at, text), at, cutoffs, stratum, f"{at}_kept").where(f"`{at}_kept`").select(*docs.columns)

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import new_path
 from . import chat, decontaminate, langid, line_dedup, lm_score, near_dup, piece_codec, quality, secrets, warc_fixity
 from .common import crc_mod
 from .oracles import SQL
@@ -25,7 +26,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     # null-safe: a document without an id is never learned from
-    model = langid.fit(docs.where(crc_mod("doc_id", 4) != 2), PIECES)
+    model = langid.fit(docs.where(crc_mod("doc_id", 4) != 2), PIECES, sample_by=("doc_id", "text"))
     return langid.predict(docs, model).select("doc_id", F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
@@ -50,7 +51,9 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.lit("</s>[INST] ok [/INST]")
     more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
     found = chat.format_chats(turns.unionByName(more)).withColumn("back", chat.parse(F.col("formatted")))
-    loss = F.array_join(F.transform(F.filter("back", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
+    # what the mask covers, cut out of the rendered string itself
+    masked = F.transform("loss_spans", lambda s: chat.unescape(F.col("formatted").substr((s["begin"] + 1).cast("int"), (s["end"] - s["begin"]).cast("int"))))
+    loss = F.array_join(masked, "")
     text = F.array_join(F.transform("back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return found.select(
         "conv_id", F.size("back").cast("long").alias("n_turns"), F.sha2(text, 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), "round_trip"
@@ -99,7 +102,9 @@ def damaged_copy(pages: DataFrame) -> DataFrame:
 def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     archives = max(1, -(-pages.count() // ARCHIVE_RECORDS))
-    return warc_fixity.audit(warc_fixity.build(pages, archives), warc_fixity.build(damaged_copy(pages), archives))
+    path = new_path(spark, "warc-replica")
+    warc_fixity.write(damaged_copy(pages), path, archives)
+    return warc_fixity.audit(warc_fixity.build(pages, archives), warc_fixity.build_from_files(spark, path))
 
 
 __all__ = ["QUERIES", "SQL"]

@@ -10,11 +10,13 @@ are looked at, down to the records.
 Defined results: null urls and bodies count as empty; pages without an id have the empty
 id.  Rows equal in id, url and body are one record with a number of copies, which its leaf
 and its range hold.  Other columns are ignored.  An empty table has no archive, and an
-empty replica root.
+empty replica root.  Files that are cut off or damaged are read all the same: a record that
+isn't whole has a fault and hashes the bytes that are there.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,6 +31,8 @@ from .common import materialise
 DATE = "2024-01-01T00:00:00Z"
 #: What follows a record (fixed value of the format).
 RECORD_END = "\r\n\r\n"
+#: How a record begins (fixed value of the format); damaged files are read on from the next one.
+RECORD_BEGIN = b"WARC/1.1\r\n"
 
 
 def header(page_id: Column, url: Column, body: Column) -> Column:
@@ -65,9 +69,21 @@ def _parents(nodes: DataFrame, index: Column) -> DataFrame:
 
 
 def build(pages: DataFrame, archives: int, fanout: int = 8, levels: int = 4, page_id: str = "page_id", url: str = "url", html: str = "html") -> Tree:
-    """Hash each record once where it lies; only keys, lengths and digests are shuffled."""
+    """The tree of the records that pages become.
+
+    Each record is hashed once where it lies; only keys, lengths and digests are shuffled.
+    """
     hashed = records(pages, page_id, url, html).select("page_id", "url", F.sha2("record", 256).alias("digest"), (F.octet_length("record") + len(RECORD_END)).cast("long").alias("length"))
-    hashed = hashed.groupBy("page_id", "url", "digest", "length").agg(F.count("*").alias("copies")).withColumn("archive", archive_of(archives))
+    return _tree(hashed.withColumn("archive", archive_of(archives)), fanout, levels)
+
+
+def build_from_files(spark: SparkSession, path: str, fanout: int = 8, levels: int = 4) -> Tree:
+    """The tree of the bytes that stand in written archives, damaged records included."""
+    return _tree(read(spark, path, bodies=False).select("page_id", "url", "digest", (F.col("end") - F.col("begin")).alias("length"), "archive"), fanout, levels)
+
+
+def _tree(hashed: DataFrame, fanout: int, levels: int) -> Tree:
+    hashed = hashed.groupBy("archive", "page_id", "url", "digest", "length").agg(F.count("*").alias("copies"))
     order = Window.partitionBy("archive").orderBy("page_id", "url", "digest")
     size = F.col("length") * F.col("copies")
     end = F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, 0))
@@ -79,7 +95,8 @@ def build(pages: DataFrame, archives: int, fanout: int = 8, levels: int = 4, pag
     found.append(materialise(_parents(found[-1], F.lit(0).cast("long")), "warc-roots"))
     # the replica's root: over archives, ``fanout`` at a time
     top = found[-1].select(F.lit(0).cast("long").alias("archive"), F.col("archive").alias("node"), "hash", "begin", "end")
-    for _ in range(max(1, math.ceil(math.log(max(2, archives), fanout)))):
+    last = found[-1].agg(F.max("archive")).first()[0]
+    for _ in range(max(1, math.ceil(math.log(max(2, (last or 0) + 1), fanout)))):
         top = _parents(top, F.floor(F.col("node") / fanout))
     roots = top.collect()  # one row
     return Tree(found, roots[0]["hash"] if roots else "", fanout)
@@ -136,21 +153,52 @@ def write(pages: DataFrame, path: str, archives: int, page_id: str = "page_id",
     rows.select("archive", F.col("record").alias("value")).write.partitionBy("archive").option("lineSep", RECORD_END).text(path)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """(path, begin, end, page_id, url, html) of the records of WARC files; one file is one task's at most."""
+def records_of(data: bytes) -> Iterator[tuple[int, int, int, str, str, str | None]]:
+    """(begin, start of the body, end, page_id, url, fault) of the records of one file, whatever state it is in.
+
+    A record with a fault goes up to where the next one begins: ``truncated`` (the file ends
+    inside it), ``length`` (its body isn't as long as it says), ``header`` (none can be read).
+    """
+    at = 0
+    while at < len(data):
+        following = data.find(RECORD_BEGIN, at + 1)
+        following = len(data) if following < 0 else following
+        middle = data.find(b"\r\n\r\n", at, following) + 4
+        if middle < 4 or not data.startswith(RECORD_BEGIN, at):
+            yield at, following, following, "", "", "header"
+            at = following
+            continue
+        fields = dict(line.partition(b": ")[::2] for line in data[at : middle - 4].split(b"\r\n")[1:])
+        page, url = (fields.get(name, b"").decode(errors="replace") for name in (b"WARC-Record-ID", b"WARC-Target-URI"))
+        page = page.removeprefix("<urn:page:").removesuffix(">")
+        size = fields.get(b"Content-Length", b"")
+        stop = middle + int(size) if size.isdigit() else -1
+        end = stop + len(RECORD_END)
+        if stop >= 0 and data[stop:end] == RECORD_END.encode():
+            yield at, middle, end, page, url, None
+            at = end
+        else:
+            yield at, middle, following, page, url, "header" if stop < 0 else "truncated" if end > len(data) else "length"
+            at = following
+
+
+def read(spark: SparkSession, path: str, bodies: bool = True) -> DataFrame:
+    """(archive, path, begin, end, page_id, url, digest, fault, html) of the records of WARC files; one file is one task's at most.
+
+    digest: SHA-256 of the record's bytes.  html is null without ``bodies``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows, at = [], 0
-                while at < len(data):
-                    middle = data.index(b"\r\n\r\n", at) + 4
-                    fields = dict(x.split(": ", 1) for x in data[at:middle].decode().split("\r\n")[1:] if x)
-                    stop = middle + int(fields["Content-Length"])
-                    rows.append((name, at, stop + len(RECORD_END), fields["WARC-Record-ID"][len("<urn:page:") : -1], fields["WARC-Target-URI"], data[middle:stop].decode()))
-                    at = stop + len(RECORD_END)
+                rows = []
+                for begin, middle, end, page, url, fault in records_of(data):
+                    stop = end if fault else end - len(RECORD_END)
+                    rows.append((name, begin, end, page, url, hashlib.sha256(data[begin:stop]).hexdigest(), fault, data[middle:stop].decode(errors="replace") if bodies else None))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["path", "begin", "end", "page_id", "url", "html"])
+                    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["path", "begin", "end", "page_id", "url", "digest", "fault", "html"])
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(path)
-    return files.select("path", "content").mapInArrow(run, "path string, begin long, end long, page_id string, url string, html string")
+    found = files.select("path", "content").mapInArrow(run, "path string, begin long, end long, page_id string, url string, digest string, fault string, html string")
+    return found.select(F.regexp_extract("path", r"archive=(\d+)/", 1).cast("long").alias("archive"), *found.columns)

@@ -109,6 +109,95 @@ def test_cutoffs_hold_their_risk(spark):
     assert sum(r["kept"] for r in quality.judge(docs, labels.where("false")).collect()) == 2102
 
 
+def brute_verdicts(docs, labels, alpha=0.02, delta=0.05):
+    """doc_id -> kept, from (doc_id, text, lang) and (doc_id, quality), with exact fractions throughout."""
+    from fractions import Fraction
+
+    def at_most(k, n, p):
+        return sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
+
+    facts, failed, langs = {}, {}, {}
+    for i, text, lang in docs:
+        n, chars, symbols, lines, repeats = brute_counts(text)
+        n_lines = sum(1 for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x))
+        facts[i] = {"symbols": symbols / max(n, 1), "dup_lines": lines / max(n_lines, 1), "repeat_words": repeats / max(n, 1), "word_chars": chars / max(n, 1)}
+        failed[i], langs[i] = n < 50 or 100 * repeats > 50 * n, lang
+    good = {i for i, q in labels if q == 1}
+    by_lang = {}
+    for i in facts:
+        if i in good and not failed[i]:
+            by_lang.setdefault(langs[i], []).append(i)
+    share = Fraction(str(alpha)) / 4
+    tested = {lang: ids for lang, ids in by_lang.items() if (1 - share) ** len(ids) <= Fraction(str(delta)) / 4}
+    cutoffs = {}
+    for lang, ids in tested.items():
+        for rule, (_, _, grid) in quality.RULES.items():
+            for c in grid:
+                if at_most(sum(facts[i][rule] > c for i in ids), len(ids), share) > Fraction(str(delta)) / (4 * len(tested)):
+                    break
+                cutoffs[lang, rule] = c
+    return {i: not failed[i] and not any(facts[i][r] > cutoffs.get((langs[i], r), math.inf) for r in quality.RULES) for i in facts}, cutoffs
+
+
+def labelled_corpus(n_good=1500, seed=5):
+    """Two languages with enough good labels and one without; texts on which different rules fire."""
+    r = random.Random(seed)
+    words = [f"{a}{b}" for a in "abcdefgh" for b in ("la", "tor", "me", "nix", "po")]
+
+    def text(kind):
+        lines = [" ".join(r.choice(words) + str(r.randrange(1000)) for _ in range(8)) for _ in range(10)]
+        if kind == "symbols":
+            lines = [x.replace(" ", " ### ", 6) for x in lines]
+        elif kind == "dup_lines":
+            lines = [x for x in lines[:5]] + ["same"] * 20
+        elif kind == "word_chars":
+            lines = ["x".join(x.split()) + " " + "y" * r.randrange(8, 60) for x in lines] + [" ".join("z" * 25 + str(k) for k in range(45))]
+        return "\n".join(lines)
+
+    rows, labels = [], []
+    for k, (lang, n) in enumerate((("en", n_good), (None, n_good), ("fr", 60))):
+        for i in range(n + 60):
+            doc = k * 10_000 + i
+            # a few good texts look bad, so that the walk along a grid ends somewhere
+            kind = "plain" if i < n and r.random() > 0.002 else r.choice(["symbols", "dup_lines", "word_chars"])
+            rows.append((doc, text(kind), lang))
+            labels.append((doc, int(i < n)))
+    return rows, labels
+
+
+def test_certified_cutoffs_equal_brute_force(spark, tmp_path):
+    rows, labels = labelled_corpus()
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    expected, cutoffs = brute_verdicts(rows, labels)
+    assert len({rule for _, rule in cutoffs}) >= 3 and {lang for lang, _ in cutoffs} == {"en", None}
+    found = {r["doc_id"]: (r["kept"], r["base_failed"]) for r in op4_quality_rules(spark, str(tmp_path)).collect()}
+    assert {i: k for i, (k, _) in found.items()} == expected
+    assert sum(not k and not b for k, b in found.values()) > 40
+    from hearth.llm.oracles import SQL
+
+    assert_same(op4_quality_rules(spark, str(tmp_path)), SQL["op4_quality_rules"], connect(str(tmp_path)))
+
+
+def test_every_stratum_is_tested(spark):
+    """More strata than a bound of a few hundred would let through."""
+    rows = spark.range(300 * 900).selectExpr("id as doc_id", "concat('l', id % 300) as lang", "if(id % 900 < 2, 3.0D, 0.1D) as v")
+    values = {"n_words": "100L", "word_chars": "500L", "n_symbols": "cast(v * 100 as long)", "n_dup_lines": "0L", "n_repeat_words": "0L", "n_lines": "10L"}
+    counted = rows.selectExpr("doc_id", "lang", f"named_struct({', '.join(f'{k!r}, {v}' for k, v in values.items())}) as c")
+    labels = rows.selectExpr("doc_id", "1 as quality")
+    assert quality.calibrate(counted, "c", labels, alpha=0.06).where("repeat_words is not null").count() == 300
+
+
+def test_quality_with_clashing_columns_and_long_texts(spark):
+    rows = [(1, "Word " * 300_000, "en"), (2, " ".join(f"w{i}" for i in range(60)), None), (2, " ".join(f"w{i}" for i in range(60)), None), (None, None, None)]
+    docs = frame(spark, rows, ", lang string, __n_words int, __counts int, __COUNTS_of int, kept int", (7, 8, 9, 10))
+    labels = spark.createDataFrame([(2, 1)], "doc_id long, quality int")
+    judged = quality.judge(docs, labels).collect()
+    assert sorted((r["n_words"], r["kept"]) for r in judged) == [(0, False), (60, True), (60, True), (300_000, False)]
+    stay = quality.keep_good(docs, labels)
+    assert stay.columns == docs.columns and [(r["doc_id"], r["__n_words"], r["__COUNTS_of"]) for r in stay.collect()] == [(2, 7, 9)] * 2
+
+
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 
 
@@ -153,6 +242,46 @@ def test_base_spans_equal_brute_force(spark, sf_dir):
         assert r["base_sha256"] == hashlib.sha256(brute_base(texts[r["doc_id"]]).encode()).hexdigest()
 
 
+def test_random_spans_of_the_query_equal_brute_force(spark, sf_dir, tmp_path):
+    """Whole runs, from the query's spans, by a plain reading of the rule; parts must lie in what base spans leave."""
+    import base64
+
+    import tiktoken
+
+    with open(RANKS, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    encoding = tiktoken.Encoding("plain", pat_str=secrets.PIECES, mergeable_ranks=ranks, special_tokens={})
+    identifier, uuid = re.compile(r"([A-Za-z]+|[0-9]+)([-_/=+]+([A-Za-z]+|[0-9]+))*[-_/=+]*", re.ASCII), re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
+
+    def random_run(run):
+        if len(run) < 20 or identifier.fullmatch(run) or not (re.search("[0-9]", run) and re.search("[A-Za-z]", run)) or uuid.fullmatch(run):
+            return False
+        if len(run) in (32, 40, 56, 64, 96, 128) and re.fullmatch("[0-9a-f]+|[0-9A-F]+", run):
+            return False
+        return len(run) / len(encoding.encode_ordinary(run)) < 2.2
+
+    rng, signs = random.Random(9), "ABCDEFabcdefghijkxyz0123456789+/=_-"
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    for i in range(300):
+        parts = ["".join(rng.choices(signs, k=rng.randrange(5, 60))), "token=abcdef1" + "x9" * rng.randrange(9), "settings/verification/", "é", "0a" * 16]
+        texts[-1 - i] = " ".join("".join(rng.choices(parts, k=rng.randrange(1, 4))) for _ in range(4))
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    n = 0
+    for r in op6_secrets(spark, str(tmp_path)).collect():
+        text = texts[r["doc_id"]]
+        spans = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in r["spans"].split(",") if x)]
+        base = [(a, b) for k, a, b in spans if k not in ("random", "part")]
+        assert ",".join(f"{k}:{a}:{b}" for k, a, b in spans if k not in ("random", "part")) == brute_base(text)
+        runs = [m.span() for m in re.finditer("[A-Za-z0-9+/=_-]+", text)]
+        touched = lambda a, b: any(x < b and a < y for x, y in base)
+        assert [(a, b) for k, a, b in spans if k == "random"] == [(a, b) for a, b in runs if not touched(a, b) and random_run(text[a:b])]
+        for k, a, b in spans:
+            if k == "part":
+                assert any(x <= a and b <= y for x, y in runs) and not touched(a, b) and random_run(text[a:b])
+        n += sum(k in ("random", "part") for k, _, _ in spans)
+    assert n > 100
+
+
 def test_random_strings_are_found_and_identifiers_are_not(spark):
     texts = [
         "key x9Qz7LmP2vKt8RwY4bNc6HjD now", "id 123e4567-e89b-12d3-a456-426614174000 here", "sum d41d8cd98f00b204e9800998ecf8427e", "name some_long_identifier_2024_version_12", "word chheitschverheitenunglich", "1234567890123456789012345",

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import random
 
+import numpy as np
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -67,6 +69,27 @@ def test_near_dup_edge_cases(spark):
     assert near_dup.find(docs.where("false")).collect() == [] and near_dup.keep_one(docs.where("false")).collect() == []
 
 
+def test_ids_of_any_kind(spark):
+    rows = [("b", "a b c d"), ("a10", "A b c d"), ("a9", "x y z"), (None, "a b c d"), ("c", None), ("b", "a b c d")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    found = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"]), r["kept"]) for r in near_dup.find(docs, size=2).collect())
+    assert found == sorted([("b", 3, "a10", False)] * 2 + [("a10", 3, "a10", True), ("a9", 2, "a9", True), ("None", 3, "None", True), ("c", 0, "c", True)])
+    assert sorted(str(r["doc_id"]) for r in near_dup.keep_one(docs, size=2).collect()) == ["None", "a10", "a9", "c"]
+    assert near_dup.find(docs.where("false")).collect() == []
+    small = spark.createDataFrame([(1, "p q"), (2, "p q")], "doc_id short, text string")
+    assert dict(near_dup.find(small, size=2).dtypes)["component_id"] == "smallint" and near_dup.keep_one(small, size=2).count() == 1
+
+
+def test_near_copies_of_very_long_texts(spark):
+    r = random.Random(8)
+    base = [f"w{r.randrange(5000)}" for _ in range(60_000)]
+    other = list(base)
+    for k in range(0, 60_000, 50):
+        other[k] = "changed"
+    docs = spark.createDataFrame([(3, " ".join(base)), (2, " ".join(other)), (1, " ".join(reversed(base)))], "doc_id long, text string")
+    assert {(x["doc_id"], x["component_id"]) for x in near_dup.find(docs, size=5).collect()} == {(3, 2), (2, 2), (1, 1)}
+
+
 def test_components_equal_union_find(spark):
     r = random.Random(2)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1040)] + [(2000, i) for i in range(2001, 2100)]
@@ -126,7 +149,7 @@ def test_codec_parity_on_whole_texts(spark, sf_dir):
 def test_codec_edge_cases(spark):
     reference = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     texts = [None, "", " ", "  a\n\nb  ", "▁x", "💩 \t é\x00", "a" * 20_000, "x", "x"]
-    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, ids int")
+    docs = spark.createDataFrame([(i, t, 1, 2) for i, t in enumerate(texts)], "doc_id long, text string, IDS int, Parity int")
     rows = sorted(piece_codec.decode(piece_codec.encode(docs, PIECES), PIECES).collect(), key=lambda r: r["doc_id"])
     for r, t in zip(rows, texts, strict=True):
         if t is None:
@@ -158,6 +181,30 @@ def test_unigram_model_is_rebuilt(tmp_path):
     ours, other = piece_codec.build_tokenizer(model), sentencepiece.SentencePieceProcessor(model_proto=data)
     for text in ("ab", "a b abc", "cab ab", "bbb"):
         assert ours.encode(text, add_special_tokens=False).ids == other.encode(text)
+    # whole texts are units of such a model; the table holds one batch of them
+    codec = piece_codec.Codec(data)
+    for texts in (["ab", None, "", "a b abc"], ["cab ab " * 1000, "ab"]):
+        ids, sizes, parity, same = codec.encode(texts)
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)] == [other.encode(x) if x else [] for x in texts]
+        assert parity == same == [None if x is None else True for x in texts] and len(codec.known.at) <= len(texts)
+
+
+def test_codec_tables_are_renewed(monkeypatch):
+    """Small tables: units are forgotten and encoded again, results stay."""
+    monkeypatch.setattr(piece_codec, "CACHE_UNITS", 40)
+    monkeypatch.setattr(piece_codec, "BATCH_UNITS", 7)
+    monkeypatch.setattr(piece_codec, "JOINED_UNITS", 3)
+    with open(PIECES, "rb") as f:
+        codec = piece_codec.Codec(f.read())
+    reference = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    r = random.Random(1)
+    for k in range(30):
+        texts = [" ".join(r.choice(["the", "of", f"w{r.randrange(300)}", "💩é", "x\n\ny", "▁", "  z"]) for _ in range(r.randrange(8))) for _ in range(4)]
+        ids, sizes, parity, same = codec.encode(texts)
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)] == [reference.encode(x) for x in texts]
+        assert all(parity) and same == ["▁" not in x for x in texts]
 
 
 def pages(spark, n, extra=()):
@@ -177,6 +224,42 @@ def test_audit_finds_the_damage(spark):
     assert {r["kind"] for r in warc_fixity.damage(none, a).collect()} == {"extra"}
 
 
+def test_damaged_files_are_read(spark, tmp_path):
+    """Bytes are lost, changed and cut off: each file is read to its end and the audit names what is hurt."""
+    import glob
+
+    table = pages(spark, 60)
+    warc_fixity.write(table, f"{tmp_path}/warc", 3)
+    names = sorted(glob.glob(f"{tmp_path}/warc/archive=*/part-*.txt"))
+    data = {n: open(n, "rb").read() for n in names}
+    assert len(names) == 3 and all(list(warc_fixity.records_of(d))[-1][2] == len(d) and not any(r[5] for r in warc_fixity.records_of(d)) for d in data.values())
+    keys = {n: [r[3] for r in warc_fixity.records_of(d)] for n, d in data.items()}
+    for crc in glob.glob(f"{tmp_path}/warc/archive=*/.*.crc"):  # the file system's own check would stop at once
+        os.remove(crc)
+    a, b, c = names
+    at = [r[0] for r in warc_fixity.records_of(data[a])]
+    open(a, "wb").write(data[a][:-20])  # cut off inside the last record
+    begin, middle = [r[:2] for r in warc_fixity.records_of(data[b])][2]
+    open(b, "wb").write(data[b][: begin + 3] + b"?" + data[b][begin + 4 :])  # one byte of a header's first line
+    third = list(warc_fixity.records_of(data[c]))[3]
+    open(c, "wb").write(data[c][: third[1]] + b"more" + data[c][third[1] :])  # a body longer than it says
+    back = warc_fixity.read(spark, f"{tmp_path}/warc").collect()
+    assert sorted((r["fault"], r["page_id"]) for r in back if r["fault"]) == sorted([("truncated", keys[a][-1]), ("header", ""), ("length", keys[c][3])])
+    found = {(r["page_id"], r["kind"]) for r in warc_fixity.damage(warc_fixity.build(table, 3), warc_fixity.build_from_files(spark, f"{tmp_path}/warc")).collect()}
+    assert found == {(keys[a][-1], "altered"), (keys[b][2], "missing"), ("", "extra"), (keys[c][3], "altered")}
+    assert len(at) == len(keys[a]) and list(warc_fixity.records_of(b"")) == [] and [r[5] for r in warc_fixity.records_of(b"noise")] == ["header"]
+    whole = warc_fixity.build_from_files(spark, f"{tmp_path}/warc")
+    assert whole.root != warc_fixity.build(table, 3).root
+    warc_fixity.write(table.where("false"), f"{tmp_path}/none", 1)
+    assert warc_fixity.build_from_files(spark, f"{tmp_path}/none").root == ""
+
+
+def test_very_long_pages(spark, tmp_path):
+    table = spark.createDataFrame([(1, "u", "é" * 2_000_000), (1, "u", "é" * 2_000_000), (2, "v", "WARC/1.1\r\n\r\n" * 1000)], "page_id long, url string, html string")
+    warc_fixity.write(table, f"{tmp_path}/long", 1)
+    assert warc_fixity.build_from_files(spark, f"{tmp_path}/long").root == warc_fixity.build(table, 1).root
+
+
 def test_files_round_trip(spark, tmp_path):
     table = pages(spark, 60)
     warc_fixity.write(table, f"{tmp_path}/warc", 3)
@@ -185,7 +268,7 @@ def test_files_round_trip(spark, tmp_path):
     tree = warc_fixity.build(table, 3)
     ranges = {(r["page_id"], r["begin"], r["end"]) for r in tree.levels[0].collect()}
     assert {(r["page_id"], r["begin"], r["end"]) for r in back.collect()} == ranges
-    assert warc_fixity.build(back.select("page_id", "url", "html"), 3).root == tree.root
+    assert warc_fixity.build(back.select("page_id", "url", "html"), 3).root == tree.root == warc_fixity.build_from_files(spark, f"{tmp_path}/warc").root
 
 
 def test_pipeline_equals_brute_force(spark, sf_dir):
@@ -214,6 +297,33 @@ def test_pipeline_equals_brute_force(spark, sf_dir):
         assert r["ids"] == reference.encode(r["text"]) and r["n_chars"] == len(r["text"]) and (r["text"] == kept[r["doc_id"]] or "[SECRET]" in r["text"])
 
 
+def test_pipeline_edge_cases(spark, tmp_path):
+    """Nulls, repeated rows, empty and very long texts, clashing columns, ties, an empty table: each stage and the whole."""
+    import corpus_pipeline
+
+    r = random.Random(4)
+    long = " ".join(f"w{r.randrange(10**6)}" for _ in range(100_000))
+    plain = " ".join(f"p{r.randrange(10**6)}" for _ in range(80))
+    hidden = " ".join(f"q{r.randrange(10**6)}" for _ in range(80)) + " token=abcdef123456"
+    rows = [(1, plain, "en"), (1, plain, "en"), (2, plain.upper(), "en"), (3, None, None), (4, "", "fr"), (None, long, None), (5, long + " x", "de"), (6, hidden, None), (7, plain + " one two three four five six seven eight nine ten", "en")]
+    extra = "source string, n_chars long, ids int, kept boolean, __counts int, component_id string"
+    docs = spark.createDataFrame([(*x, None, 5, 1, True, 2, "c") for x in rows], f"doc_id long, text string, lang string, {extra}")
+    bench = [(1, "one two three four five six seven eight nine ten"), (2, None), (None, "x")]
+    for name, frame, empty in (("full", docs, False), ("empty", docs.where("false"), True)):
+        frame.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        items, labels = spark.createDataFrame(bench, "item_id long, text string"), spark.createDataFrame([(1, 1), (1, 0), (None, 1)], "doc_id long, quality int")
+        (items.where("false") if empty else items).write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        (labels.where("false") if empty else labels).write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        for stage, f in corpus_pipeline.STAGES[:-1]:
+            assert f(spark, frame, f"{tmp_path}/{name}").columns == docs.columns, stage
+    out = corpus_pipeline.run(spark, f"{tmp_path}/full").collect()
+    kept = sorted((str(x["doc_id"]), len(x["text"])) for x in out)
+    # 7 is a near copy of 1 and goes before its benchmark passage is seen; the long text without an id is linked with nothing
+    assert kept == sorted([("1", len(plain)), ("None", len(long)), ("5", len(long) + 2), ("6", len(hidden) - len("token=abcdef123456") + len("[SECRET]"))])
+    assert all(x["parity"] and x["round_trip"] and len(x["ids"]) == x["n_ids"] for x in out)
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").collect() == []
+
+
 def plain_words(text):
     import re
 

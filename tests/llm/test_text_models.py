@@ -74,6 +74,90 @@ def test_held_out_accuracy(spark, sf_dir):
         assert zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2 and 0 <= r["score"] <= 1
 
 
+class Naive:
+    """Pieces by plain dictionaries: forward and backward sums over one word's positions."""
+
+    def __init__(self, model, size):
+        self.pieces = {p: i for i, (p, k) in enumerate(zip(model.pieces, model.kinds, strict=True)) if k == 1}
+        self.byte_ids, self.longest, self.known = model.byte_ids(), max(map(len, self.pieces)), {}
+
+    def arcs(self, word):
+        if word not in self.known:
+            found = []
+            for a in range(len(word)):
+                for b in range(a + 1, min(len(word), a + self.longest) + 1):
+                    if word[a:b] in self.pieces:
+                        found.append((a, b, (self.pieces[word[a:b]],)))
+                if word[a] not in self.pieces:
+                    found.append((a, a + 1, tuple(self.byte_ids[x] for x in word[a].encode())))
+            self.known[word] = found
+        return self.known[word]
+
+    def ahead(self, word, p):
+        out = [1.0] + [0.0] * len(word)
+        for a, b, ids in self.arcs(word):
+            out[b] += out[a] * math.prod(p[i] for i in ids)
+        return out
+
+    def uses(self, word, p, n, total):
+        arcs, ahead, back = self.arcs(word), self.ahead(word, p), [0.0] * len(word) + [1.0]
+        for a, b, ids in reversed(arcs):
+            back[a] += back[b] * math.prod(p[i] for i in ids)
+        for a, b, ids in arcs:
+            for i in ids:
+                total[i] += n * ahead[a] * math.prod(p[j] for j in ids) * back[b] / ahead[-1]
+
+
+def test_language_query_equals_brute_force(spark, sf_dir, model):
+    """Counts, both rounds of estimation and every text's posterior, by the naive sums."""
+    naive, size = Naive(model, len(model.pieces)), len(model.pieces)
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang").collect()]
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    counts = {}
+    for i, text, lang in docs:
+        if not held(i) and text is not None and lang is not None:
+            counts.setdefault(lang, Counter()).update(langid.words_of(text))
+    begin = np.exp(prior(model, size)).tolist()
+    p = {lang: begin for lang in counts}
+    for _ in range(2):
+        for lang, words in counts.items():
+            total = [0.5] * size
+            for w, n in words.items():
+                naive.uses(MARK + w, p[lang], n, total)
+            everything = sum(total)
+            p[lang] = [x / everything for x in total]
+    langs, seen = sorted(p), {}
+
+    def log_of(lang, w):
+        if (lang, w) not in seen:
+            seen[lang, w] = math.log(naive.ahead(MARK + w, p[lang])[-1])
+        return seen[lang, w]
+
+    found = {r["doc_id"]: r for r in op1_language_id(spark, sf_dir).collect()}
+    assert len(found) == len(docs)
+    for i, text, _ in docs:
+        words = langid.words_of(text or "")
+        r = found[i]
+        assert r["held_out"] == held(i)
+        if not words:
+            assert (r["lang_pred"], r["score"]) == ("und", 0)
+            continue
+        logs = [math.fsum(log_of(lang, w) for w in words) for lang in langs]
+        best = max(logs)
+        assert r["lang_pred"] == langs[logs.index(best)] and math.isclose(r["score"], 1 / math.fsum(math.exp(x - best) for x in logs), rel_tol=1e-6)
+
+
+def test_language_ties_and_hot_copies(spark):
+    """Languages with the same words tie: the first by name. One text's copies are drawn row by row."""
+    rows = [(i, "same words here", lang) for lang in ("zz", "aa") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r["lang_pred"] for r in langid.predict(docs, langid.fit(docs, PIECES)).collect()} == {"aa"}
+    many = spark.range(4000).selectExpr("id as doc_id", "if(id % 3 = 0, 'one hot text', concat('text ', id)) as text", "'en' as lang")
+    kept = many.where((F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < int(0.25 * (1 << 20))) & (F.col("text") == "one hot text")).count()
+    assert 250 < kept < 420
+    assert langid.fit(many, PIECES, docs_per_lang=1000, sample_by=("doc_id", "text")).langs == ["en"]
+
+
 def test_language_edge_cases(spark):
     kind = "doc_id long, text string, lang string, lang_pred int"
     rows = [(1, "the house and the garden", "en", 1), (2, "la maison et le jardin", "fr", 2), (2, "la maison et le jardin", "fr", 2), (3, None, "en", 3), (4, "", "fr", 4), (None, "the garden", None, 5), (6, "123 !!", "en", 6), (7, "the " * 50_000, None, 7)]
@@ -115,6 +199,34 @@ def test_lm_equals_brute_force(spark, sf_dir):
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held(r["doc_id"]), n, known, total) and math.isclose(r["base_score"], base, rel_tol=1e-9) and r["score"] < 0
 
 
+def test_lm_score_equals_brute_force(spark, sf_dir, model):
+    """The re-estimated weights and every text's marginal probability, by the naive sums."""
+    naive, size = Naive(model, len(model.pieces)), len(model.pieces)
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    # characters outside A-Z keep their case, so words are cut from bytes
+    words_of = lambda t: [w.decode() for w in (t or "").encode().lower().split()]
+    counts, n_texts = Counter(), 0
+    for i, text in docs:
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            counts.update(words_of(text))
+            n_texts += 1
+    begin = np.exp(prior(model, size)).tolist()
+    total = [1000 * x for x in begin]
+    for w, n in counts.items():
+        naive.uses(MARK + w, begin, n, total)
+    everything = sum(total) + n_texts + 1
+    p = [x / everything for x in total]
+    logs = {}
+    found = {r["doc_id"]: r["score"] for r in op9_lm_score(spark, sf_dir).collect()}
+    for i, text in docs:
+        score = math.log10((n_texts + 1) / everything)
+        for w in words_of(text):
+            if w not in logs:
+                logs[w] = math.log10(naive.ahead(MARK + w, p)[-1])
+            score += logs[w]
+        assert math.isclose(found[i], score, rel_tol=1e-7)
+
+
 def test_rare_words_are_joined(spark):
     docs = spark.createDataFrame([(1, "A b c"), (2, "a B d"), (3, None), (3, None), (None, "a\x00 zz ")], "doc_id long, text string")
     full, few = (lm_score.fit(docs.where("doc_id < 3"), PIECES, frequent_words=k) for k in (1000, 0))
