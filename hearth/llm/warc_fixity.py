@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -146,11 +147,27 @@ def audit(a: Tree, b: Tree) -> DataFrame:
     )
 
 
-def write(pages: DataFrame, path: str, archives: int, page_id: str = "page_id", url: str = "url", html: str = "html") -> None:
-    """Write WARC files, one folder for each archive, records in the order of the tree."""
+def write(pages: DataFrame, path: str, archives: int, compression: str = "gzip", page_id: str = "page_id", url: str = "url", html: str = "html") -> None:
+    """Write WARC files, one folder for each archive, records in the order of the tree; compression is gzip or none."""
     rows = records(pages, page_id, url, html).withColumn("archive", archive_of(archives)).repartition("archive")
     rows = rows.sortWithinPartitions("archive", "page_id", "url", F.sha2("record", 256))
-    rows.select("archive", F.col("record").alias("value")).write.partitionBy("archive").option("lineSep", RECORD_END).text(path)
+    rows.select("archive", F.col("record").alias("value")).write.partitionBy("archive").option("lineSep", RECORD_END).option("compression", compression).text(path)
+
+
+def plain_bytes(data: bytes) -> bytes:
+    """A file's bytes; of a compressed one as many as can be had before it is damaged."""
+    if not data.startswith(b"\x1f\x8b"):
+        return data
+    out = bytearray()
+    while data:
+        part = zlib.decompressobj(31)
+        for at in range(0, len(data), 1 << 16):
+            try:
+                out += part.decompress(data[at : at + (1 << 16)])
+            except zlib.error:
+                return bytes(out)
+        data = part.unused_data
+    return bytes(out)
 
 
 def records_of(data: bytes) -> Iterator[tuple[int, int, int, str, str, str | None]]:
@@ -192,6 +209,7 @@ def read(spark: SparkSession, path: str, bodies: bool = True) -> DataFrame:
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 rows = []
+                data = plain_bytes(data)
                 for begin, middle, end, page, url, fault in records_of(data):
                     stop = end if fault else end - len(RECORD_END)
                     rows.append((name, begin, end, page, url, hashlib.sha256(data[begin:stop]).hexdigest(), fault, data[middle:stop].decode(errors="replace") if bodies else None))
@@ -199,6 +217,6 @@ def read(spark: SparkSession, path: str, bodies: bool = True) -> DataFrame:
                     kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["path", "begin", "end", "page_id", "url", "digest", "fault", "html"])
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt*").load(path)
     found = files.select("path", "content").mapInArrow(run, "path string, begin long, end long, page_id string, url string, digest string, fault string, html string")
     return found.select(F.regexp_extract("path", r"archive=(\d+)/", 1).cast("long").alias("archive"), *found.columns)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import os
 import random
 
@@ -229,7 +230,7 @@ def test_damaged_files_are_read(spark, tmp_path):
     import glob
 
     table = pages(spark, 60)
-    warc_fixity.write(table, f"{tmp_path}/warc", 3)
+    warc_fixity.write(table, f"{tmp_path}/warc", 3, compression="none")
     names = sorted(glob.glob(f"{tmp_path}/warc/archive=*/part-*.txt"))
     data = {n: open(n, "rb").read() for n in names}
     assert len(names) == 3 and all(list(warc_fixity.records_of(d))[-1][2] == len(d) and not any(r[5] for r in warc_fixity.records_of(d)) for d in data.values())
@@ -248,6 +249,8 @@ def test_damaged_files_are_read(spark, tmp_path):
     found = {(r["page_id"], r["kind"]) for r in warc_fixity.damage(warc_fixity.build(table, 3), warc_fixity.build_from_files(spark, f"{tmp_path}/warc")).collect()}
     assert found == {(keys[a][-1], "altered"), (keys[b][2], "missing"), ("", "extra"), (keys[c][3], "altered")}
     assert len(at) == len(keys[a]) and list(warc_fixity.records_of(b"")) == [] and [r[5] for r in warc_fixity.records_of(b"noise")] == ["header"]
+    packed = gzip.compress(data[a][:3000]) + gzip.compress(data[a][3000:])
+    assert warc_fixity.plain_bytes(packed) == data[a] and data[a].startswith(warc_fixity.plain_bytes(packed[:-300])) and warc_fixity.plain_bytes(packed[:40] + b"?" + packed[41:]) != data[a]
     whole = warc_fixity.build_from_files(spark, f"{tmp_path}/warc")
     assert whole.root != warc_fixity.build(table, 3).root
     warc_fixity.write(table.where("false"), f"{tmp_path}/none", 1)
