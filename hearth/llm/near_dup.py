@@ -41,7 +41,8 @@ from ..operators.merge import with_ids
 from .common import broadcast_if_small, materialise, slices, small_batches, texts
 from .components import connected_components
 
-CACHE_WORDS = 200_000
+#: Words with their hashes, and shingles of texts that come again, that a task holds (a longer text is held alone).
+CACHE_WORDS, CACHE_SHINGLES = 200_000, 100_000
 #: Ids that a broadcast holds at most (8 MB of keys).
 MAX_IDS = 500_000
 #: Parity bits of a set: each tells whether an odd number of its shingles falls on it.
@@ -183,13 +184,18 @@ def _similar(size: int, percent: int):
     """Keeps pairs whose full shingle sets are similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, tuple[bytes, set]] = {}  # the centre of a star comes many times
+        known: dict[int, set] = {}  # the centre of a star comes many times
+        held = 0
 
         def of(node: int, text: bytes) -> set:
+            nonlocal held
             if node not in known:
-                if len(known) > 64:
+                found = shingles_of(text, size)
+                if held + len(found) > CACHE_SHINGLES:
                     known.clear()
-                known[node] = shingles_of(text, size)
+                    held = 0
+                known[node] = found
+                held += len(found)
             return known[node]
 
         for batch in slices(batches, "text_u", 1 << 20):
