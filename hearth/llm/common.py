@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..storage import clear, materialise, shared_dir
 
-__all__ = ["BATCH_ROWS", "broadcast_if_small", "clear", "crc_mod", "fresh", "lower_ascii", "materialise", "share", "shared_dir", "slices", "small_batches", "texts"]
+__all__ = ["BATCH_ROWS", "BATCH_SIZE", "broadcast_if_small", "clear", "crc_mod", "fresh", "lower_ascii", "materialise", "share", "shared_dir", "slices", "small_batches", "texts"]
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
@@ -40,18 +40,22 @@ def lower_ascii(column: Column) -> Column:
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-#: Rows of a batch between the JVM and Python: texts are long, and a batch is held on both sides.
-BATCH_ROWS = 1000
+#: Rows and bytes of a batch between the JVM and Python: texts are long, and a batch is held on both sides.
+BATCH_ROWS, BATCH_SIZE = 1000, 4 << 20
 
 
 def small_batches(df: DataFrame) -> DataFrame:
     """``df``; its session hands at most ``BATCH_ROWS`` rows at a time to Python, or fewer if it did so before.
 
-    The setting counts when a job begins, long after this call, so it stays.
+    A batch ends at ``BATCH_SIZE`` bytes, unless the session sets another size.  The
+    settings count when a job begins, long after this call, so they stay.
     """
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(name)) <= BATCH_ROWS:
         conf.set(name, str(BATCH_ROWS))
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name, None) is None:
+        conf.set(name, str(BATCH_SIZE))
     return df
 
 

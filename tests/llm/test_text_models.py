@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hearth.llm import langid, lm_score
+from hearth.llm.common import BATCH_SIZE, small_batches
 from hearth.llm.lattice import Lattice, Vocabulary, expected_uses, prior, score_words
 from hearth.llm.queries import PIECES, op1_language_id, op9_lm_score
 from hearth.llm.vocabulary import MARK, read_model
@@ -244,3 +245,32 @@ def test_lm_prefers_the_language_it_learned(spark):
     test = spark.createDataFrame([(1, "der hund und die katze"), (2, "xq zzkw vvp jjx qqw")], "doc_id long, text string")
     scores = {r["doc_id"]: r["score"] for r in lm_score.score(test, lm_score.fit(docs, PIECES)).collect()}
     assert scores[1] > scores[2]
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    """Rows clumped in one partition reach Python in batches of about ``BATCH_SIZE`` bytes; a longer text is alone, none is lost."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    sizes = [200_000] * 100 + [3 * BATCH_SIZE] + [10] * 5
+    rows = spark.createDataFrame([(i, n) for i, n in enumerate(sizes)], "doc_id long, n int").coalesce(1)
+    docs = rows.select("doc_id", F.repeat(F.lit("x"), "n").alias("text"))
+
+    def run(batches):
+        for b in batches:
+            longest = max(len(x.as_py()) for x in b.column(1))
+            yield type(b).from_pydict({"rows": [b.num_rows], "bytes": [b.column(1).nbytes], "longest": [longest]})
+
+    try:
+        spark.conf.unset(name)
+        found = small_batches(docs).mapInArrow(run, "rows long, bytes long, longest long").collect()
+        assert sum(r["rows"] for r in found) == len(sizes)
+        assert all(r["bytes"] - r["longest"] <= 2 * BATCH_SIZE for r in found)
+        assert len(found) >= 5
+        spark.conf.set(name, "1000000")
+        small_batches(docs)
+        assert spark.conf.get(name) == "1000000"
+    finally:
+        if before:
+            spark.conf.set(name, before)
+        else:
+            spark.conf.unset(name)
