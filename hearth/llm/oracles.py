@@ -158,4 +158,59 @@ FROM (SELECT archive, root FROM roots WHERE side = 'a') x FULL JOIN (SELECT arch
 LEFT JOIN n USING (archive) LEFT JOIN e USING (archive)
 """
 
-SQL: dict[str, str] = {"op2_decontaminate": OP2, "op4_quality_rules": OP4, "op5_chat_format": OP5, "op7_minhash_dedup": OP7, "op8_line_dedup": OP8, "op10_warc_fixity": OP10}
+#: A filter's document is met by an earlier one, or removed, or neither; E compares whole texts.
+OP11 = r"""
+WITH RECURSIVE t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM t),
+firsts AS (SELECT text, min(doc_id) AS first FROM t GROUP BY text),
+f AS (
+  SELECT w.doc_id, part,
+    CASE WHEN len(words) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(words)) < 65 * len(words) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * length(regexp_replace(w.text, '[^A-Z]', '', 'g')) > 5 * length(w.text) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(w.text, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN coalesce(doc_id > first, false) THEN 'E' ELSE '' END AS fails
+  FROM w JOIN firsts USING (text)),
+l AS (SELECT doc_id, max(quality) = 1 AS good, max(toxic) = 1 AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL),
+o(filter_order) AS (SELECT '' UNION ALL SELECT filter_order || x FROM o, unnest(['A', 'B', 'C', 'D', 'E']) AS u(x) WHERE NOT contains(filter_order, x)),
+s AS (SELECT filter_order, k AS step, filter_order[k] AS x, substr(filter_order, 1, k - 1) AS before FROM o, unnest(range(1, 6)) AS u(k) WHERE length(filter_order) = 5),
+j AS (SELECT m.*, filter_order, step, x, contains(fails, x) AS hit, before <> '' AND regexp_matches(fails, '[' || before || 'x]') AS met FROM m, s),
+r AS (
+  SELECT part, filter_order, step, x, coalesce(sum(n) FILTER (NOT met AND NOT hit), 0) AS kept, coalesce(sum(n) FILTER (NOT met AND hit), 0) AS removed, coalesce(sum(n) FILTER (met AND hit), 0) AS redundant,
+    coalesce(sum(n) FILTER (fails = x), 0) AS unique_fails, coalesce(sum(good) FILTER (NOT met AND hit), 0) AS good_lost, coalesce(sum(toxic) FILTER (NOT met AND hit), 0) AS toxic_lost
+  FROM j GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley
+FROM r
+"""
+
+#: crc32 of each distinct word from its table of 256 entries, which the rule makes here too.
+OP12 = rf"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM benchmark),
+e AS (SELECT row, unnest(w) AS word FROM d),
+crc AS (
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS entries
+  FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS i)),
+v AS (SELECT word, hex(encode(word)) AS h FROM (SELECT word FROM e UNION SELECT word FROM b)),
+bytes AS (SELECT word, list_transform(range(len(h) // 2), lambda i: CAST('0x' || substr(h, CAST(2 * i + 1 AS INTEGER), 2) AS BIGINT)) AS x FROM v),
+z AS (
+  SELECT word, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), x), lambda c, y: xor(c >> 8, entries[CAST(xor(c, y) & 255 AS INTEGER) + 1])), 4294967295) % 10000 AS bucket
+  FROM bytes, crc),
+s AS (SELECT bucket, count(*) AS s FROM e JOIN z USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM b JOIN z USING (word) GROUP BY bucket),
+n AS (SELECT (SELECT count(*) FROM e) AS big_s, (SELECT count(*) FROM b) AS big_t),
+g AS (
+  SELECT word, floor(1000 * ln(CAST(coalesce(t, 0) + 1 AS DOUBLE) * CAST(big_s + 10000 AS DOUBLE) / (CAST(coalesce(s, 0) + 1 AS DOUBLE) * CAST(big_t + 10000 AS DOUBLE)))) AS gain
+  FROM z LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket), n),
+q AS (SELECT row, sum(gain) AS weight FROM e JOIN g USING (word) GROUP BY row),
+r AS (
+  SELECT d.row, doc_id, len(w) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+    CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5) / 4294967296.0))) AS BIGINT) AS noise
+  FROM d LEFT JOIN q ON q.row = d.row),
+k AS (SELECT row, row_number() OVER (ORDER BY weight + noise DESC, doc_id NULLS LAST) AS place FROM r WHERE n_features >= 20)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, weight, weight + noise AS score, CASE WHEN place <= 10 * (SELECT count(*) FROM k) // 100 THEN CAST(place AS BIGINT) END AS rank
+FROM r LEFT JOIN k ON k.row = r.row
+"""
+
+SQL: dict[str, str] = {"op2_decontaminate": OP2, "op4_quality_rules": OP4, "op5_chat_format": OP5, "op7_minhash_dedup": OP7, "op8_line_dedup": OP8, "op10_warc_fixity": OP10, "op11_filter_audit": OP11, "op12_importance": OP12}

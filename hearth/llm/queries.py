@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import new_path
-from . import chat, decontaminate, langid, line_dedup, lm_score, near_dup, piece_codec, quality, secrets, warc_fixity
+from . import chat, decontaminate, filter_audit, importance, langid, line_dedup, lm_score, near_dup, piece_codec, quality, secrets, simhash, warc_fixity
 from .common import crc_mod
 from .oracles import SQL
 
@@ -107,9 +107,22 @@ def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_fixity.audit(warc_fixity.build(pages, archives), warc_fixity.build_from_files(spark, path))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), max_n=1, buckets=10_000, min_words=20, percent=10, seed=2024)
+
+
+def op13_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.find(table(spark, sf_dir, "documents"), size=3, max_bits=2)
+    return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 __all__ = ["QUERIES", "SQL"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_language_id, op2_decontaminate, op3_sentencepiece, op4_quality_rules, op5_chat_format, op6_secrets, op7_minhash_dedup, op8_line_dedup, op9_lm_score, op10_warc_fixity)
+    for f in (op1_language_id, op2_decontaminate, op3_sentencepiece, op4_quality_rules, op5_chat_format, op6_secrets, op7_minhash_dedup, op8_line_dedup, op9_lm_score, op10_warc_fixity, op11_filter_audit, op12_importance, op13_simhash_dedup)
 }
