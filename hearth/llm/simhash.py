@@ -175,7 +175,8 @@ def links(nodes: DataFrame, max_bits: int = 2, dense: int | None = None) -> Data
     dense = dense or 2 * math.comb(64, max_bits)
     index = nodes.select("fp", F.explode(variants(F.col("fp"), max_bits)).alias("key"))
     shared = materialise(index.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "simhash-keys")
-    index = materialise(index.join(shared, "key").select("key", "fp", (F.col("members") > dense).alias("many")), "simhash-index")
+    # always merged, so that the plan is the same at every size and Spark can split a key that very many share
+    index = materialise(index.join(shared.hint("merge"), "key").select("key", "fp", (F.col("members") > dense).alias("many")), "simhash-index")
     found = pairs(index.where("not many"), max_bits)
     crowd = materialise(index.where("many").select("fp").distinct(), "simhash-dense")
     if crowd.take(1):
