@@ -3,18 +3,18 @@
 Candidates of a batch are judged in their order against the store as it was when the batch
 began.  A candidate is skipped if an added one of the batch before it has its url or its
 hash; otherwise a known url updates, a hash seen at another source within the horizon
-links, and the rest is added.  Only added ones block, so the order matters among those of a
-batch that share urls or hashes; they are replayed, batch by batch.
+links, and the rest is added.  Only added ones block, and they are found in rounds over the
+graph of shared urls and hashes: no batch and no group is replayed in one task.
 """
 
 from __future__ import annotations
 
 from datetime import datetime
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import materialise
 from .search import timestamp
 
 #: Days that a listing's last sight may lie back to be linked.
@@ -34,36 +34,58 @@ def stored_matches(candidates: DataFrame, properties: DataFrame, as_of: datetime
     return candidates.join(by_url, "url", "left").join(canonical, ["batch", "seq"], "left")
 
 
-def _replay(rows: pd.DataFrame) -> pd.DataFrame:
-    """Outcomes of the candidates of one batch that share urls or hashes, in their order."""
-    urls, hashes, outcomes = set(), set(), []
-    rows = rows.sort_values("seq")
-    for url, key, known, canonical in zip(rows["url"], rows["dedup_hash"], rows["url_id"].notna(), rows["canonical_id"].notna(), strict=True):
-        if url in urls or key in hashes:
-            outcomes.append(SKIPPED)
-        elif known:
-            outcomes.append(UPDATED)
-        elif canonical:
-            outcomes.append(LINKED)
-        else:
-            outcomes.append(ADDED)
-            urls.add(url)
-            hashes.add(key)
-    return rows[["batch", "seq"]].assign(outcome=outcomes)
+def _same(left: DataFrame, right: DataFrame, key: str) -> Column:
+    """Batch and key agree; nulls agree with nulls."""
+    return (left["batch"] == right["__batch"]) & left[key].eqNullSafe(right[f"__{key}"])
+
+
+def _of(rows: DataFrame, key: str, found: Column, name: str) -> DataFrame:
+    return rows.groupBy(F.col("batch").alias("__batch"), F.col(key).alias(f"__{key}")).agg(found.alias(name))
+
+
+def added(willing: DataFrame) -> DataFrame:
+    """(batch, seq, url, dedup_hash) of those that are added, from the candidates that nothing stored keeps from it.
+
+    Two of them that share a url or a hash are in conflict, and the earlier one wins if it is
+    added itself.  Each round adds every candidate that is the first of its url and the first
+    of its hash, and leaves out all that share either with one of these; the rest is decided by
+    later rounds.  A round is aggregates and joins, so a batch of any size and a url or hash of
+    any frequency is dealt to all tasks.  There are as many rounds as the longest row of
+    candidates of which each waits for the one before: few, unless a batch is made for it.
+    """
+    left = materialise(willing.groupBy("batch", "url", "dedup_hash").agg(F.min("seq").alias("seq")), "resolve-willing")
+    found = left.where("false").select("batch", "seq", "url", "dedup_hash")
+    while not left.isEmpty():
+        firsts = {key: _of(left, key, F.min("seq"), f"first_{key}") for key in ("url", "dedup_hash")}
+        marked = left
+        for key, first in firsts.items():
+            marked = marked.join(first, _same(marked, first, key)).drop("__batch", f"__{key}")
+        marked = materialise(marked, "resolve-round")
+        now = marked.where("seq = first_url and seq = first_dedup_hash").select("batch", "seq", "url", "dedup_hash")
+        found = found.unionByName(now)
+        rest = marked.where("seq <> first_url or seq <> first_dedup_hash").select("batch", "seq", "url", "dedup_hash")
+        for key in ("url", "dedup_hash"):
+            won = now.select(F.col("batch").alias("__batch"), F.col(key).alias(f"__{key}"))
+            rest = rest.join(won, _same(rest, won, key), "left_anti")
+        left = materialise(rest, "resolve-left")
+    return found
 
 
 def resolve(candidates: DataFrame, properties: DataFrame, as_of: datetime) -> DataFrame:
     """Candidates (batch, seq, url, source, dedup_hash, ...) with their outcome, url_id and canonical_id.
 
-    A batch is one result page.  Candidates that share neither url nor hash with another of
-    their batch, nearly all, need no replay and stay with column functions.
+    A batch is one result page or one micro-batch; (batch, seq) is a key.  An added candidate is
+    the only one of its url and of its hash in the batch, so each candidate meets at most two.
     """
-    matched = stored_matches(candidates, properties, as_of)
-    shared = F.greatest(*(F.count("*").over(Window.partitionBy("batch", c)) for c in ("url", "dedup_hash")))
-    marked = matched.select("batch", "seq", "url", "dedup_hash", "url_id", "canonical_id", shared.alias("members"))
-    alone = marked.where("members = 1").select("batch", "seq", outcome_alone(F.col("url_id"), F.col("canonical_id")).alias("outcome"))
-    replayed = marked.where("members > 1").drop("members").groupBy("batch").applyInPandas(_replay, "batch long, seq long, outcome string")
-    return matched.join(alone.unionByName(replayed), ["batch", "seq"])
+    matched = materialise(stored_matches(candidates, properties, as_of), "resolve-matched")
+    alone = outcome_alone(F.col("url_id"), F.col("canonical_id"))
+    winners = materialise(added(matched.where(alone == ADDED)), "resolve-added")
+    rows = matched
+    for key in ("url", "dedup_hash"):
+        won = _of(winners, key, F.min("seq"), f"__by_{key}")
+        rows = rows.join(won, _same(rows, won, key), "left").drop("__batch", f"__{key}")
+    before = F.coalesce(F.col("__by_url") < F.col("seq"), F.lit(False)) | F.coalesce(F.col("__by_dedup_hash") < F.col("seq"), F.lit(False))
+    return rows.withColumn("outcome", F.when(before, SKIPPED).otherwise(alone)).drop("__by_url", "__by_dedup_hash")
 
 
 def outcome_alone(url_id: Column, canonical_id: Column) -> Column:

@@ -53,6 +53,23 @@ def test_only_added_ones_block(spark):
     assert {x["seq"]: x["outcome"] for x in resolve.resolve(rows, properties, NOW).collect()} == {0: "Added", 1: "Skipped", 2: "Added"}
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_conflict_rounds_equal_replay(spark, seed):
+    """Long chains, hot urls and hashes, nulls and repeated rows in one large batch beside small ones."""
+    r = random.Random(seed)
+    rows = [(0, f"u{k // 2}", f"h{(k + 1) // 2}") for k in range(24)]  # a chain: every second one is added
+    rows += [(1, r.choice(["hot", f"u{r.randrange(300)}"]), r.choice(["hot", f"h{r.randrange(300)}"])) for _ in range(600)]
+    rows += [(2, r.choice([None, "u"]), r.choice([None, "h"])) for _ in range(12)]
+    candidates = [(b, k, u, r.choice("ab"), h) for k, (b, u, h) in enumerate(rows)]
+    stored = [(i, f"u{i * 9}", r.choice("ab"), f"h{r.randrange(300)}", NOW) for i in range(12)]
+    properties = spark.createDataFrame([(*s, Decimal(1)) for s in stored], "id long, url string, source string, dedup_hash string, last_seen_at timestamp_ntz, price decimal(10,2)")
+    frame = spark.createDataFrame(candidates, "batch long, seq long, url string, source string, dedup_hash string").repartition(5)
+    found = resolve.resolve(frame, properties, NOW)
+    assert {(x["batch"], x["seq"]): x["outcome"] for x in found.collect()} == simulate(candidates, stored)
+    assert found.columns == [*resolve.stored_matches(frame, properties, NOW).columns, "outcome"]
+    assert resolve.resolve(frame.where("false"), properties, NOW).collect() == []
+
+
 def _property(i, **values):
     row = {f.name: None for f in schema.PROPERTY.fields} | {"id": i, "url": f"u{i}", "source": "a", "sun_orientation": "Not Available", "orientation_source": "not_available", "construction_status": "Not Available", "dedup_hash": f"h{i}", "created_at": NOW, "last_seen_at": NOW}
     return row | values
