@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 
 from ..storage import materialise
 from .search import timestamp
+from .versions import VersionedTable
+
+__all__ = [
+    "IF_FILLED", "OVERWRITTEN", "VersionedTable", "add_rows", "apply_facts", "default_settings", "delete_cascade", "insert", "merge_links", "price_changes", "replace_settings", "update_by_url", "upsert_links", "with_ids",
+]
 
 #: Columns that an update overwrites even with nulls.
 OVERWRITTEN = (
@@ -89,16 +94,17 @@ def upsert_links(links: DataFrame, linked: DataFrame, as_of: datetime) -> DataFr
     )
 
 
-def add_rows(stored: DataFrame, new: DataFrame, order: list[Column]) -> DataFrame:
-    """Stored rows and new ones, these numbered behind the greatest id."""
-    top = stored.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+def add_rows(stored: DataFrame, new: DataFrame, order: list[Column], top: int | None = None) -> DataFrame:
+    """Stored rows and new ones, these numbered behind ``top``, or the greatest stored id."""
+    if top is None:
+        top = stored.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     return stored.unionByName(with_ids(new, top, order).select(*stored.columns))
 
 
-def merge_links(links: DataFrame, linked: DataFrame, as_of: datetime) -> DataFrame:
-    """Stored links (with ids) after an upsert, new ones numbered by property and url."""
+def merge_links(links: DataFrame, linked: DataFrame, as_of: datetime, top: int | None = None) -> DataFrame:
+    """Stored links (with ids) after an upsert, new ones numbered by property and url behind ``top``."""
     rows = upsert_links(links, linked, as_of)
-    return add_rows(rows.where("id is not null").select(*links.columns), rows.where("id is null").drop("id"), [F.asc("property_id"), F.asc("url")])
+    return add_rows(rows.where("id is not null").select(*links.columns), rows.where("id is null").drop("id"), [F.asc("property_id"), F.asc("url")], top)
 
 
 def delete_cascade(parents: DataFrame, gone: DataFrame, children: dict[str, tuple[DataFrame, str]], key: str = "id") -> tuple[DataFrame, dict[str, DataFrame]]:
@@ -130,33 +136,3 @@ def replace_settings(spark: SparkSession, settings: dict, schema, as_of: datetim
 def default_settings(existing: DataFrame, defaults: DataFrame) -> DataFrame:
     """The stored settings row, or the defaults if there is none."""
     return defaults if existing.isEmpty() else existing.limit(1)
-
-
-class VersionedTable:
-    """A table in a folder of numbered Parquet versions; a new version is written, then becomes the latest."""
-
-    def __init__(self, spark: SparkSession, path: str, schema):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
-
-    def _fs(self):
-        jvm = self.spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        return jvm, root, root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
-    def version(self) -> int:
-        """The last complete version, 0 if there is none; Spark marks complete ones with _SUCCESS."""
-        jvm, root, fs = self._fs()
-        if not fs.exists(root):
-            return 0
-        names = [s.getPath() for s in fs.listStatus(root)]
-        done = [int(p.getName()[1:]) for p in names if p.getName().startswith("v") and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-        return max(done, default=0)
-
-    def read(self) -> DataFrame:
-        version = self.version()
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{version}") if version else self.spark.createDataFrame([], self.schema)
-
-    def write(self, rows: DataFrame) -> int:
-        version = self.version() + 1
-        rows.select(*[F.col(f.name).cast(f.dataType) for f in self.schema.fields]).write.mode("overwrite").parquet(f"{self.path}/v{version}")
-        return version

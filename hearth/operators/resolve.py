@@ -16,16 +16,21 @@ from pyspark.sql import functions as F
 
 from ..storage import materialise
 from .search import timestamp
+from .versions import VersionedTable
 
 #: Days that a listing's last sight may lie back to be linked.
 HORIZON_DAYS = 30
 ADDED, UPDATED, LINKED, SKIPPED = "Added", "Updated", "Linked", "Skipped"
 
 
-def stored_matches(candidates: DataFrame, properties: DataFrame, as_of: datetime) -> DataFrame:
-    """Candidates with the store's row of the same url, and the least id of a linkable one."""
+def stored_matches(candidates: DataFrame, properties: DataFrame, as_of: datetime, hashes: DataFrame | None = None) -> DataFrame:
+    """Candidates with the store's row of the same url, and the least id of a linkable one.
+
+    hashes: (dedup_hash, id, source, last_seen_at) of the listings that may be linked, if
+    ``properties`` doesn't hold all of them.
+    """
     by_url = properties.select("url", F.col("id").alias("url_id"), F.col("price").alias("stored_price"))
-    recent = properties.where(F.col("last_seen_at") >= timestamp(as_of) - F.make_dt_interval(F.lit(HORIZON_DAYS)))
+    recent = (properties if hashes is None else hashes).where(F.col("last_seen_at") >= timestamp(as_of) - F.make_dt_interval(F.lit(HORIZON_DAYS)))
     # one row for each hash and source, so a frequent hash doesn't multiply candidates
     by_hash = recent.groupBy("dedup_hash", F.col("source").alias("other_source")).agg(F.min("id").alias("other_id"))
     canonical = (
@@ -71,13 +76,13 @@ def added(willing: DataFrame) -> DataFrame:
     return found
 
 
-def resolve(candidates: DataFrame, properties: DataFrame, as_of: datetime) -> DataFrame:
+def resolve(candidates: DataFrame, properties: DataFrame, as_of: datetime, hashes: DataFrame | None = None) -> DataFrame:
     """Candidates (batch, seq, url, source, dedup_hash, ...) with their outcome, url_id and canonical_id.
 
     A batch is one result page or one micro-batch; (batch, seq) is a key.  An added candidate is
     the only one of its url and of its hash in the batch, so each candidate meets at most two.
     """
-    matched = materialise(stored_matches(candidates, properties, as_of), "resolve-matched")
+    matched = materialise(stored_matches(candidates, properties, as_of, hashes), "resolve-matched")
     alone = outcome_alone(F.col("url_id"), F.col("canonical_id"))
     winners = materialise(added(matched.where(alone == ADDED)), "resolve-added")
     rows = matched
@@ -88,6 +93,12 @@ def resolve(candidates: DataFrame, properties: DataFrame, as_of: datetime) -> Da
     return rows.withColumn("outcome", F.when(before, SKIPPED).otherwise(alone)).drop("__by_url", "__by_dedup_hash")
 
 
+def existing(candidates: DataFrame, store: VersionedTable) -> DataFrame:
+    """Candidates with whether their url is stored, and its price; only the buckets of their urls are opened."""
+    rows = store.read(store.touched(candidates.select("url"))).select("url", F.col("price").alias("stored_price"), F.lit(True).alias("__known"))
+    return candidates.join(rows, "url", "left").withColumn("known", F.coalesce("__known", F.lit(False))).drop("__known")
+
+
 def outcome_alone(url_id: Column, canonical_id: Column) -> Column:
     return F.when(url_id.isNotNull(), UPDATED).when(canonical_id.isNotNull(), LINKED).otherwise(ADDED)
 

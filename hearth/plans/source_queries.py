@@ -13,13 +13,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.parse import ROOM_WORDS
-from ..operators.merge import VersionedTable
-from ..schema import PRICE_HISTORY, PROPERTY, PROPERTY_SOURCE
+from ..operators.resolve import existing
+from ..operators.versions import VersionedTable
+from ..schema import LISTING_HASH, PRICE_HISTORY, PROPERTY, PROPERTY_SOURCE
 from ..sources import common, html_cards, json_api, json_in_html, manual
 from ..storage import new_path
 from ..streaming.ingest import landed, merge_batches
 from .registry import query
-from .tables import AS_OF, PLACED, listings, number, placed
+from .tables import AS_OF, LISTINGS, PLACED, listings, number, placed
 from .text_queries import _PHRASES_SQL, PHRASES, _sql_fact
 
 #: The settings that the sources' rows are held to.
@@ -251,7 +252,7 @@ UNION ALL SELECT 'https://b/' || id, CAST(price AS DOUBLE), 0, '' FROM q WHERE i
 def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three landings through the stream: new listings, new prices of half of them, and another source's.
 
-    The stream begins anew for each landing and goes on where it was.
+    The stream begins anew for each landing and goes on where it was; the tables lie in buckets.
     """
     work, rows, key = new_path(spark, "stream"), homes(spark, sf_dir), F.col("id")
     nothing = {"baths": F.lit(None).cast("int"), "description": F.lit(""), "photos": F.lit(None).cast("array<string>")}
@@ -259,14 +260,28 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     landings = (
         rows.where("id % 4 <> 3").withColumns(of("a")), rows.where("id % 4 <> 3 and id % 2 = 0").withColumns({**of("a"), "price": F.col("price") + key % 3 * 1000}), rows.where("id % 4 >= 2").withColumns(of("b")),
     )
-    tables = [VersionedTable(spark, f"{work}/{name}", kind) for name, kind in (("properties", PROPERTY), ("links", PROPERTY_SOURCE), ("history", PRICE_HISTORY))]
+    tables = [VersionedTable(spark, f"{work}/{name}", kind, by, buckets=8) for name, kind, by in (("properties", PROPERTY, "url"), ("links", PROPERTY_SOURCE, "property_id"), ("history", PRICE_HISTORY, "property_id"))]
+    hashes = VersionedTable(spark, f"{work}/hashes", LISTING_HASH, "dedup_hash", buckets=8)
     for new in landings:
         entries = new.withColumns({"batch": F.floor(key / 40), "seq": key, **nothing})
         found = manual.parse(entries).withColumn("dedup_hash", F.concat(F.lit("h"), F.col("seq").cast("string")))
         found.write.mode("append").parquet(f"{work}/in")
-        merge_batches(landed(spark, f"{work}/in", found.schema), *tables, lambda n: AS_OF + timedelta(days=n), f"{work}/state").awaitTermination()
+        merge_batches(landed(spark, f"{work}/in", found.schema), *tables, lambda n: AS_OF + timedelta(days=n), f"{work}/state", hashes=hashes).awaitTermination()
     properties, links, history = (t.read() for t in tables)
     changes = history.groupBy("property_id").agg(F.count("*").alias("n_changes"))
     linked = links.groupBy("property_id").agg(F.array_join(F.array_sort(F.collect_list("url")), "|").alias("links"))
     joined = properties.withColumnRenamed("id", "property_id").join(changes, "property_id", "left").join(linked, "property_id", "left")
     return joined.select("url", number("price").alias("price"), F.coalesce("n_changes", F.lit(0)).alias("n_changes"), F.coalesce("links", F.lit("")).alias("links"))
+
+
+@query(f"WITH {LISTINGS} SELECT p.id, coalesce(p.id % 3 <> 0 AND p.id % 2 = 0, false) AS known, CASE WHEN p.id % 3 <> 0 AND p.id % 2 = 0 THEN CAST(price AS DOUBLE) END AS stored_price FROM p")
+def page_existence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of all candidates are stored, looked up in buckets that two landings and a removal wrote."""
+    rows = listings(spark, sf_dir).select("id", "url", "price")
+    store = VersionedTable(spark, new_path(spark, "existence"), rows.schema, "url", buckets=8)
+    store.write(rows.where("id % 2 = 0 and id % 3 = 1"))
+    store.append(rows.where("id % 2 = 0 and id % 3 <> 1"))
+    where = store.touched(rows.where("id % 3 = 0").select("url"))
+    store.write(store.read(where).where("id % 3 <> 0"), where)
+    store.vacuum(keep=1)
+    return existing(rows, store).select("id", "known", number("stored_price").alias("stored_price"))

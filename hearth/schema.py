@@ -91,6 +91,13 @@ old_price! money
 new_price! money
 changed_at! time
 """)
+#: Which listings have a hash, where they are looked up by it.
+LISTING_HASH = _struct("""
+dedup_hash! string
+id! long
+source! string
+last_seen_at! time
+""")
 COMM_HISTORY = _struct("""
 id! long
 my_listing_id! long

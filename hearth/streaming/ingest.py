@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.merge import VersionedTable, add_rows, insert, merge_links, price_changes, update_by_url
+from ..operators.geo import repair
+from ..operators.merge import insert, merge_links, price_changes, update_by_url, with_ids
 from ..operators.resolve import resolve
+from ..operators.versions import VersionedTable
 from ..storage import materialise
 
 
@@ -40,34 +42,59 @@ def counts_by_window(stream: DataFrame, time: str, window: str, *keys: str, dela
 
 
 def merge_batches(
-    stream: DataFrame, properties: VersionedTable, links: VersionedTable, history: VersionedTable, clock: Callable[[int], datetime], checkpoint: str, base: int = 0
-) -> StreamingQuery:
+    stream: DataFrame, properties: VersionedTable, links: VersionedTable, history: VersionedTable, clock: Callable[[int], datetime], checkpoint: str, base: int = 0,
+    hashes: VersionedTable | None = None, parishes: DataFrame | None = None,
+) -> StreamingQuery:
     """Resolve each micro-batch against the stored listings and write the next version of listings, links and price changes.
 
     A micro-batch counts as one batch: what it adds is seen by the next one, and a repeat of
     it within the micro-batch is skipped.  To commit page by page, let one page land at a time.
+    Tables in buckets (listings by url, links and price changes by property_id) are opened and
+    written where the batch's keys lie; the rest stays as it is.
+    hashes: a table of ``schema.LISTING_HASH``, by dedup_hash: which listings have a hash, so
+    that links are found without the whole of the listings.  It must begin with the listings.
+    parishes: the dimension by which municipalities are repaired before a candidate is judged.
     base: the table's version before the stream's first batch.  Versions follow the batches'
     numbers from there, so a batch that runs again after a failure leaves out the tables whose
-    version is written; listings come last, so until then all is found as it was.
+    version is written and reads the others as they were; listings come last.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        if properties.version() > number + base:
+        at, now = number + base, clock(number)
+        if properties.version() > at:
             return
-        stored, now = properties.read(), clock(number)
         rows = batch.withColumns({"seq": F.shiftleft("batch", 32) + F.col("seq"), "batch": F.lit(number).cast("long")})
-        outcomes = materialise(resolve(rows, stored, now), "stream-outcomes")
-        if links.version() <= number + base:
-            links.write(merge_links(links.read(), outcomes.where("outcome = 'Linked'"), now))
-        if history.version() <= number + base:
-            history.write(add_rows(history.read(), price_changes(outcomes, now), [F.asc("batch"), F.asc("seq")]))
-        updated = update_by_url(stored, outcomes.where("outcome = 'Updated'"), now)
-        top = stored.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-        properties.write(insert(updated, outcomes.where("outcome = 'Added'"), now, top + 1))
+        rows = materialise(repair(rows, parishes) if parishes is not None else rows, "stream-rows")
+        stored = properties.read(properties.touched(rows.select("url")) if hashes else None, at)
+        linkable = hashes.read(hashes.touched(rows.select("dedup_hash")), at) if hashes else None
+        outcomes = materialise(resolve(rows, stored, now, linkable), "stream-outcomes")
+        if links.version() <= at:
+            linked = outcomes.where("outcome = 'Linked'")
+            where = links.touched(linked.select("canonical_id"))
+            links.write(merge_links(links.read(where, at), linked, now, links.top(at)), where)
+        if history.version() <= at:
+            changes = with_ids(price_changes(outcomes, now), history.top(at), [F.asc("batch"), F.asc("seq")])
+            history.append(changes)
+        changed = outcomes.where("outcome in ('Updated', 'Added')")
+        where = properties.touched(changed.select("url"))
+        before = properties.read(where, at)
+        after = insert(update_by_url(before, changed.where("outcome = 'Updated'"), now), changed.where("outcome = 'Added'"), now, properties.top(at) + 1)
+        after = materialise(after, "stream-listings")
+        if hashes and hashes.version() <= at:
+            write_hashes(hashes, before, after, changed.select("url").distinct(), at)
+        properties.write(after, where)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def write_hashes(hashes: VersionedTable, before: DataFrame, after: DataFrame, urls: DataFrame, version: int) -> None:
+    """The next version of ``hashes``: the listings of ``urls`` leave their hashes before and come to those after."""
+    names = hashes.schema.names
+    old, new = (rows.join(urls, "url", "left_semi").select(*names) for rows in (before, after))
+    where = hashes.touched(old.select("dedup_hash").unionByName(new.select("dedup_hash")))
+    hashes.write(hashes.read(where, version).join(old.select("id"), "id", "left_anti").select(*names).unionByName(new), where)
+
+
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "complete") -> None:
     """All that has landed through a stream into Parquet at ``path``; each batch replaces it (complete) or is added."""
 
