@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.history import as_of
+from ..operators.paging import SortedPages
+from ..operators.search import ordering
 from ..sources.html_cards import text
 from ..sources.json_in_html import script
 from ..storage import new_path
 from ..streaming.ingest import counts_by_window, landed, run_to_table, without_repeats
+from ..streaming.seen import STORE, first_encounters
 from .registry import query
 from .tables import HISTORY, LISTINGS, listings, number, price_history, sql_stamp, stamp, table
 
@@ -157,6 +162,41 @@ def stream_without_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{work}/out").agg(F.count("*").alias("n"))
 
 
+_HORIZON = timedelta(hours=20)
+
+
+@query(
+    f"""WITH x AS (SELECT event_id AS id, user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)
+SELECT user_id, {sql_stamp('min(ts)')} AS first, {sql_stamp('max(ts)')} AS last, count(*) AS n FROM x WHERE before IS NULL OR ts > before + INTERVAL 20 HOUR GROUP BY user_id"""
+)
+def stream_first_encounters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users not seen within 20 hours before: three landings in time's order, the stream begins anew for each."""
+    work, events = new_path(spark, "stream"), table(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    low, high = events.agg(F.min("ts"), F.max("ts")).first()
+    before = spark.conf.get(STORE[0], None)
+    spark.conf.set(*STORE)
+    try:
+        for k in range(3):
+            begin, end = (F.lit(low) + F.make_dt_interval(secs=F.lit((high - low).total_seconds() * x / 3).cast("decimal(18,6)")) for x in (k, k + 1))
+            last = F.col("ts") <= F.lit(high) if k == 2 else F.col("ts") < end
+            events.where((F.col("ts") >= begin) & last).write.mode("append").parquet(f"{work}/in")
+            found = first_encounters(landed(spark, f"{work}/in", events.schema, files_per_batch=1_000_000), "user_id", "ts", _HORIZON)
+            run_to_table(found, f"{work}/out", f"{work}/state", "append")
+    finally:
+        spark.conf.unset(STORE[0]) if before is None else spark.conf.set(STORE[0], before)
+    kept = spark.read.parquet(f"{work}/out")
+    return kept.groupBy("user_id").agg(stamp(F.min("ts")).alias("first"), stamp(F.max("ts")).alias("last"), F.count("*").alias("n"))
+
+
+@query(f"""WITH {LISTINGS}, x AS (SELECT id, price, row_number() OVER (ORDER BY price DESC, id) AS place FROM p) SELECT id, CAST(price AS DOUBLE) AS price, place FROM x WHERE place BETWEEN 1189 AND 1200""")
+def search_deep_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page 100 of all listings by price, from sorted ranges: one of them is read."""
+    order = ordering("price", "desc")
+    pages = SortedPages.build(listings(spark, sf_dir).select("id", "price", "last_seen_at"), order, new_path(spark, "pages"))
+    place = F.row_number().over(Window.orderBy(*order)) + 99 * 12  # a page's rows
+    return pages.page(100, 12).select("id", number("price").alias("price"), place.cast("long").alias("place"))
+
+
 @query()
 def approx_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.approx_count_distinct("user_id").alias("users"), F.approx_percentile("value", 0.5).alias("median"))
