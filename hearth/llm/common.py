@@ -16,11 +16,11 @@ __all__ = ["BATCH_ROWS", "BATCH_SIZE", "broadcast_if_small", "clear", "crc_mod",
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Hint a broadcast only if ``df`` has at most ``max_rows`` rows.
+    """Hint a broadcast only if ``df`` has at most ``max_rows`` rows; give it a written frame, whose count is in its files.
 
     Larger sides stay without a hint: Spark sorts and merges, and splits skewed keys.
     """
-    return F.broadcast(df) if len(df.select(F.lit(1)).take(max_rows + 1)) <= max_rows else df
+    return F.broadcast(df) if df.count() <= max_rows else df
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -72,7 +72,7 @@ def fit(
     spark = small_batches(docs).sparkSession
     model = read_model(vocabulary_path)
     vocabulary = Vocabulary.of(model)
-    drawn = F.pmod(F.xxhash64(*sample_by), F.lit(1 << 20))
+    drawn = F.xxhash64(*sample_by).bitwiseAND(F.lit((1 << 63) - 1))
     labelled = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), drawn.alias("drawn")).where("text is not null and lang is not null")
     rows = labelled.groupBy("lang").count().limit(max_langs + 1).collect()
     if len(rows) > max_langs:
@@ -83,12 +83,14 @@ def fit(
         return LanguageModel(vocabulary, [], np.zeros((vocabulary.size, 0)))
     keep = F.lit(False)
     for name, n in rows:
-        share_of = min(1.0, docs_per_lang / n)
-        keep = keep | ((F.col("lang") == name) & (F.col("drawn") < int(share_of * (1 << 20))))
+        keep = keep | ((F.col("lang") == name) & (F.col("drawn") < F.lit(drawn_below(n, docs_per_lang))))
     sample = labelled.where(keep) if any(n > docs_per_lang for _, n in rows) else labelled
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     counted = sample.select("text", "lang").mapInArrow(_count_words, "lang string, word string, n long")
     words = materialise(counted.repartition(parts, "lang", "word").groupBy("lang", "word").agg(F.sum("n").alias("n")), "langid-words")
+    learned = {r["lang"] for r in words.select("lang").distinct().collect()}  # max_langs rows
+    if silent := [name for name, n in rows if n > docs_per_lang and name not in learned]:
+        _require_rows(sample, silent)  # texts without words are no error: such a language keeps the prior
     logp = np.repeat(prior(model, vocabulary.size)[:, None], len(langs), axis=1)
     for _ in range(iterations):
         uses = words.mapInArrow(_expect(share(spark.sparkContext, (vocabulary, langs, logp))), "lang int, piece int, uses double")
@@ -99,6 +101,17 @@ def fit(
     return LanguageModel(vocabulary, langs, logp)
 
 
+def drawn_below(n: int, wanted: int) -> int:
+    """The bound on 63 random bits that lets ``wanted`` of ``n`` rows through in expectation, all of fewer."""
+    return (1 << 63) - 1 if n <= wanted else max(1, (wanted << 63) // n)
+
+
+def _require_rows(sample: DataFrame, langs: list[str]) -> None:
+    found = {r["lang"] for r in sample.where(F.col("lang").isin(langs)).select("lang").distinct().collect()}
+    if missing := [x for x in langs if x not in found]:
+        raise ValueError(f"the sample holds no row of {missing}: name columns in sample_by that tell copies apart")
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter = Counter()
 

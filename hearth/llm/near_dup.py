@@ -244,6 +244,7 @@ class Finder:
         """Those of the distinct pairs (u, v) whose full sets are similar."""
         pairs = materialise(pairs, "near-dup-alike")
         nodes = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
+        nodes = materialise(nodes, "near-dup-nodes")
         full = self.docs.join(broadcast_if_small(nodes, MAX_IDS), "id", "left_semi")
         pairs = pairs.join(full.select(F.col("id").alias("u"), F.col("text").alias("text_u")), "u")
         pairs = pairs.join(full.select(F.col("id").alias("v"), F.col("text").alias("text_v")), "v")
@@ -332,15 +333,18 @@ def _find(docs: DataFrame, size: int, percent: int, bands: int, rows: int) -> Da
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs``, with all their columns, less all but the least id of each component.
 
-    Of rows that share a kept id one stays, of those with the greatest text.
+    Of rows that share a kept id one stays, of those with the greatest text the one whose columns
+    have the greatest hash.
     """
     found = materialise(find(docs, doc_id, text, size, percent), "near-dup-found")
-    gone = found.where(~F.col("kept")).select(doc_id).distinct()
+    gone = materialise(found.where(~F.col("kept")).select(doc_id).distinct(), "near-dup-gone")
     out = docs.join(broadcast_if_small(gone, MAX_IDS), doc_id, "left_anti").select(*docs.columns)
     repeated = found.where(F.col("kept") & F.col(doc_id).isNotNull()).groupBy(doc_id).count().where("count > 1").select(doc_id)
+    repeated = materialise(repeated, "near-dup-repeated")
     if repeated.take(1):
         several = out.join(broadcast_if_small(repeated, MAX_IDS), doc_id, "left_semi")
-        # the greatest text, and one row of it: a minimum that is combined before the shuffle
-        first = several.groupBy(doc_id).agg(F.max_by(F.struct(*docs.columns), F.coalesce(F.col(text), F.lit(""))).alias("r")).select("r.*")
+        # the greatest text, then the greatest hash of the row: a maximum that is combined before the shuffle
+        rank = F.struct(F.coalesce(F.col(text), F.lit("")), F.xxhash64(*docs.columns))
+        first = several.groupBy(doc_id).agg(F.max_by(F.struct(*docs.columns), rank).alias("r")).select("r.*")
         out = out.join(broadcast_if_small(repeated, MAX_IDS), doc_id, "left_anti").select(*docs.columns).unionByName(first)
     return out

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .quality import RULES
+from .quality import RULES, STEPS, cutoff_at
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -28,6 +28,8 @@ FROM d LEFT JOIN p USING (doc_id) LEFT JOIN q USING (doc_id)
 
 _RULES = ", ".join(f"('{rule}', {i}, CAST({c} AS DOUBLE))" for rule, (_, _, grid) in RULES.items() for i, c in enumerate(grid))
 _VALUES = " UNION ALL ".join(f"SELECT doc_id, lang, '{rule}' AS rule, {above} / CAST(greatest({below}, 1) AS DOUBLE) AS v FROM f WHERE NOT base_failed" for rule, (above, below, _) in RULES.items())
+_TOGETHER = ", ".join(f"('{rule}', {i}, CAST({cutoff_at(rule, i)} AS DOUBLE))" for rule in RULES for i in range(STEPS))
+_TAIL = "(SELECT sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({p}) + (n - j) * ln(1 - {p}))) FROM unnest(range(0, k + 1)) AS u(j))"
 
 OP4 = rf"""
 WITH t AS (SELECT doc_id, lang, coalesce(text, '') AS text FROM documents),
@@ -44,12 +46,20 @@ f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 v AS ({_VALUES}),
 grid(rule, i, cutoff) AS (VALUES {_RULES}),
 good AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING max(quality) = 1),
-n AS (SELECT lang, count(*) AS n FROM f JOIN good USING (doc_id) WHERE NOT base_failed GROUP BY lang HAVING count(*) >= 875),
-k AS (SELECT v.lang, grid.rule, i, cutoff, n, count(*) FILTER (v > cutoff) AS k FROM v JOIN good USING (doc_id) JOIN n ON n.lang IS NOT DISTINCT FROM v.lang JOIN grid ON grid.rule = v.rule GROUP BY ALL),
-tested AS (
-  SELECT *, k < 0.005 * n AND (SELECT sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(0.005) + (n - j) * ln(1 - 0.005))) FROM unnest(range(0, k + 1)) AS u(j)) <= 0.05 / (4 * (SELECT count(*) FROM n)) AS passed FROM k),
+n0 AS (SELECT lang, count(*) AS n FROM f JOIN good USING (doc_id) WHERE NOT base_failed GROUP BY lang HAVING count(*) >= 149),
+m0 AS (SELECT count(*) AS m FROM n0),
+n AS (SELECT n0.*, m, n >= ceil(ln(0.05 / (4 * m)) / ln(1 - 0.005)) AS each FROM n0, m0),
+k AS (SELECT v.lang, grid.rule, i, cutoff, n, m, count(*) FILTER (v > cutoff) AS k FROM v JOIN good USING (doc_id) JOIN n ON n.lang IS NOT DISTINCT FROM v.lang AND each JOIN grid ON grid.rule = v.rule GROUP BY ALL),
+tested AS (SELECT *, k < 0.005 * n AND {_TAIL.format(p="0.005")} <= 0.05 / (4 * m) AS passed FROM k),
+path(rule, i, cutoff) AS (VALUES {_TOGETHER}),
+k2 AS (
+  SELECT lang, i, n, m, count(*) FILTER (hit) AS k FROM (
+    SELECT v.lang, doc_id, i, n, m, bool_or(v > cutoff) AS hit FROM v JOIN good USING (doc_id) JOIN n ON n.lang IS NOT DISTINCT FROM v.lang AND NOT each JOIN path ON path.rule = v.rule GROUP BY ALL) GROUP BY ALL),
+tested2 AS (SELECT *, k < 0.02 * n AND {_TAIL.format(p="0.02")} <= 0.05 / m AS passed FROM k2),
+last2 AS (SELECT lang, max(i) AS i FROM tested2 a WHERE NOT EXISTS (SELECT 1 FROM tested2 b WHERE b.lang IS NOT DISTINCT FROM a.lang AND b.i <= a.i AND NOT b.passed) GROUP BY lang),
 chosen AS (
-  SELECT lang, rule, min(cutoff) AS cutoff FROM tested a WHERE NOT EXISTS (SELECT 1 FROM tested b WHERE b.lang IS NOT DISTINCT FROM a.lang AND b.rule = a.rule AND b.i <= a.i AND NOT b.passed) GROUP BY lang, rule),
+  SELECT lang, rule, min(cutoff) AS cutoff FROM tested a WHERE NOT EXISTS (SELECT 1 FROM tested b WHERE b.lang IS NOT DISTINCT FROM a.lang AND b.rule = a.rule AND b.i <= a.i AND NOT b.passed) GROUP BY lang, rule
+  UNION ALL SELECT lang, rule, cutoff FROM last2 JOIN path USING (i)),
 bad AS (SELECT DISTINCT doc_id FROM v JOIN chosen ON chosen.rule = v.rule AND chosen.lang IS NOT DISTINCT FROM v.lang WHERE v > cutoff)
 SELECT f.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
   CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND bad.doc_id IS NULL AS kept
@@ -123,6 +133,8 @@ FROM documents LEFT JOIN t USING (doc_id) LEFT JOIN s USING (doc_id)
 """
 
 _LEVEL = "SELECT side, archive, node // 8 AS node, sha256(string_agg(hash, '' ORDER BY node)) AS hash FROM {0} GROUP BY side, archive, node // 8"
+#: Records of a slot of their archive, 512 of them; then eight nodes at a time.
+_SLOTS = "SELECT side, archive, slot AS node, sha256(string_agg(hash, '' ORDER BY page_id, url, digest)) AS hash FROM l0 GROUP BY side, archive, slot"
 
 OP10 = f"""
 WITH size AS (SELECT greatest(1, (count(*) + 511) // 512) AS archives FROM pages),
@@ -139,12 +151,13 @@ m AS (
   FROM q),
 h AS (
   SELECT side, page_id, url, sha256(record) AS digest, strlen(record) + 4 AS length, count(*) AS copies,
-    CAST('0x' || substr(sha256(page_id || chr(10) || url), 1, 8) AS UBIGINT) % (SELECT archives FROM size) AS archive
+    CAST('0x' || substr(sha256(page_id || chr(10) || url), 1, 8) AS UBIGINT) % (SELECT archives FROM size) AS archive,
+    CAST('0x' || substr(sha256(page_id || chr(10) || url), 9, 8) AS UBIGINT) % 512 AS slot
   FROM m GROUP BY ALL),
 l0 AS (
-  SELECT *, row_number() OVER (PARTITION BY side, archive ORDER BY page_id, url, digest) - 1 AS node, sha256(digest || ':' || copies || ':' || length) AS hash FROM h),
-l1 AS ({_LEVEL.format("l0")}), l2 AS ({_LEVEL.format("l1")}), l3 AS ({_LEVEL.format("l2")}), l4 AS ({_LEVEL.format("l3")}),
-roots AS (SELECT side, archive, sha256(string_agg(hash, '' ORDER BY node)) AS root FROM l4 GROUP BY side, archive),
+  SELECT *, sha256(digest || ':' || copies || ':' || length) AS hash FROM h),
+l1 AS ({_SLOTS}), l2 AS ({_LEVEL.format("l1")}), l3 AS ({_LEVEL.format("l2")}),
+roots AS (SELECT side, archive, sha256(string_agg(hash, '' ORDER BY node)) AS root FROM l3 GROUP BY side, archive),
 k AS (SELECT side, archive, page_id, url, string_agg(digest || ':' || copies, ',' ORDER BY digest) AS c FROM h GROUP BY ALL),
 d AS (
   SELECT coalesce(x.archive, y.archive) AS archive, coalesce(x.page_id, y.page_id) || ':' || CASE WHEN y.c IS NULL THEN 'missing' WHEN x.c IS NULL THEN 'extra' ELSE 'altered' END AS what

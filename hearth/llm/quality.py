@@ -5,7 +5,10 @@ holdout: along a fixed grid from the most lenient to the strictest cutoff, a cut
 certified while the exact binomial test rejects "the rule discards more than its share
 of good texts".  The walk along a grid stops at the first failure, and the level is
 divided over all strata and rules (Bonferroni), so with probability 1 - ``delta`` no
-stratum loses more than ``alpha`` of its good texts to all rules together.
+stratum loses more than ``alpha`` of its good texts to all rules together.  A stratum
+with too few good labels to certify rules one by one walks all grids at once, a step of
+every rule at a time, and needs a fourth of the labels for the same guarantee.  How a
+stratum is tested follows from the numbers of labels alone, so the correction holds.
 
 Defined results: null and empty texts have zero counts and fail the base rules.  A
 stratum with too few good labels has no cutoff and keeps what the base rules keep; a null
@@ -18,6 +21,8 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -38,6 +43,15 @@ RULES: dict[str, tuple[str, str, tuple[float, ...]]] = {
 }
 
 
+#: Steps of the walk along all grids at once; shorter grids stay at their strictest cutoff.
+STEPS = max(len(grid) for _, _, grid in RULES.values())
+
+
+def cutoff_at(rule: str, step: int) -> float:
+    grid = RULES[rule][2]
+    return grid[min(step, len(grid) - 1)]
+
+
 def repeat_words(words: list[bytes], window: int = 3) -> int:
     """Words inside windows that the text has twice or more."""
     grams = list(zip(*(words[i:] for i in range(window)), strict=False))
@@ -106,16 +120,24 @@ def certify(n: int, rejected: list[int], share: float, level: float) -> int:
     return len(rejected)
 
 
+def least_labels(share: float, level: float) -> int:
+    """The fewest good texts with which a cutoff that discards none of them is certified."""
+    return math.ceil(math.log(level) / math.log1p(-share))
+
+
 def _certified(n_strata: int, alpha: float, delta: float):
-    share, level = alpha / len(RULES), delta / (max(1, n_strata) * len(RULES))
+    level = delta / max(1, n_strata)
+    share_of_rule, level_of_rule = alpha / len(RULES), level / len(RULES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: dict[str, list] = {rule: [] for rule in RULES}
             for r in batch.to_pylist():
+                each = r["n"] >= least_labels(share_of_rule, level_of_rule)
+                together = 0 if each else certify(r["n"], r["together"], alpha, level)
                 for rule, (_, _, grid) in RULES.items():
-                    passed = certify(r["n"], r[rule], share, level)
-                    found[rule].append(grid[passed - 1] if passed else None)
+                    passed = certify(r["n"], r[rule], share_of_rule, level_of_rule) if each else together
+                    found[rule].append(cutoff_at(rule, passed - 1) if passed else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.float64()) for x in found.values())], ["stratum", *RULES])
 
     return run
@@ -124,14 +146,15 @@ def _certified(n_strata: int, alpha: float, delta: float):
 def calibrate(counted: DataFrame, at: str, labels: DataFrame, doc_id: str = "doc_id", stratum: str = "lang", label: str = "quality", alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
     """(stratum, a cutoff or null for each rule) from the good labels among the counted rows that pass the base rules.
 
-    Only strata with enough good labels for one certificate are tested; how many those are
-    follows from the number of labels alone, so the correction stays valid.
+    Only strata with enough good labels for one certificate, were they the only one, are tested.
     """
     good = labels.groupBy(F.col(doc_id).alias("id")).agg(F.max(label).alias("good")).where("good = 1").select("id")
     rows = counted.where(~base_failed(at)).select(F.col(doc_id).alias("id"), F.col(stratum).alias("stratum"), *(ratio(r, at).alias(r) for r in RULES))
     tallies = [F.array(*(F.count_if(F.col(r) > c) for c in grid)).alias(r) for r, (_, _, grid) in RULES.items()]
-    least = math.ceil(math.log(delta / len(RULES)) / math.log1p(-alpha / len(RULES)))
-    found = materialise(rows.join(good, "id").groupBy("stratum").agg(F.count("*").alias("n"), *tallies).where(F.col("n") >= least), "quality-tallies")
+    beyond = [reduce(or_, (F.col(r) > cutoff_at(r, i) for r in RULES)) for i in range(STEPS)]
+    tallies.append(F.array(*(F.count_if(x) for x in beyond)).alias("together"))
+    found = rows.join(good, "id").groupBy("stratum").agg(F.count("*").alias("n"), *tallies).where(F.col("n") >= least_labels(alpha, delta))
+    found = materialise(found, "quality-tallies")
     kind = counted.schema[stratum].dataType.simpleString()
     return found.mapInArrow(_certified(found.count(), alpha, delta), ", ".join([f"stratum {kind}", *(f"{r} double" for r in RULES)]))
 

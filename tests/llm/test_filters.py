@@ -179,6 +179,38 @@ def test_certified_cutoffs_equal_brute_force(spark, tmp_path):
     assert_same(op4_quality_rules(spark, str(tmp_path)), SQL["op4_quality_rules"], connect(str(tmp_path)))
 
 
+def test_few_labels_walk_all_grids_at_once(spark, tmp_path):
+    """Strata of 400 and 900 good labels beside one of 1,500: held against exact fractions and against SQL."""
+    from fractions import Fraction
+
+    from hearth.llm.oracles import SQL
+
+    rows, labels = labelled_corpus(n_good=1500, seed=8)
+    few, more = labelled_corpus(n_good=400, seed=9), labelled_corpus(n_good=900, seed=10)
+    for shift, lang, (r, q) in ((100_000, "de", few), (200_000, "es", more)):
+        rows += [(i + shift, t, lang) for i, t, was in r if was == "en"]
+        labels += [(i + shift, x) for i, x in q if i < 10_000]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    found = op4_quality_rules(spark, str(tmp_path))
+    assert_same(found, SQL["op4_quality_rules"], connect(str(tmp_path)))
+    kept, good = {r["doc_id"]: r["kept"] for r in found.collect()}, {i for i, q in labels if q}
+    for lang in ("de", "es"):
+        facts = []
+        for i, text, own in rows:
+            n, chars, symbols, lines, repeats = brute_counts(text)
+            if own == lang and n >= 50 and 100 * repeats <= 50 * n:
+                n_lines = sum(1 for x in text.split("\n") if x.strip())
+                facts.append((i, {"symbols": symbols / n, "dup_lines": lines / n_lines, "repeat_words": repeats / n, "word_chars": chars / n}))
+        ours = [v for i, v in facts if i in good]
+        beyond = lambda v, k: any(v[r] > quality.cutoff_at(r, k) for r in quality.RULES)
+        p, size, passed = Fraction(2, 100), len(ours), 0
+        while passed < quality.STEPS and sum(math.comb(size, i) * p**i * (1 - p) ** (size - i) for i in range(sum(beyond(v, passed) for v in ours) + 1)) <= Fraction(5, 400):
+            passed += 1
+        assert 0 < passed and {i: kept[i] for i, _ in facts} == {i: not beyond(v, passed - 1) for i, v in facts}
+        assert sum(not kept[i] for i, _ in facts) > 20
+
+
 def test_every_stratum_is_tested(spark):
     """More strata than a bound of a few hundred would let through."""
     rows = spark.range(300 * 900).selectExpr("id as doc_id", "concat('l', id % 300) as lang", "if(id % 900 < 2, 3.0D, 0.1D) as v")

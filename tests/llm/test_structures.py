@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import glob
 import gzip
 import os
 import random
+import re
 
 import numpy as np
 import pytest
@@ -227,8 +229,6 @@ def test_audit_finds_the_damage(spark):
 
 def test_damaged_files_are_read(spark, tmp_path):
     """Bytes are lost, changed and cut off: each file is read to its end and the audit names what is hurt."""
-    import glob
-
     table = pages(spark, 60)
     warc_fixity.write(table, f"{tmp_path}/warc", 3, compression="none")
     names = sorted(glob.glob(f"{tmp_path}/warc/archive=*/part-*.txt"))
@@ -257,6 +257,56 @@ def test_damaged_files_are_read(spark, tmp_path):
     assert warc_fixity.build_from_files(spark, f"{tmp_path}/none").root == ""
 
 
+def test_a_damaged_member_costs_one_record(spark, tmp_path):
+    """Any byte of one member of 60 is changed, or the file is cut: the others are read, the damage has a fault."""
+    table = pages(spark, 60)
+    warc_fixity.write(table, f"{tmp_path}/warc", 1)
+    (name,) = glob.glob(f"{tmp_path}/warc/archive=0/part-*.txt")
+    data = open(name, "rb").read()
+    plain = gzip.decompress(data)
+    assert plain.count(b"WARC/1.1") == data.count(warc_fixity.MEMBER_BEGIN) == 60
+    whole = list(warc_fixity.records_in(warc_fixity.inflated(data)))
+    assert len(whole) == 60 and not any(r[5] for r in whole) and b"".join(r[6] for r in whole) == plain and whole[-1][2] == len(plain)
+    starts = [m.start() for m in re.finditer(re.escape(warc_fixity.MEMBER_BEGIN), data)]
+    for k in (0, 17, 59):
+        stop = starts[k + 1] if k < 59 else len(data)
+        for at in range(starts[k], stop, 7 if k else 1):
+            hurt = list(warc_fixity.records_in(warc_fixity.inflated(data[:at] + bytes([data[at] ^ 0x55]) + data[at + 1 :])))
+            good = {r[3] for r in hurt if not r[5]}
+            if at - starts[k] >= 10 or at - starts[k] < 2:  # the header's flags, time and system change no record
+                assert len([r for r in hurt if r[5]]) == 1, (k, at)
+            assert {r[3] for i, r in enumerate(whole) if i != k} <= good, (k, at)
+    cut = list(warc_fixity.records_in(warc_fixity.inflated(data[:-30])))
+    assert len([r for r in cut if not r[5]]) == 59 and [r[5] for r in cut if r[5]] == ["compressed"]
+    for crc in glob.glob(f"{tmp_path}/warc/archive=0/.*.crc"):
+        os.remove(crc)
+    at = starts[17] + 60
+    open(name, "wb").write(data[:at] + bytes([data[at] ^ 0x55]) + data[at + 1 :])
+    back = warc_fixity.read(spark, f"{tmp_path}/warc").collect()
+    assert len(back) == 60 and [r["fault"] for r in back if r["fault"]] == ["compressed"]
+
+
+def test_foreign_files_are_read(spark, tmp_path):
+    """Version 1.0, header names of any case, names of the format, a member for all records or for each."""
+    record = "WARC/1.0\r\nwarc-type: response\r\nWARC-RECORD-ID:<urn:uuid:{0}>\r\nwarc-target-uri: http://x/{0}\r\ncontent-length:  {1}\r\n\r\n{2}\r\n\r\n"
+    rows = [record.format(i, len(body), body).encode() for i, body in enumerate(["a", "", "WARC", "x" * 300_000])]
+    os.makedirs(f"{tmp_path}/in/archive=3")
+    for name, data in (("a.warc", b"".join(rows)), ("b.warc.gz", gzip.compress(b"".join(rows))), ("c.warc.gz", b"".join(map(gzip.compress, rows))), ("d.warc.gz", gzip.compress(b"".join(rows)[:50]) + gzip.compress(b"".join(rows)[50:]))):
+        open(f"{tmp_path}/in/archive=3/{name}", "wb").write(data)
+    back = warc_fixity.read(spark, f"{tmp_path}/in").collect()
+    assert len(back) == 16 and not any(r["fault"] for r in back) and {r["archive"] for r in back} == {3}
+    assert sorted((r["page_id"], r["url"], len(r["html"])) for r in back) == sorted([("<urn:uuid:0>", "http://x/0", 1), ("<urn:uuid:1>", "http://x/1", 0), ("<urn:uuid:2>", "http://x/2", 4), ("<urn:uuid:3>", "http://x/3", 300_000)] * 4)
+
+
+def test_a_missing_record_opens_one_branch(spark):
+    table = pages(spark, 3000)
+    a, b = warc_fixity.build(table, 2), warc_fixity.build(table.where("page_id <> 11"), 2)
+    opened = [(x.count(), y.count()) for x, y in warc_fixity.descend(a, b)]
+    # two roots, then eight nodes a level of one branch, then a slot's records (six on average)
+    assert opened[0] == (2, 2) and all(x <= 8 and y <= 8 for x, y in opened[1:-1]) and opened[-1][0] <= 20 and opened[-1][1] == opened[-1][0] - 1
+    assert [(r["page_id"], r["kind"]) for r in warc_fixity.damage(a, b).collect()] == [("11", "missing")]
+
+
 def test_very_long_pages(spark, tmp_path):
     table = spark.createDataFrame([(1, "u", "é" * 2_000_000), (1, "u", "é" * 2_000_000), (2, "v", "WARC/1.1\r\n\r\n" * 1000)], "page_id long, url string, html string")
     warc_fixity.write(table, f"{tmp_path}/long", 1)

@@ -159,6 +159,17 @@ def test_language_ties_and_hot_copies(spark):
     assert langid.fit(many, PIECES, docs_per_lang=1000, sample_by=("doc_id", "text")).langs == ["en"]
 
 
+def test_samples_of_any_size_are_fine_enough(spark):
+    """Shares of 5e10 rows, which 20 random bits can't tell from none."""
+    for n in (1, 20_000, 20_001, 10**6, 5 * 10**10, 10**13):
+        bound = langid.drawn_below(n, 20_000)
+        assert 0 < bound < 1 << 63 and math.isclose(n * bound / 2**63, min(n, 20_000), rel_tol=1e-6)
+    copies = spark.range(3000).selectExpr("id as doc_id", "'one text only' as text", "'en' as lang")
+    with pytest.raises(ValueError, match="en"):  # by the text alone all copies are drawn or none
+        langid.fit(copies.withColumn("text", F.lit("all alike 3")), PIECES, docs_per_lang=1)
+    assert langid.fit(copies, PIECES, docs_per_lang=100, sample_by=("doc_id", "text")).langs == ["en"]
+
+
 def test_language_edge_cases(spark):
     kind = "doc_id long, text string, lang string, lang_pred int"
     rows = [(1, "the house and the garden", "en", 1), (2, "la maison et le jardin", "fr", 2), (2, "la maison et le jardin", "fr", 2), (3, None, "en", 3), (4, "", "fr", 4), (None, "the garden", None, 5), (6, "123 !!", "en", 6), (7, "the " * 50_000, None, 7)]
