@@ -6,9 +6,13 @@ Pairs are blocked by place and source and bounded by a price gap before hashes a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import materialise
+
 MAX_DISTANCE = 4
 MAX_PRICE_GAP = 0.30
 
@@ -23,16 +27,21 @@ def close_prices(a: Column, b: Column, gap: float = MAX_PRICE_GAP) -> Column:
     return a.isNotNull() & b.isNotNull() & (low != 0) & ((high - low).cast("double") / low.cast("double") <= gap)
 
 
+def _bands(max_distance: int) -> Column:
+    """The bands of ``hash`` that two hashes at most ``max_distance`` bits apart can't all differ in."""
+    bands = max_distance + 1
+    edges = [64 * k // bands for k in range(bands + 1)]
+    mask = lambda n: (1 << n) - 1 if n < 64 else -1
+    return F.array(*(F.struct(F.lit(k).alias("band"), F.shiftrightunsigned("hash", a).bitwiseAND(F.lit(mask(b - a)).cast("long")).alias("bits")) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))))
+
+
 def pairs(listings: DataFrame, max_distance: int = MAX_DISTANCE, gap: float = MAX_PRICE_GAP) -> DataFrame:
     """(id_a, id_b, dist) from (id, source, place, price, hash), id_a < id_b, one row for each pair: its least distance.
 
     Within a block, two hashes at most ``max_distance`` bits apart agree in one of
     ``max_distance + 1`` bands of bits, so the join is on block and band, never on all pairs.
     """
-    bands = max_distance + 1
-    edges = [64 * k // bands for k in range(bands + 1)]
-    parts = F.array(*(F.struct(F.lit(k).alias("band"), F.shiftrightunsigned("hash", a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("bits")) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))))
-    rows = listings.where("place <> '' and hash is not null").select("id", "source", "place", "price", "hash", F.explode(parts).alias("p")).select("id", "source", "place", "price", "hash", "p.*")
+    rows = listings.where("place <> '' and hash is not null").select("id", "source", "place", "price", "hash", F.explode(_bands(max_distance)).alias("p")).select("id", "source", "place", "price", "hash", "p.*")
     a, b = (rows.select(*(F.col(c).alias(f"{c}_{x}") for c in ("id", "source", "price", "hash")), "place", "band", "bits") for x in "ab")
     joined = a.join(b, ["place", "band", "bits"]).where((F.col("id_a") < F.col("id_b")) & (F.col("source_a") != F.col("source_b")))
     joined = joined.where(close_prices(F.col("price_a"), F.col("price_b"), gap)).withColumn("dist", distance(F.col("hash_a"), F.col("hash_b")))
@@ -52,6 +61,97 @@ def unambiguous(found: DataFrame) -> DataFrame:
 
 def new_links(found: DataFrame, listings: DataFrame, links: DataFrame) -> DataFrame:
     """(property_id, url, source, price) of the higher ids, linked to the lower ones and not yet stored."""
+    return links_of(unambiguous(found), listings, links)
+
+
+def links_of(clean: DataFrame, listings: DataFrame, links: DataFrame) -> DataFrame:
+    """The links of unambiguous pairs that aren't stored."""
     other = listings.select(F.col("id").alias("id_b"), "url", "source", "price")
-    rows = unambiguous(found).join(other, "id_b").select(F.col("id_a").alias("property_id"), "url", "source", "price")
+    rows = clean.join(other, "id_b").select(F.col("id_a").alias("property_id"), "url", "source", "price")
     return rows.join(links.select("property_id", "url"), ["property_id", "url"], "left_anti")
+
+
+@dataclass
+class PhotoGroups:
+    """Matches without their pairs: listings that share place and hash are one node.
+
+    members: (id, source, place, price, hash, degree), the degree being the listings it matches.
+    edges: (place, hash_a, hash_b, dist, n_links), hash_a <= hash_b as signed numbers; an edge of a
+    hash with itself stands for its own listings.  Edges without a link are left out.
+    """
+
+    members: DataFrame
+    edges: DataFrame
+
+
+def _cents(price: Column) -> Column:
+    return (price * 100).cast("long")
+
+
+def _spans(price: Column, gap: float) -> Column:
+    """Signed bounds (cents, sign): the prices close to ``price`` are the sum of sign * count(prices <= cents).
+
+    The bounds are settled by ``close_prices`` itself among the cents around them, so that they
+    agree with it to the last cent.  Prices below 0 are close to any, as the rule has it.
+    """
+    around = lambda estimate: F.transform(F.array(*(F.lit(k) for k in range(-2, 3))), lambda k: ((estimate + k).cast("decimal(18,0)") / 100).cast("decimal(18,2)"))
+    cents = _cents(price).cast("double")
+    above = F.array_max(F.filter(around(F.floor(cents * (1 + gap))), lambda q: (q >= price) & close_prices(price, q, gap)))
+    below = F.array_min(F.filter(around(F.ceil(cents / (1 + gap))), lambda q: (q > 0) & (q <= price) & close_prices(q, price, gap)))
+    bound = lambda at, sign: F.struct(at.cast("long").alias("at"), F.lit(sign).alias("sign"))
+    negative = bound(F.lit(-1), 1)
+    return F.when(price < 0, F.array(bound(F.lit(2**62), 1))).when(price == 0, F.array(negative)).otherwise(F.array(negative, bound(_cents(F.coalesce(above, price)), 1), bound(_cents(F.coalesce(below, price)) - 1, -1)))
+
+
+def groups(listings: DataFrame, max_distance: int = MAX_DISTANCE, gap: float = MAX_PRICE_GAP) -> PhotoGroups:
+    """What ``pairs`` finds in (id, source, place, price, hash), as nodes, edges with link counts, and membership.
+
+    Pairs are made of distinct hashes only.  How many listings a listing matches along an edge is
+    counted from running sums over the prices of the other node, all sources less its own, so a hash
+    that very many listings share costs its listings, not their square.  Those sums sort a node's
+    distinct (source, price), not its listings.  Ids are distinct; prices are whole cents; listings
+    without a source, place, price or hash match nothing and are left out.
+    """
+    rows = listings.where("place <> '' and hash is not null and source is not null and price is not null").select("id", "source", "place", F.col("price").cast("decimal(18,2)").alias("price"), "hash")
+    cells = materialise(rows.groupBy("place", "hash", "source", "price").agg(F.count("*").alias("n")), "photo-cells")
+    nodes = cells.groupBy("place", "hash").agg(F.count("*").alias("cells")).select("place", "hash", F.explode(_bands(max_distance)).alias("p")).select("place", "hash", "p.*")
+    a, b = (nodes.select("place", "band", "bits", F.col("hash").alias(f"hash_{x}")) for x in "ab")
+    near = a.join(b, ["place", "band", "bits"]).where(F.col("hash_a") <= F.col("hash_b")).withColumn("dist", distance(F.col("hash_a"), F.col("hash_b")))
+    near = materialise(near.where(F.col("dist") <= max_distance).select("place", "hash_a", "hash_b", "dist").distinct(), "photo-edges")
+
+    both = near.select("place", F.col("hash_a").alias("hash"), F.col("hash_b").alias("other")).unionByName(near.where("hash_a <> hash_b").select("place", F.col("hash_b").alias("hash"), F.col("hash_a").alias("other")))
+    asked = cells.join(both, ["place", "hash"]).select("place", F.col("other").alias("node"), "hash", "source", "price", F.explode(_spans(F.col("price"), gap)).alias("b"))
+    nothing = F.lit(None)
+    points = cells.select("place", F.col("hash").alias("node"), nothing.cast("long").alias("hash"), "source", "price", _cents(F.col("price")).alias("at"), F.lit(0).alias("sign"), "n")
+    bounds = asked.select("place", "node", "hash", "source", "price", "b.at", "b.sign", F.lit(0).cast("long").alias("n"))
+    # points come before bounds of the same cents: a bound counts prices up to and with its own
+    order = [F.col("at"), F.abs("sign")]
+    upto = lambda *keys: Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    counted = points.unionByName(bounds).withColumn("others", F.sum("n").over(upto("place", "node")) - F.sum("n").over(upto("place", "node", "source")))
+    # running sums to a bound among equals: all points of these cents are before it
+    along = materialise(counted.where("sign <> 0").groupBy("place", "hash", "node", "source", "price").agg(F.sum(F.col("others") * F.col("sign")).alias("links")).where("links > 0"), "photo-links")
+
+    cell = ["place", "hash", "source", "price"]
+    degrees = along.groupBy(*cell).agg(F.sum("links").alias("degree"))
+    members = rows.join(degrees, cell, "left").select("id", "source", "place", "price", "hash", F.coalesce("degree", F.lit(0)).alias("degree"))
+    sums = along.where(F.col("hash") <= F.col("node")).join(cells, cell).groupBy("place", F.col("hash").alias("hash_a"), F.col("node").alias("hash_b")).agg(F.sum(F.col("links") * F.col("n")).alias("n_links"))
+    # an edge of a hash with itself has counted each of its pairs from both ends
+    edges = near.join(sums, ["place", "hash_a", "hash_b"]).withColumn("n_links", F.when(F.col("hash_a") == F.col("hash_b"), F.expr("n_links div 2")).otherwise(F.col("n_links")))
+    return PhotoGroups(members, edges)
+
+
+def expand(found: PhotoGroups, gap: float = MAX_PRICE_GAP) -> DataFrame:
+    """The pairs (id_a, id_b, dist) of ``found``, exactly those of ``pairs``; as many as the links of all edges."""
+    a, b = (found.members.where("degree > 0").select("place", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "source", "price", "hash"))) for x in "ab")
+    rows = found.edges.select("place", "hash_a", "hash_b", "dist").join(a, ["place", "hash_a"]).join(b, ["place", "hash_b"])
+    rows = rows.where((F.col("source_a") != F.col("source_b")) & close_prices(F.col("price_a"), F.col("price_b"), gap) & ((F.col("hash_a") != F.col("hash_b")) | (F.col("id_a") < F.col("id_b"))))
+    return rows.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), "dist")
+
+
+def unambiguous_of(found: PhotoGroups, gap: float = MAX_PRICE_GAP) -> DataFrame:
+    """The pairs whose both ends match nothing else, as ``unambiguous`` has them, without all other pairs.
+
+    Only listings of degree 1 are joined: in the prices close to one of them there is one listing of
+    another source, so few of them meet in one hash.
+    """
+    return expand(PhotoGroups(found.members.where("degree = 1"), found.edges), gap)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _BUCKET = "__bucket"
+SIGN = "__sign"
 _MANIFEST = "bucket int, version long, n_rows long, top long"
 
 
@@ -83,11 +84,34 @@ class VersionedTable:
         old.unionByName(new).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/v{version}/manifest")
         return version
 
-    def write(self, rows: DataFrame, buckets: list[int] | None = None) -> int:
-        """The next version: ``rows`` in place of all that the named buckets hold (of everything, without names)."""
+    def write(self, rows: DataFrame, buckets: list[int] | None = None, version: int | None = None) -> int:
+        """The next version: ``rows`` in place of all that the named buckets hold (of everything, without names).
+
+        version: its number, greater than the last one's, for a table that follows another.
+        """
         last = self.version()
+        if version is not None and version <= last:
+            raise ValueError(f"version {version} isn't after version {last}")
         kept = [] if buckets is None else [r for r in self.manifest(last) if r["bucket"] not in set(buckets)]
-        return self._commit(rows, kept, last + 1)
+        return self._commit(rows, kept, last + 1 if version is None else version)
+
+    def differing(self, old: int, new: int | None = None) -> tuple[set[tuple[int, int]], set[tuple[int, int]]]:
+        """The parts (version, bucket) that only the old version has, and those that only the new one has."""
+        before, after = ({(r["version"], r["bucket"]) for r in self.manifest(v)} for v in (old, new))
+        return before - after, after - before
+
+    def changes(self, old: int, new: int | None = None) -> DataFrame:
+        """What leads from one version to another: rows with ``__sign`` -1 that go and 1 that come.
+
+        Only parts that differ are read; a row that lies in a part written anew comes with both
+        signs, which cancel in any sum.
+        """
+        out = self.spark.createDataFrame([], self.schema).withColumn(SIGN, F.lit(0))
+        for sign, parts in zip((-1, 1), self.differing(old, new), strict=True):
+            paths = [f"{self.path}/v{v}/data/{_BUCKET}={b}" for v, b in sorted(parts)]
+            if paths:
+                out = out.unionByName(self.spark.read.schema(self.schema).parquet(*paths).withColumn(SIGN, F.lit(sign)))
+        return out
 
     def append(self, rows: DataFrame) -> int:
         """The next version: ``rows`` beside all others.  Buckets of ``max_parts`` parts are put together."""

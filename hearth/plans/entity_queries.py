@@ -180,6 +180,48 @@ def photo_new_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return photos.new_links(found, shots, stored).select("property_id", "url", "source")
 
 
+def _shared_shots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Photos whose hash is the first eight signs, so that many are equal."""
+    return _shots(spark, sf_dir).withColumn("hash", F.col("hash").bitwiseAND(F.lit(255).cast("long")))
+
+
+_SHARED = """s AS (SELECT vec_id AS id, 's' || (vec_id % 3) AS source, label % 4 AS place, vec_id % 50 + 100 AS price, list_transform(embedding[1:8], lambda x: x > 0) AS bits FROM embeddings),
+g AS (SELECT *, min(id) OVER (PARTITION BY place, bits) AS node FROM s),
+f AS (SELECT a.id AS id_a, b.id AS id_b, a.node AS node_a, b.node AS node_b, CAST(len(list_filter(list_zip(a.bits, b.bits), lambda z: z[1] <> z[2])) AS INTEGER) AS dist
+  FROM g a JOIN g b ON a.place = b.place AND a.id < b.id AND a.source <> b.source AND (greatest(a.price, b.price) - least(a.price, b.price)) / CAST(least(a.price, b.price) AS DOUBLE) <= 0.3)"""
+
+
+@query(f"WITH {_SHARED} SELECT least(node_a, node_b) AS node_a, greatest(node_a, node_b) AS node_b, dist, count(*) AS n_links FROM f WHERE dist <= 1 GROUP BY 1, 2, 3")
+def photo_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Photos that are equal as one node, named by its smallest id, and how many listings match along each pair of nodes."""
+    found = photos.groups(_shared_shots(spark, sf_dir), max_distance=1)
+    nodes = found.members.groupBy("place", "hash").agg(F.min("id").alias("node"))
+    rows = found.edges
+    for x in "ab":
+        rows = rows.join(nodes.select("place", F.col("hash").alias(f"hash_{x}"), F.col("node").alias(f"node_{x}")), ["place", f"hash_{x}"])
+    return rows.select(F.least("node_a", "node_b").alias("node_a"), F.greatest("node_a", "node_b").alias("node_b"), "dist", "n_links")
+
+
+@query(f"WITH {_SHARED}, e AS (SELECT id_a AS id FROM f WHERE dist <= 1 UNION ALL SELECT id_b FROM f WHERE dist <= 1), d AS (SELECT id, count(*) AS degree FROM e GROUP BY id) SELECT g.id, g.node, coalesce(degree, 0) AS degree FROM g LEFT JOIN d USING (id)")
+def photo_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each listing's node and how many listings it matches."""
+    found = photos.groups(_shared_shots(spark, sf_dir), max_distance=1)
+    nodes = found.members.groupBy("place", "hash").agg(F.min("id").alias("node"))
+    return found.members.join(nodes, ["place", "hash"]).select("id", "node", "degree")
+
+
+@query(
+    f"""WITH {_PAIRS}, y AS (SELECT * FROM f WHERE dist <= 18), d AS (SELECT id FROM (SELECT id_a AS id FROM y UNION ALL SELECT id_b FROM y) GROUP BY id HAVING count(*) = 1)
+SELECT id_a AS property_id, 'u' || id_b AS url, s.source FROM y JOIN s ON s.id = id_b WHERE id_a IN (SELECT id FROM d) AND id_b IN (SELECT id FROM d)"""
+)
+def photo_group_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New links out of groups: pairs are made of listings with one match only."""
+    shots = _shots(spark, sf_dir)
+    clean = photos.unambiguous_of(photos.groups(shots, max_distance=18))
+    stored = shots.limit(0).select(F.col("id").alias("property_id"), "url")
+    return photos.links_of(clean, shots, stored).select("property_id", "url", "source")
+
+
 @query(
     """SELECT o_orderkey AS id, o_orderkey || ',' || CASE WHEN o_orderkey % 3 = 0 THEN '"' || replace(o_orderpriority || ', "x"', '"', '""') || '"' ELSE o_orderpriority END || ',' || CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE o_orderstatus END AS line FROM orders"""
 )
