@@ -125,3 +125,18 @@ def html_to_text(markup: Column) -> Column:
     out = F.regexp_replace(markup, r"(?i)<\s*(br|/p|/div|/li)\s*/?>", "\n")
     out = unescape_entities(F.regexp_replace(out, r"<[^>]*>", ""))
     return F.regexp_replace(F.regexp_replace(out, r"\n\s*\n+", "\n"), r"(?U)^\s+|\s+$", "")
+
+
+def room_words(low: Column, high: Column, table: dict[str, int] | None = None) -> Column:
+    """The words of a range of room counts; an upper bound that is not positive is open, the last word stands for it and more."""
+    words = sorted((n, w) for w, n in (table or ROOM_WORDS).items())
+    most = words[-1][0] - 1
+    named = F.create_map(*(F.lit(x) for pair in words for x in pair))
+    counts = room_range(low, F.when(high <= 0, most).otherwise(high), most)
+    return F.concat(F.transform(counts, lambda n: named[n]), F.when(high > most, F.array(F.lit(words[-1][1]))).otherwise(F.array().cast("array<string>")))
+
+
+def room_list(low: Column, high: Column, most: int = 6) -> Column:
+    """A range of room counts as a list with commas; null where it leaves nothing out."""
+    counts = room_range(low, F.when(high <= 0, most).otherwise(high), most)
+    return F.when(~((low <= 0) & (high >= most)), F.array_join(F.transform(counts, lambda n: n.cast("string")), ","))

@@ -69,8 +69,8 @@ def merge_runs(runs: DataFrame, *keys: str) -> DataFrame:
     return runs.groupBy(*keys).agg(*sums, F.bool_or("has_errors").alias("has_errors"), errors.alias("errors"))
 
 
-def run_record(tally: DataFrame, source: str, begin: datetime, end: datetime, errors: list[str]) -> DataFrame:
-    """An audit row from the outcome counts of a run."""
+def run_record(tally: DataFrame, source: str | Column, begin: datetime, end: datetime, errors: list[str]) -> DataFrame:
+    """An audit row from the outcome counts of a run, or one for each row of counts that names its source."""
     found = F.col("added") + F.col("updated") + F.col("linked") + F.col("skipped")
     messages = F.array(*(F.lit(e) for e in errors)).cast("array<string>")
     return tally.select(
