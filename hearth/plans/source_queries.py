@@ -195,6 +195,68 @@ def source_titled_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(common.guarded(html_cards.parse_props(pages), SETTINGS), "baths", "source_property_id")
 
 
+@query(
+    _sql_shown(
+        "'https://imoveis.santander.pt/i/' || id", f"CASE WHEN id % 11 <> 0 THEN {_WHOLE} END", "location_string", "nation", "size_m2 + 1000.5", "'p' || id", ", CAST(id AS VARCHAR) AS source_property_id, 'Apartamento Ref: ' || id || ' — antes ' || description || ' depois' AS description"
+    )
+)
+def source_nested_titled_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields that hold elements of their own kind, cards in comments and scripts, every second card never closed."""
+
+    def item(x: Column) -> Column:
+        key, code = x["id"], x["id"].cast("string")
+        size = F.when(x["size_m2"].isNotNull(), F.concat(F.replace(F.format_number(x["size_m2"] + 1000, 0), F.lit(","), F.lit(".")), F.lit(",5 m2")))
+        return markup(
+            "<!-- <div class='prop'><div class='prop-imgWrap'><a href='/no'> --><script>var a = \"<div class='prop'><div class='prop-tag'>no</div></div>\";</script><section>", F.when(key % 3 == 0, "</b></em>"),
+            "<DIV title='1 > 0' class='prop'><div class='prop-imgWrap'><div><div></div><a href=/i/", code, "><div class='prop-imgArea' style=\"background:url('p", code, "')\"></div></a></div></div><div class='prop-tag'><div>Apartamento</div> <div>Ref: ", code,
+            "</div></div><div class='x prop-tag-sub'><div>", F.when(key % 11 != 0, _grouped(x["price"])), "</div> &euro;<br></div><span class='prop-titleFirst'><span>", x["region"], "</span></span><span class='prop-titleSecond'>", x["nation"],
+            "</span><div class='prop-description'><div>antes</div> <div><p>", x["words"], "</div> depois</div><div class='a prop-specsWrapInner'><div>", x["beds"], " quartos</div> ", size, "</div>", F.when(key % 2 == 0, "</div></section>"),
+        )
+
+    pages = paged(homes(spark, sf_dir), item).select("batch", F.array_join("items", "").alias("payload"))
+    return _shown(html_cards.parse_props(pages), "source_property_id", "description")
+
+
+@query(
+    _sql_shown(
+        "'https://x/' || id", f"CASE WHEN id % 11 <> 0 THEN {_WHOLE} END", "location_string", "nation", "size_m2 + 0.5", "CASE WHEN id % 2 = 0 THEN 'p' || id || '|r' || id ELSE 's' || id END", ", 'u' || id AS source_property_id, 'Sala & ' || description || ' fim' AS description"
+    )
+)
+def source_nested_zipped_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists whose blocks hold blocks; a slide inside a wrapper, or a picture without slides; numbers of the media blocks."""
+
+    def item(x: Column) -> Column:
+        key, code = x["id"], x["id"].cast("string")
+        size = F.when(x["size_m2"].isNotNull(), F.concat(F.lit("<div>Usado</div> "), x["size_m2"].cast("int").cast("string"), F.lit(",5 m&#178;"))).otherwise("Usado")
+        slides = markup("<div><div class='swiper-slide'><div><picture><source srcset='p", code, " 1x, q 2x'></picture></div></div><!-- <div class='swiper-slide'><img data-src='no'></div> --><div class='swiper-slide'><img data-src='r", code, "'/></div></div>")
+        return markup(
+            "<div class='property-info-content'><div><a class='property-info' href='/r?l=https%3A%2F%2Fx%2F", code, "&amp;z=1'><div>a</div></a></div><div class='property-type'><div>Apartamento</div> T", x["beds"], "</div><div class='property-location'><div> ", x["location_string"], "</div> </div><div class='property-features-text'>", size,
+            "</div><div class='property-price-value'><div></div>", F.when(key % 11 != 0, _grouped(x["price"])), "&#8364;</div></div><div class='property-description'><div>Sala &amp; </div><div><div>", x["words"], "</div></div><!-- </div> --> fim</div><div class='property-media' data-uid='u", code, "'>",
+            F.when(key % 2 == 0, slides).otherwise(markup("<div><source srcset='s", code, " 1x'></div>")), "</div>",
+        )
+
+    pages = paged(homes(spark, sf_dir), item).select("batch", F.array_join("items", "\n").alias("payload"))
+    return _shown(html_cards.parse_zipped(pages), "source_property_id", "description")
+
+
+@query(
+    _sql_shown("'https://www.caixaimobiliario.pt/comprar/imovel.jsp?id=' || id", _WHOLE, "location_string", "nation", "size_m2", "CASE WHEN id % 3 = 0 THEN 'b' || id WHEN id % 3 = 1 THEN 'i' || id ELSE '' END", ", '001/' || id AS source_property_id, 'Apartamento T' || beds || ' — ' || description AS description")
+)
+def source_nested_piped_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures in the block before a card or in the card; spans in spans."""
+
+    def item(x: Column) -> Column:
+        key, code = x["id"], x["id"].cast("string")
+        return markup(
+            "<div>", F.when(key % 3 == 0, F.concat(F.lit("<div class='mod_imovel'><div><img src='b"), code, F.lit("'></div></div><div></div>"))), "<div class='result_imovel_txt'>", F.when(key % 3 < 2, F.concat(F.lit("<img src='i"), code, F.lit("'>"))), "<a>x</a><br><a href='/comprar/imovel.jsp?id=", code, "&pos=3'>Apartamento <span></span>T", x["beds"],
+            "</a><br/><div><b>", _grouped(x["price"]), " &euro;</b></div><br/><div>", x["region"], " | ", x["nation"], "<br/></div><span style='font-size:11px;'>", F.when(x["size_m2"].isNotNull(), F.concat(F.lit("<b>"), x["size_m2"].cast("int").cast("string"), F.lit(" m&sup2;</b> de area bruta"))), "</span><span>Ref. 001/", code,
+            "</span><span> ", x["words"], "</span></div></div>",
+        )
+
+    pages = paged(homes(spark, sf_dir), item).select("batch", F.array_join("items", "").alias("payload"))
+    return _shown(html_cards.parse_piped(pages), "source_property_id", "description")
+
+
 @query(
     f"""WITH {HOMES} SELECT 'https://x/' || id AS url, CASE WHEN id % 3 = 0 THEN 'Idealista' ELSE 'Own' END AS source, location_string, description, {_sql_fact('elevator')} AS elevator, {_sql_fact('parking')} AS parking, {_sql_fact('open_plan_kitchen')} AS open_plan_kitchen,
   CAST(NULL AS BOOLEAN) AS balcony, CAST(NULL AS VARCHAR) AS distrito, substr(sha256(strip_accents(lower(trim(location_string))) || '|' || CAST(round_even(price / 2500, 0) * 2500 AS BIGINT) || '|' || beds || '|?'), 1, 16) AS dedup_hash FROM h WHERE id % 5 <> 0"""
