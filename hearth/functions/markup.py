@@ -79,12 +79,18 @@ def _attributes(source: str) -> dict[str, str]:
     return out
 
 
+def _closed(source: str) -> bool:
+    """Whether a tag ends in a slash that is no part of a value without quotes."""
+    return source == "/" or (source.endswith("/") and source[-2] in " \t\r\n\f\"'")
+
+
 class _Page:
     """The elements that are open while a page is read, and the results as far as they are known."""
 
     def __init__(self, wanted: dict[str, Select]) -> None:
         self.found: dict[str, list] = {name: [] for name in wanted}
-        self.by_tag: dict[str, list[tuple[str, Select, Select | None, bool]]] = defaultdict(list)
+        # by tag: selections of one class by its name, all others under None
+        self.by_tag: dict[str, dict[str | None, list[tuple[str, Select, Select | None, bool]]]] = defaultdict(lambda: defaultdict(list))
         for name, select in wanted.items():
             self._add(name, select, None)
         self.chunks: list[str | None] = []  # None is a line break
@@ -92,10 +98,10 @@ class _Page:
         self.places: dict[str, list[int]] = defaultdict(list)  # of a tag's open elements in the stack
         self.blocks: list[int] = []  # of open elements that aren't inline
         self.holders: dict[int, list[dict]] = defaultdict(list)  # open results by what they were selected by
-        self.siblings: list[dict[int, dict]] = [{}]  # last results for "after" of each open element's children
+        self.siblings: dict[int, dict[int, dict]] = {}  # last results for "after", by how deep their parent lies
 
     def _add(self, name: str, select: Select, owner: Select | None, before: bool = False) -> None:
-        self.by_tag[select.tag].append((name, select, owner, before))
+        self.by_tag[select.tag][None if select.part else select.css].append((name, select, owner, before))
         for inner, child in select.inside.items():
             self._add(inner, child, select)
         for inner, child in select.after.items():
@@ -104,33 +110,35 @@ class _Page:
     def begin(self, tag: str, source: str) -> None:
         if tag in ENDS_ITS_KIND and self.stack and self.stack[-1][0] == tag:
             self._pop()
-        results = []
+        results: list | tuple = ()
         selects = self.by_tag.get(tag)
         if selects:
-            attrs = _attributes(source)
-            for name, select, owner, before in selects:
+            results, attrs, depth = [], _attributes(source), len(self.stack)
+            for name, select, owner, before in (*selects.get(attrs.get("class", ""), ()), *selects.get(None, ())):
                 holders = self.holders[id(owner)] if owner is not None else None
-                if (before or holders != []) and select.fits(attrs):
+                if not before and holders is not None and not holders:
+                    continue
+                if select.fits(attrs):
                     out = {a: attrs.get(a) for a in select.attrs} | {inner: [] for inner in select.inside}
                     for inner, child in select.after.items():
-                        last = self.siblings[-1].get(id(child))
+                        last = self.siblings.get(depth, {}).get(id(child))
                         out[inner] = [] if last is None else [last]
                     if before:
-                        self.siblings[-1][id(select)] = out
+                        self.siblings.setdefault(depth, {})[id(select)] = out
                     else:
                         (self.found if holders is None else holders[-1])[name].append(out)
                     results.append((select, out, len(self.chunks)))
         if tag == "br":
             self.chunks.append(None)
+        if tag in VOID or _closed(source):
+            self._close(results)
+            return
         for select, out, _ in results:
             self.holders[id(select)].append(out)
         if tag not in INLINE:
             self.blocks.append(len(self.stack))
         self.places[tag].append(len(self.stack))
         self.stack.append((tag, results))
-        self.siblings.append({})
-        if tag in VOID or source.endswith("/"):
-            self._pop()
 
     def end(self, tag: str) -> None:
         places = self.places.get(tag)
@@ -140,30 +148,39 @@ class _Page:
             self._pop()
 
     def _pop(self) -> None:
+        if self.siblings:
+            self.siblings.pop(len(self.stack), None)
         tag, results = self.stack.pop()
-        self.siblings.pop()
         self.places[tag].pop()
         if tag not in INLINE:
             self.blocks.pop()
-        for select, out, first in results:
+        for select, _, _ in results:
             self.holders[id(select)].pop()
+        if results:
+            self._close(results)
+
+    def _close(self, results: list | tuple) -> None:
+        for select, out, first in results:
             if select.text:
                 text = "".join(select.breaks if c is None else c for c in self.chunks[first:])
                 out["text"] = (html.unescape(text) if "&" in text else text).strip(SPACE)
 
     def read(self, page: str) -> dict[str, list]:
-        at = 0
-        while tag := _TAG.search(page, at):
-            self.chunks.append(page[at : tag.start()])
-            at = tag.end()
-            if name := tag["begin"]:
-                self.begin(name.lower(), tag["attrs"])
-                raw = RAW.get(name.lower())
-                if raw and not tag["attrs"].endswith("/"):
-                    close = raw.search(page, at)
+        at, search = 0, _TAG.search
+        while tag := search(page, at):
+            first, after = tag.span()
+            if first > at:
+                self.chunks.append(page[at:first])
+            at = after
+            end, name, attrs = tag.groups()
+            if name:
+                name = name.lower()
+                self.begin(name, attrs)
+                if name in RAW and not _closed(attrs):
+                    close = RAW[name].search(page, at)
                     at = close.start() if close else len(page)
-            elif name := tag["end"]:
-                self.end(name.lower())
+            elif end:
+                self.end(end.lower())
         self.chunks.append(page[at:])
         while self.stack:
             self._pop()

@@ -43,6 +43,7 @@ def test_what_is_no_element():
 def test_attributes_and_text():
     found = read("<DIV title='a > b' CLASS=c><A href='/x?a=1&amp;b=2&para=3' href='no'>&lt;b&gt;</A><a>no</a><a href=''>no</a></DIV>")["card"]
     assert [c["link"] for c in found] == [[{"href": "/x?a=1&b=2&para=3"}]] and found[0]["text"] == "<b>nono"
+    assert read("<div class=c><a href=/x/>1</a><b/>2</div>")["card"] == [{"text": "12", "name": [{"text": ""}], "link": [{"href": "/x/"}]}]
     rows = {"t": Select("p", breaks="\n"), "part": Select("p", "x", part=True, lacks=("style",))}
     out = read("<p class='a x'>1<br>2<br/>3</p><p class='x' style=''>4", rows)
     assert [t["text"] for t in out["t"]] == ["1\n2\n3", "4"] and [t["text"] for t in out["part"]] == ["123"]
