@@ -6,7 +6,7 @@ texts give null (or ``Not Available``).  A negative pattern is tested before a p
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import NOT_AVAILABLE
@@ -67,6 +67,51 @@ COMPASS = {
 #: A grade after a label; what follows it is no letter.
 ENERGY_PATTERN = r"(?:certificado|classe|categoria)\s+energ[ée]tic[ao]\s*:?\s*([A-G][+-]?)(?![a-zçãõáéíóúâêô])"
 
+#: What a text must hold for any pattern of a fact to match, in ASCII (fixed values, implied by the patterns above).
+STEMS: dict[str, tuple[str, ...]] = {
+    "elevator": ("elevador", "ascensor"),
+    "parking": ("garagem", "estacionamento", "parqueamento"),
+    "furnished": ("mob",),
+    "air_conditioning": ("condicionado",),
+    "balcony": ("varanda", "terra"),
+    "storage": ("arrecada", "arrumo"),
+    "has_usage_license": ("licen", "urban", "simplex", "decreto-lei"),
+    "open_plan_kitchen": ("open", "cozinha"),
+    "renovated": ("remodelad", "renova"),
+    "water_view": ("vista",),
+    "near_metro": ("metro",),
+    "construction_status": ("constru", "obra", "previs", "conclu", "dio novo", "moradia nova", "recupera", "restaurar", "reabilitar", "remodelar", "em ru", "habitar"),
+    "sun_orientation": ("sul", "norte", "nascente", "oriente", "este", "leste", "poente", "orienta", "exposi"),
+    "energy_rating": ("energ",),
+}
+_ALL_STEMS = sorted({s for stems in STEMS.values() for s in stems})
+
+
+def _trie(words: list[str]) -> str:
+    """A pattern for any of the words that branches on one letter at a time; of words that begin alike the shortest counts."""
+    if "" in words:
+        return ""
+    heads = sorted({w[0] for w in words})
+    tails = {h: _trie([w[1:] for w in words if w[0] == h]) for h in heads}
+    return "(?:" + "|".join(h + tails[h] for h in heads) + ")" if len(heads) > 1 else heads[0] + tails[heads[0]]
+
+
+_SHORTEST = [s for s in _ALL_STEMS if not any(s != t and s.startswith(t) for t in _ALL_STEMS)]
+#: The first letters keep the engine from trying a branch where none can begin; a look ahead finds stems that overlap.
+STEM_PATTERN = FLAGS + "(?=[" + "".join(sorted({s[0] for s in _SHORTEST})) + "])(?=(" + _trie(_SHORTEST) + "))"
+
+
+def stems(text: Column) -> Column:
+    """The stems that a text holds, by one scan.  Letters that the patterns take for ASCII ones count as those."""
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(STEM_PATTERN), F.lit(1)))
+    return F.array_distinct(F.transform(found, lambda s: F.lower(F.translate(s, "\u0130\u0131\u017f\u212a", "iisk"))))
+
+
+def may_match(found: Column, name: str) -> Column:
+    """Whether a fact's patterns can match a text with these stems."""
+    needed = {next(t for t in _SHORTEST if s.startswith(t)) for s in STEMS[name]}
+    return F.arrays_overlap(found, F.array(*(F.lit(s) for s in sorted(needed))))
+
 
 def matches(text: Column, pattern: str) -> Column:
     return text.rlike(FLAGS + pattern)
@@ -113,13 +158,28 @@ def flag_or_fact(flag: Column, text: Column, name: str) -> Column:
     return F.when(flag, F.lit(True)).otherwise(fact(text, name))
 
 
-def extract_all(text: Column) -> dict[str, Column]:
-    """All extractors, by the name of the column that each fills."""
-    found = orientation(text)
+def extract_all(text: Column, found: Column | None = None) -> dict[str, Column]:
+    """All extractors, by the name of the column that each fills.
+
+    found: the text's ``stems``, as a column that is computed once; a pattern then runs only on texts that it can match.
+    """
+
+    def where(name: str, value: Column, otherwise: Column) -> Column:
+        return value if found is None else F.when(may_match(found, name), value).otherwise(otherwise)
+
+    nothing, unknown = F.lit(None), F.lit(NOT_AVAILABLE)
+    facing = where("sun_orientation", orientation(text), unknown)
     return {
-        "sun_orientation": found,
-        "orientation_source": orientation_source(found),
-        "construction_status": construction_status(text),
-        **{name: fact(text, name) for name in FACT_PATTERNS},
-        "energy_rating": energy_rating(text),
+        "sun_orientation": facing,
+        "orientation_source": orientation_source(facing),
+        "construction_status": where("construction_status", construction_status(text), unknown),
+        **{name: where(name, fact(text, name), nothing) for name in FACT_PATTERNS},
+        "energy_rating": where("energy_rating", energy_rating(text), nothing),
     }
+
+
+def with_facts(rows: DataFrame, text: Column) -> DataFrame:
+    """``rows`` with a column for each extractor, in place of those of the same name; each text is scanned once for all."""
+    scanned = rows.withColumns({"__facts_text": text, "__facts_stems": stems(text)})
+    out = scanned.withColumns(extract_all(F.col("__facts_text"), F.col("__facts_stems")))
+    return out.drop("__facts_text", "__facts_stems")

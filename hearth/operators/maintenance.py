@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clean import clean_description
-from ..functions.extract import extract_all, fact
+from ..functions.extract import extract_all, fact, stems
 from ..functions.normalize import split_location
 
 
@@ -19,8 +19,8 @@ def reprocess(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Backlog rows cleaned and extracted anew, other rows as they are; (rows, counts of processed and skipped)."""
     due = backlog(rows)
     text = clean_description(F.col("description"))
-    changes = {c: F.when(F.col("__due"), v).otherwise(F.col(c)) for c, v in extract_all(F.col("__text")).items() if c in rows.columns}
-    marked = rows.withColumn("__due", due).withColumn("__text", F.when(F.col("__due"), text))
+    changes = {c: F.when(F.col("__due"), v).otherwise(F.col(c)) for c, v in extract_all(F.col("__text"), F.col("__stems")).items() if c in rows.columns}
+    marked = rows.withColumn("__due", due).withColumn("__text", F.when(F.col("__due"), text)).withColumn("__stems", stems(F.col("__text")))
     out = marked.withColumns(changes | {"description": F.when(F.col("__due"), F.col("__text")).otherwise(F.col("description"))}).select(*rows.columns)
     counts = rows.agg(F.count_if(due).alias("processed"), F.count_if(~due).alias("skipped"))
     return out, counts

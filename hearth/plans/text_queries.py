@@ -88,6 +88,18 @@ def extract_energy_rating(spark: SparkSession, sf_dir: str) -> DataFrame:
     return described(spark, sf_dir).select("id", extract.energy_rating(F.col("description")).alias("found"))
 
 
+_FACTS_SQL = ", ".join(f"{_sql_fact(n)} AS {n}" for n in extract.FACT_PATTERNS)
+
+
+@query(
+    f"WITH {DESCRIBED} SELECT id, {_FACTS_SQL}, {_sql_cases(extract.CONSTRUCTION_PATTERNS, extract.NOT_AVAILABLE)} AS construction_status, upper(nullif(regexp_extract(description, '{_ENERGY}', 1), '')) AS energy_rating, "
+    f"coalesce({_COMPASS_SQL}, {_sql_cases(extract.ORIENTATION_PATTERNS, extract.NOT_AVAILABLE)}) AS sun_orientation FROM d"
+)
+def extract_all_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All facts of whole texts by one scan for the stems of their patterns."""
+    return extract.with_facts(described(spark, sf_dir), F.col("description")).drop("description", "orientation_source")
+
+
 BOILERPLATE = (
     "<p>Sala ampla</p><br/>Cozinha&nbsp;   nova\nMarque a sua visita!\nfim", "Ref: ABC123\nVaranda grande\n\n\n\nContacte-nos já", "Boa casa.\n5 razões para comprar com a nossa equipa\nmuito mais",
     "Antes. Caso seja um consultor imobiliário, fale connosco em partilha de negócio 50/50.\nDepois", "Venha conhecer!\nN�o hesite em contactar\nTexto final", "Sem marcas",

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clean import clean_description
-from ..functions.extract import extract_all, flag_or_fact
+from ..functions.extract import extract_all, stems
 from ..functions.normalize import dedup_hash
 from ..operators.geo import in_districts, in_range
 from ..schema import CANDIDATE
@@ -39,8 +39,9 @@ def finish(rows: DataFrame, source: str, text: Column | None = None, flags: dict
     flags: a source's own columns that count when true.
     """
     text = F.col("description") if text is None else text
-    found = extract_all(F.col("__text"))
     rows = rows.withColumn("__text", F.coalesce(text, F.lit("")))
+    rows = rows.withColumn("__stems", stems(F.col("__text")))  # by one scan, once for all facts
+    found = extract_all(F.col("__text"), F.col("__stems"))
     out = {}
     for field in CANDIDATE.fields:
         name = field.name
@@ -49,7 +50,7 @@ def finish(rows: DataFrame, source: str, text: Column | None = None, flags: dict
         elif name == "description":
             value = clean_description(F.coalesce(F.col("description"), F.lit("")))
         elif flags and name in flags:
-            value = flag_or_fact(flags[name], F.col("__text"), name)
+            value = F.when(flags[name], F.lit(True)).otherwise(found[name])
         elif name in rows.columns and name in found:
             value = F.coalesce(F.col(name), found[name])
         elif name in rows.columns:
