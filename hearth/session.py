@@ -16,6 +16,7 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }
 
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _shipped: set[str] = set()
 
 
@@ -29,6 +30,12 @@ def build_session(master: str | None = None, **settings: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def bounded_batches(spark: SparkSession, size: str = "4m") -> None:
+    """Batches to Python end at ``size`` in this session, unless a bound is set: rows that hold whole pages or lists are many MB otherwise."""
+    if spark.conf.get(_BATCH_BYTES, None) is None:
+        spark.conf.set(_BATCH_BYTES, size)
+
+
 def ship(spark: SparkSession) -> None:
     """Give the executors this package, once for each application."""
     context = spark.sparkContext

@@ -6,6 +6,7 @@ import random
 import time
 from decimal import Decimal
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from hearth.operators import photos
@@ -73,6 +74,36 @@ def test_one_hash_many_times_is_linear(spark):
     assert [(x["dist"], x["n_links"]) for x in edge] == [(0, total)]
 
 
+def test_wide_distances_are_compared_once(spark, monkeypatch):
+    r = random.Random(9)
+    bases = [r.getrandbits(64) - 2**63 for _ in range(40)]
+    rows = []
+    for k in range(900):
+        h = r.choice(bases)
+        for _ in range(r.randrange(24)):
+            h ^= 1 << r.randrange(63)
+        rows.append((k, r.choice("xyz"), "p" if k % 3 else f"q{k % 50}", Decimal(r.randrange(5000, 9000)) / 100, h))
+    monkeypatch.setattr(photos, "MAX_DISTANCE", 18)
+    expected = _pairs(rows)
+    monkeypatch.setattr(photos, "TILE_ROWS", 100)
+    frame = spark.createDataFrame(rows, _SCHEMA)
+    assert len(expected) > 500 and {(x["id_a"], x["id_b"]): x["dist"] for x in photos.pairs(frame, 18).collect()} == expected
+    assert {(x["id_a"], x["id_b"]): x["dist"] for x in photos.expand(photos.groups(frame, 18)).collect()} == expected
+
+
+def test_a_large_place_at_a_wide_distance(spark):
+    n = 60_000
+    frame = spark.range(n).select("id", F.concat(F.lit("s"), (F.col("id") % 3).cast("string")).alias("source"), F.lit("p").alias("place"), F.lit(100).cast("decimal(10,2)").alias("price"), F.xxhash64("id").alias("hash"))
+    rows = sorted((x["id"], x["hash"]) for x in frame.select("id", "hash").collect())
+    hashes, source = np.array([h for _, h in rows]).view(np.uint64), np.arange(n) % 3
+    expected = 0
+    for k in range(0, n, 32):
+        close = np.bitwise_count(hashes[k : k + 32, None] ^ hashes) <= 18
+        expected += int(np.count_nonzero(close & (source[k : k + 32, None] != source)))
+    begin = time.monotonic()
+    assert photos.pairs(frame, 18).count() == expected // 2 and time.monotonic() - begin < 60
+
+
 def test_empty(spark):
     found = photos.groups(spark.createDataFrame([], _SCHEMA))
     assert found.edges.count() == found.members.count() == photos.expand(found).count() == photos.unambiguous_of(found).count() == 0
