@@ -13,6 +13,7 @@ from ..functions.normalize import dedup_hash
 from ..operators import export, merge, photos
 from ..operators.maintenance import centroid, fill_coordinates
 from ..operators.resolve import resolve, stored_matches, tally
+from ..storage import materialise
 from .registry import query
 from .tables import AS_OF, HISTORY, LISTINGS, PLACED, TRACKED, listings, number, placed, price_history, sql_stamp, stamp, table, tracked
 
@@ -175,7 +176,7 @@ SELECT id_a AS property_id, 'u' || id_b AS url, s.source FROM y JOIN s ON s.id =
 )
 def photo_new_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     shots = _shots(spark, sf_dir)
-    found = photos.pairs(shots, max_distance=18)
+    found = materialise(photos.pairs(shots, max_distance=18), "photo-pairs")
     stored = found.where("id_b % 10 = 0").select(F.col("id_a").alias("property_id"), F.concat(F.lit("u"), F.col("id_b").cast("string")).alias("url"))
     return photos.new_links(found, shots, stored).select("property_id", "url", "source")
 
