@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .extract import is_blank
-
 # What counts as markup, tail, notice and call to action.
 BREAK_TAG = r"(?i)<\s*(br|/p|/div|/li)\s*/?>"
 ANY_TAG = r"<[a-zA-Z/][^<>]*>"
@@ -52,4 +50,5 @@ def clean_description(text: Column) -> Column:
     pattern = "(?iU)" + "|".join(f"(?:{p})" for p in CALL_TO_ACTION)
     out = F.array_join(F.filter(F.split(out, "\n"), lambda line: ~F.regexp_replace(line, TRIM, "").rlike(pattern)), "\n")
     out = F.regexp_replace(F.regexp_replace(out, "\n{3,}", "\n\n"), TRIM, "")
-    return F.when(is_blank(text) | is_blank(out), text).otherwise(out)
+    # as an array, so that the steps above are in the expression once and run once
+    return F.coalesce(F.try_element_at(F.filter(F.array(out, text), lambda x: x != ""), F.lit(1)), text)

@@ -116,3 +116,10 @@ def test_display(spark):
     body = display.inquiry_body(F.lit("Porto"), F.lit("€1"), F.lit(" Ana "), F.lit("u"), F.lit(""), F.lit("Sul"), F.lit(True), F.lit(None).cast("string"), F.lit("Rui"))
     text = one.select(body).first()[0]
     assert text.startswith("Olá Ana,\n\nTenho interesse no imóvel em Porto (€1)") and "agendar uma visita" in text and text.endswith("Cumprimentos,\nRui")
+
+
+def test_cleaning_runs_its_steps_once(spark):
+    plan = spark.range(1).select(clean_description(F.col("id").cast("string")).alias("t"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("consultor imobili") == 1
+    rows = spark.createDataFrame([(0, None), (1, ""), (2, " \u00a0\n"), (3, "<br>"), (4, "Venha conhecer!"), (5, " a<p>")], "id int, t string")
+    assert [r[0] for r in rows.orderBy("id").select(clean_description(F.col("t"))).collect()] == [None, "", " \u00a0\n", "<br>", "Venha conhecer!", "a"]
