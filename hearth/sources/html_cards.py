@@ -12,6 +12,7 @@ from ..functions.markup import Select, elements
 from ..functions.normalize import split_location
 from ..functions.parse import absolute_url, canonical_url, first_of_srcset, int_group, price_digits, rooms, size_m2, size_m2_grouped, unescape_entities, unwrap_tracking
 from ..operators.geo import in_districts
+from ..session import bounded_batches
 from .common import filled, finish, numbered
 
 # Tags and class names of the elements, as they are on the wire.
@@ -51,6 +52,7 @@ def first(found: Column, name: str = "text") -> Column:
 
 def cards(landed: DataFrame, wanted: dict[str, Select]) -> DataFrame:
     """A row for each card of each page; several lists are put together by position."""
+    bounded_batches(landed.sparkSession)
     pages = landed.select("batch", elements(F.col("payload"), **wanted).alias("e"))
     rows = pages.select("batch", F.posexplode(F.arrays_zip(*(F.col(f"e.{n}").alias(n) for n in wanted))).alias("position", "b"))
     return rows.select("batch", "position", "b.*").where(F.col(next(iter(wanted))).isNotNull())

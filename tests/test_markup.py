@@ -5,11 +5,13 @@ from __future__ import annotations
 import time
 from html.parser import HTMLParser
 
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from hearth.functions.markup import VOID, Select, _Page, elements
+from hearth.sources import html_cards
 
 CARD = {"card": Select("div", "c", inside={"name": Select("b"), "link": Select("a", attrs=("href",), has=("href",), text=False)})}
 
@@ -113,3 +115,18 @@ def test_time_grows_with_the_page():
             read(page, {"x": Select("section")})
             spent.append(time.perf_counter() - begin)
         assert spent[1] < 24 * spent[0] + 0.2, (part, spent)
+
+
+def test_batches_of_pages_are_bounded(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.unset(name)
+    try:
+        page = "<div class='prop'><div class='prop-imgWrap'><a href='/i/{}'></a></div></div>" + " " * 100_000
+        landed = spark.range(500).select(F.col("id").alias("batch"), F.concat(F.lit(page.split("{}")[0]), F.col("id").cast("string"), F.lit(page.split("{}")[1])).alias("payload")).coalesce(1)
+        rows = html_cards.cards(landed, html_cards.PROPS).select("batch", F.col("card.wrap")[0]["link"][0]["href"].alias("href"))
+        assert sorted(map(tuple, rows.collect())) == [(k, f"/i/{k}") for k in range(500)]
+        sizes = landed.select(F.arrow_udf(lambda x: pa.array([len(x)] * len(x)), returnType="long")("payload").alias("n")).distinct().collect()
+        assert max(r["n"] for r in sizes) <= 100
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
