@@ -33,6 +33,11 @@ def update_by_url(properties: DataFrame, updates: DataFrame, as_of: datetime, al
     named = [c for c in (*OVERWRITTEN, *IF_FILLED, "description", *also) if c in properties.columns and c in updates.columns]
     last = updates.groupBy("url").agg(F.max_by(F.struct(*named), F.struct("batch", "seq")).alias("__new"))
     rows = properties.join(last, "url", "left")
+    return rows.withColumns(_overwrites(properties.columns, named, as_of)).select(*properties.columns)
+
+
+def _overwrites(columns: list[str], named: list[str], as_of: datetime) -> dict[str, Column]:
+    """What an update, ``__new`` where there is one, makes of a row's columns."""
     hit, new = F.col("__new").isNotNull(), F.col("__new")
     changes: dict[str, Column] = {}
     for c in named:
@@ -45,7 +50,18 @@ def update_by_url(properties: DataFrame, updates: DataFrame, as_of: datetime, al
         else:
             changes[c] = F.when(hit, new[c]).otherwise(F.col(c))
     changes["last_seen_at"] = F.when(hit, timestamp(as_of)).otherwise(F.col("last_seen_at"))
-    return rows.withColumns(changes).select(*properties.columns)
+    return changes
+
+
+def upsert(properties: DataFrame, changes: DataFrame, as_of: datetime) -> DataFrame:
+    """``update_by_url`` and ``insert`` in one join: changes, one for each url, update the row of their url or come in under their ``id``."""
+    taken = [c for c in properties.columns if c in changes.columns]
+    named = [c for c in (*OVERWRITTEN, *IF_FILLED, "description") if c in taken]
+    rows = properties.join(changes.select(F.col("url").alias("__url"), F.struct(*taken).alias("__new")), F.col("url") == F.col("__url"), "full_outer")
+    overwritten, now = _overwrites(properties.columns, named, as_of), timestamp(as_of)
+    inserted = {c: F.col("__new")[c] for c in taken} | {c: now for c in ("created_at", "last_seen_at", "first_scraped_at")}
+    fresh = F.col("id").isNull()
+    return rows.select(*(F.when(fresh, inserted.get(c, F.lit(None).cast(properties.schema[c].dataType))).otherwise(overwritten.get(c, F.col(c))).alias(c) for c in properties.columns))
 
 
 def price_changes(outcomes: DataFrame, as_of: datetime) -> DataFrame:
@@ -64,14 +80,14 @@ def price_changes(outcomes: DataFrame, as_of: datetime) -> DataFrame:
 def with_ids(rows: DataFrame, start: int, order: list[Column]) -> DataFrame:
     """New rows numbered from ``start + 1``, without one task that holds them all.
 
-    Rows are sorted in ranges, which are written; each range's offset is the sum of the counts before it.
+    Rows are sorted in ranges, which are written with each row's place; a range's offset is the sum of the counts before it.
     """
-    ranged = materialise(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()), "new-ids")
+    part, place = F.spark_partition_id(), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    ranged = materialise(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"__part": part, "__place": place}), "new-ids")
     counts = ranged.groupBy("__part").count()
     before = F.coalesce(F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = counts.select("__part", before.alias("__offset"))  # one row for each partition
-    place = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
-    return ranged.join(F.broadcast(offsets), "__part").withColumn("id", F.lit(start) + F.col("__offset") + place).drop("__part", "__offset")
+    return ranged.join(F.broadcast(offsets), "__part").withColumn("id", F.lit(start) + F.col("__offset") + F.col("__place")).drop("__part", "__offset", "__place")
 
 
 def insert(properties: DataFrame, added: DataFrame, as_of: datetime, next_id: int) -> DataFrame:

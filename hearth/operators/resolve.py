@@ -23,20 +23,21 @@ HORIZON_DAYS = 30
 ADDED, UPDATED, LINKED, SKIPPED = "Added", "Updated", "Linked", "Skipped"
 
 
-def stored_matches(candidates: DataFrame, properties: DataFrame, as_of: datetime, hashes: DataFrame | None = None) -> DataFrame:
+def stored_matches(candidates: DataFrame, properties: DataFrame, as_of: datetime, hashes: DataFrame | None = None, also: tuple[str, ...] = ()) -> DataFrame:
     """Candidates with the store's row of the same url, and the least id of a linkable one.
 
     hashes: (dedup_hash, id, source, last_seen_at) of the listings that may be linked, if
     ``properties`` doesn't hold all of them.
+    also: further columns of the store's row, as ``stored_<name>``.
     """
-    by_url = properties.select("url", F.col("id").alias("url_id"), F.col("price").alias("stored_price"))
+    by_url = properties.select("url", F.col("id").alias("url_id"), *(F.col(c).alias(f"stored_{c}") for c in ("price", *also)))
     recent = (properties if hashes is None else hashes).where(F.col("last_seen_at") >= timestamp(as_of) - F.make_dt_interval(F.lit(HORIZON_DAYS)))
-    # one row for each hash and source, so a frequent hash doesn't multiply candidates
-    by_hash = recent.groupBy("dedup_hash", F.col("source").alias("other_source")).agg(F.min("id").alias("other_id"))
-    canonical = (
-        candidates.select("batch", "seq", "source", "dedup_hash").join(by_hash, "dedup_hash").where(F.col("source") != F.col("other_source")).groupBy("batch", "seq").agg(F.min("other_id").alias("canonical_id"))
-    )
-    return candidates.join(by_url, "url", "left").join(canonical, ["batch", "seq"], "left")
+    # one row for each hash: the least id of each source, so the first two hold the least id of another source than any
+    least = recent.where("source is not null").groupBy("dedup_hash", "source").agg(F.min("id").alias("id"))
+    by_hash = least.groupBy("dedup_hash").agg(F.slice(F.array_sort(F.collect_list(F.struct("id", "source"))), 1, 2).alias("__least"))
+    canonical = F.get(F.filter("__least", lambda x: x["source"] != F.col("source")), F.lit(0))["id"]
+    found = candidates.join(by_url, "url", "left").join(by_hash, "dedup_hash", "left").withColumn("canonical_id", canonical)
+    return found.select(*candidates.columns, *(c for c in by_url.columns if c != "url"), "canonical_id")
 
 
 def _same(left: DataFrame, right: DataFrame, key: str) -> Column:
@@ -76,21 +77,41 @@ def added(willing: DataFrame) -> DataFrame:
     return found
 
 
-def resolve(candidates: DataFrame, properties: DataFrame, as_of: datetime, hashes: DataFrame | None = None) -> DataFrame:
+def _contested(matched: DataFrame, willing: Column) -> DataFrame | None:
+    """``matched`` with whether another candidate of the batch, and one that would be added, shares the url or the hash; None if no two do."""
+    shared = {}
+    for key in ("url", "dedup_hash"):
+        groups = matched.groupBy("batch", key).agg(F.count("*").alias("n"), F.count_if(willing).alias("n_willing")).where("n > 1 and n_willing > 0")
+        shared[key] = materialise(groups.select(F.col("batch").alias("__batch"), F.col(key).alias(f"__{key}"), F.lit(True).alias(f"__by_{key}")), "resolve-shared")
+    if all(groups.isEmpty() for groups in shared.values()):
+        return None
+    rows = matched
+    for key, groups in shared.items():
+        rows = rows.join(groups, _same(rows, groups, key), "left").drop("__batch", f"__{key}")
+    return rows.withColumn("__contested", F.coalesce("__by_url", "__by_dedup_hash", F.lit(False))).drop("__by_url", "__by_dedup_hash")
+
+
+def resolve(candidates: DataFrame, properties: DataFrame, as_of: datetime, hashes: DataFrame | None = None, also: tuple[str, ...] = ()) -> DataFrame:
     """Candidates (batch, seq, url, source, dedup_hash, ...) with their outcome, url_id and canonical_id.
 
     A batch is one result page or one micro-batch; (batch, seq) is a key.  An added candidate is
     the only one of its url and of its hash in the batch, so each candidate meets at most two.
+    Only candidates that share a url or a hash go through the rounds.
     """
-    matched = materialise(stored_matches(candidates, properties, as_of, hashes), "resolve-matched")
+    matched = materialise(stored_matches(candidates, properties, as_of, hashes, also), "resolve-matched")
     alone = outcome_alone(F.col("url_id"), F.col("canonical_id"))
-    winners = materialise(added(matched.where(alone == ADDED)), "resolve-added")
-    rows = matched
+    marked = _contested(matched, alone == ADDED)
+    if marked is None:
+        return matched.withColumn("outcome", alone)
+    marked = materialise(marked, "resolve-marked")
+    rows = marked.where("__contested").drop("__contested")
+    winners = materialise(added(rows.where(alone == ADDED)), "resolve-added")
     for key in ("url", "dedup_hash"):
         won = _of(winners, key, F.min("seq"), f"__by_{key}")
         rows = rows.join(won, _same(rows, won, key), "left").drop("__batch", f"__{key}")
     before = F.coalesce(F.col("__by_url") < F.col("seq"), F.lit(False)) | F.coalesce(F.col("__by_dedup_hash") < F.col("seq"), F.lit(False))
-    return rows.withColumn("outcome", F.when(before, SKIPPED).otherwise(alone)).drop("__by_url", "__by_dedup_hash")
+    judged = rows.withColumn("outcome", F.when(before, SKIPPED).otherwise(alone)).drop("__by_url", "__by_dedup_hash")
+    return marked.where("not __contested").drop("__contested").withColumn("outcome", alone).unionByName(judged)
 
 
 def existing(candidates: DataFrame, store: VersionedTable) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import unsorted_writes
+
 _BUCKET = "__bucket"
 SIGN = "__sign"
 _MANIFEST = "bucket int, version long, n_rows long, top long"
@@ -76,7 +78,8 @@ class VersionedTable:
         typed = typed.withColumn(_BUCKET, self.bucket_of(F.col(self.key) if self.key else F.lit(0)))
         data = f"{self.path}/v{version}/data"
         # a file for each bucket, several where a bucket is large: a hot key's rows aren't written by one task
-        typed.hint("rebalance", _BUCKET).write.mode("overwrite").partitionBy(_BUCKET).parquet(data)
+        with unsorted_writes(rows.sparkSession):
+            typed.hint("rebalance", _BUCKET).write.mode("overwrite").partitionBy(_BUCKET).parquet(data)
         written = self.spark.read.schema(T.StructType([*self.schema.fields, T.StructField(_BUCKET, T.IntegerType())])).parquet(data)
         top = F.max("id").cast("long") if "id" in self.schema.names else F.lit(None).cast("long")
         new = written.groupBy(F.col(_BUCKET).alias("bucket")).agg(F.count("*").alias("n_rows"), top.alias("top")).select("bucket", F.lit(version).cast("long").alias("version"), "n_rows", "top")

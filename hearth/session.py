@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -17,6 +19,7 @@ SETTINGS = {
 }
 
 _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+_OPEN_FILES = "spark.sql.maxConcurrentOutputFileWriters"
 _shipped: set[str] = set()
 
 
@@ -36,6 +39,17 @@ def bounded_batches(spark: SparkSession, size: str = "4m") -> None:
         spark.conf.set(_BATCH_BYTES, size)
 
 
+@contextmanager
+def unsorted_writes(spark: SparkSession, files: int = 64) -> Iterator[None]:
+    """Within it a task that writes folders by a key has up to ``files`` open at once; without, it sorts (and spills) its rows by the key before."""
+    before = spark.conf.get(_OPEN_FILES, None)
+    spark.conf.set(_OPEN_FILES, files)
+    try:
+        yield
+    finally:
+        spark.conf.set(_OPEN_FILES, before) if before is not None else spark.conf.unset(_OPEN_FILES)
+
+
 def ship(spark: SparkSession) -> None:
     """Give the executors this package, once for each application."""
     context = spark.sparkContext

@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hearth import schema
+from hearth.operators import merge, resolve
 from hearth.operators.geo import parish_dimension
 from hearth.operators.resolve import existing
 from hearth.operators.versions import VersionedTable
 from hearth.sources import manual
+from hearth.storage import materialise
+from hearth.streaming import ingest
 from hearth.streaming.ingest import landed, merge_batches
 
 KIND = T.StructType([T.StructField("id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("price", T.DecimalType(10, 2))])
@@ -139,3 +142,28 @@ def test_places_are_repaired_before_judging(spark, tmp_path):
     merge_batches(landed(spark, f"{tmp_path}/in", kind), *made, lambda n: datetime(2024, 1, 1), f"{tmp_path}/state", parishes=parishes).awaitTermination()
     places = {r["url"]: (r["concelho"], r["freguesia"]) for r in made[0].read().collect()}
     assert places == {"u1": ("Felgueiras", "Pombeiro"), "u2": ("Porto", None)}
+
+
+def test_a_batch_moves_whole_rows_once(spark, tmp_path, monkeypatch):
+    """Only the batch's own rows are kept as wide as listings; judging, numbering and hashes go by narrow ones.  A bucketed write doesn't sort."""
+    kept = []
+    for module in (ingest, merge, resolve):
+        monkeypatch.setattr(module, "materialise", lambda df, name: kept.append((name, "photos" in df.columns)) or materialise(df, name))
+    made = [VersionedTable(spark, f"{tmp_path}/{n}", kind, key, buckets=4) for n, kind, key in (("listings", schema.PROPERTY, "url"), ("links", schema.PROPERTY_SOURCE, "property_id"), ("history", schema.PRICE_HISTORY, "property_id"))]
+    hashes = VersionedTable(spark, f"{tmp_path}/hashes", schema.LISTING_HASH, "dedup_hash", buckets=4)
+    kind = landing(spark, f"{tmp_path}/in", ("u1", "a", 100_000, "Porto"), ("u1", "a", 120_000, "Porto"), ("u2", "a", 300_000, "Porto"))
+    merge_batches(landed(spark, f"{tmp_path}/in", kind), *made, lambda n: datetime(2024, 1, 1), f"{tmp_path}/state", hashes=hashes).awaitTermination()
+    assert sorted((r["url"], int(r["price"])) for r in made[0].read().collect()) == [("u1", 100_000), ("u2", 300_000)]
+    assert {name for name, wide in kept if wide} == {"stream-rows"} < {name for name, _ in kept}
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+
+
+def test_upsert_equals_update_and_insert(spark):
+    now, later = datetime(2024, 1, 1), datetime(2024, 1, 2)
+    row = lambda i, **v: {f.name: None for f in schema.PROPERTY.fields} | {"id": i, "source": "a", "sun_orientation": "N", "orientation_source": "n", "construction_status": "N", "dedup_hash": f"h{i}", "created_at": now, "last_seen_at": now} | v
+    stored = spark.createDataFrame([row(1, url="u1", description="old", agent_name="Ana", lat=1.0, ai_enriched_at=now), row(2, url="u2", description="same", ai_enriched_at=now), row(3, url="u3")], schema.PROPERTY)
+    new = [row(1, url="u1", description="new", agent_name="", lat=2.0, dedup_hash="k"), row(2, url="u2", description="same", source="b"), row(4, url="u4", agent_name="Rui", photos=["p"]), row(5, url="u5", lat=3.0)]
+    drop = ("created_at", "last_seen_at", "first_scraped_at", "ai_enriched_at")
+    changes = spark.createDataFrame(new, schema.PROPERTY).drop(*drop).withColumns({"batch": F.lit(0), "seq": F.col("id")})
+    expected = merge.insert(merge.update_by_url(stored, changes.where("id < 3"), later), changes.where("id > 3").drop("id"), later, 4)
+    assert sorted(map(str, merge.upsert(stored, changes, later).collect())) == sorted(map(str, expected.select(*stored.columns).collect()))
