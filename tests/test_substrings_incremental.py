@@ -102,3 +102,25 @@ def test_latest_rows_read_the_changed_buckets(spark, tmp_path):
         assert sorted(latest().read().collect()) == sorted(expected.select(*schema.names).collect())
         if batch in (1, 2, 3, 5):
             assert len({(x["version"], x["bucket"]) for x in latest().state.manifest()} - before) <= 2
+
+
+def test_frequent_trigrams_are_not_opened(spark, tmp_path, monkeypatch):
+    """A needle opens the lists that narrow it and is found once; a short one asks no list."""
+    rows = spark.range(2000).select(F.concat(F.lit("https://example.com/p/"), F.col("id").cast("string")).alias("text"))
+    index = SubstringIndex(spark, f"{tmp_path}/index", buckets=4)
+    index.add(rows)
+    table = VersionedTable(spark, f"{tmp_path}/rows", rows.schema, "text", 4)
+    table.write(rows)
+    assert index.rarest("e.com/p/77") == {"/77": 11}
+    assert index.rarest("e.com/p/x") == {}
+    for needle in ("e.com/p/77", "e.com", "77", "777", "e.com/p/1999", "P/1", "é"):
+        expected = [f"https://example.com/p/{k}" for k in range(2000) if needle in f"https://example.com/p/{k}"]
+        assert sorted(r["text"] for r in containing(table, "text", index, needle).collect()) == sorted(expected), needle
+    monkeypatch.setattr(index, "find", None)
+    assert containing(table, "text", index, "99").count() == sum("99" in str(k) for k in range(2000))
+
+
+def test_short_and_long_texts_have_the_same_trigrams(spark):
+    for text in ("né😀x" * 3, "é" * 256, "ab😀" * 85 + "c", "ab😀" * 85 + "cd", "xyz" * 400):
+        found = spark.createDataFrame([(text,)], "t string").select(trigrams(F.col("t"))).first()[0]
+        assert sorted(found) == sorted({text[k : k + 3] for k in range(len(text) - 2)})
